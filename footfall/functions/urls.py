@@ -22,7 +22,8 @@ CONTACT_SCHEMES = {
     "whatsapp": "whatsapp", "skype": "skype", "viber": "viber",
 }
 DOWNLOAD_EXTENSIONS = [
-    "pdf", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "mp3", "mp4",
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "txt", "zip", "rar", "7z", "epub", "mp3", "mp4",
+    "mov", "gpx", "kml", "apk", "dmg", "exe",
 ]
 
 # Generic URI syntax (RFC 3986, appendix B) and its authority part.
