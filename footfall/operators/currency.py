@@ -11,12 +11,14 @@ def _dense(rates: DataFrame) -> DataFrame:
 
     The table has days x currencies rows whatever the number of events, so events are never windowed.
     """
-    w = Window.partitionBy("base_currency", "quote_currency").orderBy("rate_date")
-    nxt = F.coalesce(F.date_sub(F.lead("rate_date").over(w), 1), F.col("rate_date"))
-    last = F.max("rate_date").over(Window.partitionBy("base_currency", "quote_currency"))
-    return rates.groupBy("base_currency", "quote_currency", "rate_date").agg(F.max("rate").alias("rate")).select(
-        "base_currency", "quote_currency", F.explode(F.sequence("rate_date", nxt)).alias("rate_date"), "rate",
-        last.alias("last_date"),
+    pair = Window.partitionBy("base_currency", "quote_currency")
+    once = rates.groupBy("base_currency", "quote_currency", "rate_date").agg(F.max("rate").alias("rate"))
+    spans = once.withColumn("_next", F.lead("rate_date").over(pair.orderBy("rate_date"))).withColumn(
+        "last_date", F.max("rate_date").over(pair)
+    )
+    until = F.coalesce(F.date_sub("_next", 1), F.col("rate_date"))
+    return spans.select(
+        "base_currency", "quote_currency", F.explode(F.sequence("rate_date", until)).alias("rate_date"), "rate", "last_date"
     )
 
 

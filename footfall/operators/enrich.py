@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.agents import user_agent
-from footfall.functions.channels import channel
 from footfall.functions.measures import language, viewport_bucket
 from footfall.functions.privacy import CLIENT_ID, visitor_key
 from footfall.functions.text import clean_line, scrub_pii, slug
@@ -43,10 +42,10 @@ def heat_list(hm: str | Column) -> Column:
 
 
 def heat_points(hits: DataFrame) -> DataFrame:
-    """One row per usable heat point: received_at, page_path, device_type, x, y."""
-    return hits.select("received_at", "page_path", "device_type", F.explode(heat_list("hm")).alias("_p")).select(
-        "received_at", "page_path", F.col("device_type").alias("device"), "_p.x", "_p.y"
-    )
+    """One row per usable heat point: received_at, page_path, device, x, y."""
+    rows = hits.select("received_at", "page_path", "user_agent", "ch_platform", "tp", heat_list("hm").alias("_l"))
+    rows = user_agent(rows.where(F.size("_l") > 0))
+    return rows.select("received_at", "page_path", F.col("device_type").alias("device"), F.inline("_l"))
 
 
 # Text keys of the page context with their longest length.
@@ -140,7 +139,6 @@ def enrich(
             "landing_post_id": F.coalesce("context.p", F.lit(0)).cast("bigint"),
         }
     ).drop("_click", "_ref")
-    df = channel(user_agent(df), settings.channel_rules)
     if zones is not None:
         from footfall.functions.measures import timezone
 

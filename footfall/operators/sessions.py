@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.agents import user_agent
+from footfall.functions.channels import DEFAULT_RULES, channel
 from footfall.functions.times import seconds_between
 from footfall.operators.scans import SLICE, add_slice, has_hot_key, running_last, running_rank
 
@@ -20,7 +22,7 @@ FIRST_TOUCH = [
     "landing_path", "landing_post_id", "referrer_domain", "referrer_url", "channel", "utm_source", "utm_medium",
     "utm_campaign", "utm_term", "utm_content", "click_id_type", "click_id", "id_mode", "device_type", "browser",
     "browser_version", "os", "os_version", "viewport", "language", "country", "region", "city", "timezone",
-    "is_logged_in", "ip", "cf_country",
+    "is_logged_in", "ip", "cf_country", "user_agent", "ch_platform", "tp",
 ]
 
 
@@ -153,6 +155,12 @@ def build_sessions(hits: DataFrame) -> DataFrame:
     )
 
 
+def describe_sessions(sessions: DataFrame, rules: dict | None = None) -> DataFrame:
+    """Adds channel, browser, system and device: derived once per session, not once per hit."""
+    out = channel(user_agent(sessions), rules or DEFAULT_RULES)
+    return out.drop("user_agent", "ch_platform", "tp")
+
+
 def flag_returning(sessions: DataFrame) -> DataFrame:
     """Adds is_returning: 1 when the visitor has an earlier session, 0 when not, NULL without consented ids.
 

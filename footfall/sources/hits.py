@@ -46,10 +46,7 @@ def split_bodies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     tagged = lines.withColumn("reason", reason)
     parsed = tagged.where(F.col("reason").isNull()).withColumn("p", F.from_json("body", schemas.PAYLOAD))
-    hits = parsed.select(F.col("id").alias("payload_id"), "p.*", *[f.name for f in _request_fields()])
+    hits = parsed.select(F.col("id").alias("payload_id"), "p.*", *schemas.columns(schemas.REQUEST))
     rejects = tagged.where(F.col("reason").isNotNull()).select("id", "received_at", "reason")
     return hits, rejects
 
-
-def _request_fields():
-    return [f for f in schemas.HIT_LINE.fields if f.name not in ("id", "body")]
