@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.times import col
+from footfall.functions.times import col, let
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 V4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
@@ -21,35 +21,36 @@ def _v4_hex(ip: Column) -> Column:
     )
 
 
+def _v6_groups(text: Column) -> Column:
+    """The eight groups of an address in colon form, NULL when it is not valid."""
+    none = F.array().cast("array<string>")
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", none).otherwise(F.split(part, ":"))
+
+    halves = F.split(text, "::")
+    gap = F.size(halves) == 2
+    head, rest = groups(F.get(halves, F.lit(0))), F.when(gap, groups(F.get(halves, F.lit(1)))).otherwise(none)
+    fill = 8 - F.size(head) - F.size(rest)
+    shape = (F.size(halves) <= 2) & F.when(gap, fill >= 1).otherwise(fill == 0)
+    full = F.concat(head, F.when(gap, F.array_repeat(F.lit("0"), fill)).otherwise(none), rest)
+    checked = F.when(shape, full)
+    return let(checked, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), g))
+
+
 def _v6_hex(ip: Column) -> Column:
     """NULL when the text is no IPv6 address. A dotted tail is turned into two groups first."""
-    tail = F.regexp_extract(ip, _V4_TAIL, 0)
-    tail_hex = _v4_hex(tail)
-    text = F.when(
-        tail != "",
-        F.concat(
-            F.regexp_replace(ip, _V4_TAIL, ""), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)
-        ),
-    ).otherwise(ip)
 
-    def groups(part: Column) -> Column:
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-
-    gap = text.contains("::")
-    head = groups(F.split_part(text, F.lit("::"), F.lit(1)))
-    rest = F.when(gap, groups(F.split_part(text, F.lit("::"), F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(head) - F.size(rest)
-    full = F.concat(
-        head, F.when(gap, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), rest
-    )
-    ok = (
-        text.contains(":")
-        & ~text.contains(":::")
-        & (F.size(F.split(text, "::")) <= 2)
-        & F.when(gap, missing >= 1).otherwise(missing == 0)
-        & F.forall(full, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
-    )
-    return F.when(ok, F.array_join(F.transform(full, lambda g: F.lpad(F.upper(g), 4, "0")), ""))
+    def colon_form(tail: Column) -> Column:
+        h = _v4_hex(tail)
+        return F.when(
+            tail != "",
+            F.concat(F.regexp_replace(ip, _V4_TAIL, ""), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)),
+        ).otherwise(ip)
+
+    text = let(F.regexp_extract(ip, _V4_TAIL, 0), colon_form)
+    padded = F.transform(let(text, _v6_groups), lambda g: F.lpad(F.upper(g), 4, "0"))
+    return F.when(ip.contains(":") & ~ip.contains(":::"), F.array_join(padded, ""))
 
 
 def ip_hex(ip: str | Column) -> Column:
@@ -61,20 +62,18 @@ def ip_hex(ip: str | Column) -> Column:
 def truncate_ip(ip: str | Column) -> Column:
     """IPv4 to /24, IPv6 to /48, '' when not valid."""
     ip = F.trim(col(ip))
-    h = _v6_hex(ip)
-
-    def group(i: int) -> Column:
-        g = F.lower(F.ltrim(F.substring(h, i, 4), F.lit("0")))
-        return F.when(g == "", "0").otherwise(g)
-
-    groups = F.concat_ws(":", group(1), group(5), group(9))
-    short = F.regexp_replace(F.regexp_replace(groups, "^0:0:0$", ""), "(?<=[^0]):0(:0)?$", "")
-    v6 = F.when(F.substring(h, 1, 12) == "0" * 12, "::").otherwise(F.concat(short, F.lit("::")))
-    return (
-        F.when(ip.rlike(V4), F.concat(F.substring_index(ip, ".", 3), F.lit(".0")))
-        .when(h.isNotNull(), v6)
-        .otherwise("")
-    )
+
+    def short(h: Column) -> Column:
+        parts = F.transform(
+            F.array(F.lit(1), F.lit(5), F.lit(9)),
+            lambda i: F.regexp_replace(F.lower(F.substring(h, i, F.lit(4))), "^0{1,3}", ""),
+        )
+        # Zero groups at the end are part of the closing double colon.
+        kept = F.regexp_replace(F.array_join(parts, ":"), "(^|:)0(:0)*$", "")
+        return F.when(h.isNull(), "").otherwise(F.concat(kept, F.lit("::")))
+
+    v6 = let(_v6_hex(ip), short)
+    return F.when(ip.rlike(V4), F.concat(F.substring_index(ip, ".", 3), F.lit(".0"))).otherwise(v6)
 
 
 def client_ip(df: DataFrame, header: str, remote: str = "remote_addr", out: str = "ip") -> DataFrame:
@@ -101,11 +100,17 @@ def cidr_bounds(entry: str) -> tuple[str, str] | None:
 
 def in_cidrs(ip: str | Column, cidrs: Sequence[str]) -> Column:
     """Whether an address lies in a block of its own family. The list is a setting, not a table."""
-    key = ip_hex(ip)
-    hit = F.lit(False)
-    for bounds in filter(None, map(cidr_bounds, cidrs)):
-        hit = hit | ((F.length(key) == len(bounds[0])) & key.between(*bounds))
-    return F.coalesce(hit, F.lit(False))
+    bounds = [b for b in map(cidr_bounds, cidrs) if b]
+    if not bounds:
+        return F.lit(False)
+
+    def hit(key: Column) -> Column:
+        out = F.lit(False)
+        for lo, hi in bounds:
+            out = out | ((F.length(key) == len(lo)) & key.between(lo, hi))
+        return F.coalesce(out, F.lit(False))
+
+    return let(ip_hex(ip), hit)
 
 
 def exclude_ips(df: DataFrame, cidrs: Sequence[str], ip: str = "ip") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.network import truncate_ip
-from footfall.functions.times import col
+from footfall.functions.times import col, let
 
 CLIENT_ID = r"^[a-f0-9]{32}$"
 _BLOCK = 64
@@ -16,26 +16,22 @@ def hmac_sha256(key: str | Column, message: str | Column) -> Column:
     """Keyed hash as lower-case hex, from the built-in digest (the key is text)."""
     raw = F.encode(col(key), "UTF-8")
     raw = F.when(F.octet_length(raw) > _BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)
-    padded = F.rpad(F.hex(raw), _BLOCK * 2, "0")
-
-    def pad(byte: int) -> Column:
-        # XOR the key with a repeated byte, 4 bytes at a time.
-        word = int(f"{byte:02x}" * 4, 16)
-        return F.unhex(
-            F.concat(
-                *[
-                    F.lpad(
-                        F.hex(F.conv(F.substring(padded, i * 8 + 1, 8), 16, 10).cast("bigint").bitwiseXOR(F.lit(word))),
-                        8,
-                        "0",
-                    )
-                    for i in range(_BLOCK // 4)
-                ]
+    def digest(padded: Column) -> Column:
+        def pad(byte: int) -> Column:
+            # XOR the key with a repeated byte, 4 bytes at a time.
+            word = int(f"{byte:02x}" * 4, 16)
+            words = F.transform(
+                F.sequence(F.lit(1), F.lit(_BLOCK * 2 - 7), F.lit(8)),
+                lambda i: F.lpad(
+                    F.hex(F.conv(F.substring(padded, i, F.lit(8)), 16, 10).cast("bigint").bitwiseXOR(F.lit(word))), 8, "0"
+                ),
             )
-        )
+            return F.unhex(F.array_join(words, ""))
 
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(col(message), "UTF-8")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+        inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(col(message), "UTF-8")), 256))
+        return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+    return let(F.rpad(F.hex(raw), _BLOCK * 2, "0"), digest)
 
 
 def visitor_key(hits: DataFrame, salts: DataFrame, site_salt: str, site: str) -> DataFrame:

@@ -14,6 +14,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ntz(value) -> Column:
     """Literal or column as a UTC ``timestamp_ntz``."""
     c = value if isinstance(value, Column) else F.lit(str(value))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.text import clean_line, scrub_pii
-from footfall.functions.times import col
+from footfall.functions.times import col, let
 
 # Parameter names with a meaning, in order of precedence.
 UTM_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content"]
@@ -80,11 +80,12 @@ def query_map(query: str | Column) -> Column:
         ),
     )
     pairs = F.filter(pairs, lambda p: (p["k"] != "") & ~p["k"].contains("["))
-    names = F.transform(pairs, lambda p: p["k"])
-    last = F.filter(
-        pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"])
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(ps: Column) -> Column:
+        names = F.transform(ps, lambda p: p["k"])
+        return F.filter(ps, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]))
+
+    return F.map_from_entries(let(pairs, last_of_each))
 
 
 def clean_path(c: str | Column) -> Column:
@@ -106,7 +107,8 @@ def identity_query(params: str | Column, names: Sequence[str] = IDENTITY_PARAMS)
 def page_path(path: str | Column, params: str | Column, names: Sequence[str] = IDENTITY_PARAMS) -> Column:
     base = clean_path(F.when(col(path) == "", "/").otherwise(col(path)))
     q = identity_query(params, names)
-    return F.when(q != "", F.left(F.concat(base, F.lit("?"), q), F.lit(512))).otherwise(base)
+    tail = F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
+    return F.left(F.concat(base, tail), F.lit(512))
 
 
 def parse_url(df: DataFrame, url: str = "u") -> DataFrame:
@@ -168,10 +170,7 @@ def _resolve_dots(path: Column) -> Column:
 
 def _absolute(href: Column, base: Column) -> Column:
     scheme = F.when(url_scheme(base) == "", "https").otherwise(url_scheme(base))
-    port = url_port(base)
-    origin = F.concat(
-        scheme, F.lit("://"), url_host(base), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port))
-    )
+    origin = F.concat(scheme, F.lit("://"), F.regexp_replace(url_authority(base), "^[^@]*@", ""))
     folder = F.when(url_path(base) == "", "/").otherwise(F.regexp_replace(url_path(base), "/[^/]*$", "/"))
     return (
         F.when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
@@ -181,30 +180,35 @@ def _absolute(href: Column, base: Column) -> Column:
     )
 
 
-def normalize_url(href: str | Column, base: str | Column) -> Column:
-    """Absolute form used to compare URLs. ``href`` must already have its entities decoded."""
-    base = col(base)
-    h = F.regexp_replace(F.trim(col(href)), r"(?s)#.*$", "")
-    a = _absolute(h, base)
-    host, port, query = url_host(a), url_port(a), url_query(a)
-    path = _resolve_dots(F.when(url_path(a) == "", "/").otherwise(url_path(a)))
-    path = F.when(path == "", "/").otherwise(path)
-    last = F.regexp_extract(path, r"([^/]*)/*$", 1)
-    path = F.when(
-        (path != "/") & ~last.contains("."), F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"))
-    ).otherwise(path)
+def _closed(path: Column) -> Column:
+    """A trailing slash unless the last segment looks like a file."""
+    p = F.when(path == "", "/").otherwise(path)
+    file = F.regexp_extract(p, r"([^/]*)/*$", 1).contains(".")
+    return F.when((p == "/") | file, p).otherwise(F.concat(F.regexp_replace(p, "/+$", ""), F.lit("/")))
+
+
+def _canonical(a: Column) -> Column:
+    """Scheme and host in lower case, dot segments resolved; what has no host stays as it is."""
+    port, query = url_port(a), url_query(a)
+    path = let(_resolve_dots(F.when(url_path(a) == "", "/").otherwise(url_path(a))), _closed)
     full = F.concat(
-        F.lower(url_scheme(a)), F.lit("://"), F.lower(host),
+        F.lower(url_scheme(a)), F.lit("://"), F.lower(url_host(a)),
         F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)),
         path,
         F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
     )
-    return (
-        F.when(h == "", F.lit(""))
-        .when(url_host(base) == "", h)
-        .when(host == "", a)
-        .otherwise(full)
-    )
+    return F.when(url_host(a) == "", a).otherwise(full)
+
+
+def normalize_url(href: str | Column, base: str | Column) -> Column:
+    """Absolute form used to compare URLs. ``href`` must already have its entities decoded."""
+    base = col(base)
+
+    def resolve(h: Column) -> Column:
+        full = let(_absolute(h, base), _canonical)
+        return F.when(h == "", F.lit("")).when(url_host(base) == "", h).otherwise(full)
+
+    return let(F.regexp_replace(F.trim(col(href)), r"(?s)#.*$", ""), resolve)
 
 
 def path_of(url: str | Column) -> Column:

@@ -52,7 +52,7 @@ def with_k(events: DataFrame) -> DataFrame:
     )
 
 
-def _named(e: DataFrame) -> DataFrame:
+def named(e: DataFrame) -> DataFrame:
     k, tens = F.col("k"), F.floor(F.col("k") / 10)
     view, click = F.col("event_type") == "view", F.col("event_type") == "click"
     name = (
@@ -105,7 +105,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_payloads(e: DataFrame) -> DataFrame:
     """Enriched payload rows, one event each, crawlers included."""
-    e = _named(e)
+    e = named(e)
     e = e.unionByName(_engagement(e))
     k = F.col("k")
     news, ads = k % 7 == 0, (k % 7 != 0) & (k % 11 == 0)
@@ -149,7 +149,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw beacon payloads with their request facts, as ``read_hits`` would return them."""
-    p = _named(raw(spark, sf_dir))
+    p = named(raw(spark, sf_dir))
     p = p.unionByName(_engagement(p)).withColumn("vid", F.md5(F.col("user_id").cast("string")))
     k = F.col("k")
     news, ads = k % 7 == 0, (k % 7 != 0) & (k % 11 == 0)
@@ -260,7 +260,7 @@ def post_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ad_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(raw(spark, sf_dir)).where(F.col("event_name").isin("ad_impression", "ad_click"))
+    rows = named(raw(spark, sf_dir)).where(F.col("event_name").isin("ad_impression", "ad_click"))
     ad = F.col("k") % 5
     return rows.groupBy(F.to_date("received_at").alias("day"), ad.cast("bigint").alias("ad_id")).agg(
         F.sum((F.col("event_name") == "ad_impression").cast("int")).alias("impressions"),
@@ -289,7 +289,7 @@ def heat_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server log rows for the crawler report."""
-    p = _named(raw(spark, sf_dir))
+    p = named(raw(spark, sf_dir))
     k = F.col("k")
     crawler = pick(
         F.col("user_id") % 4,
