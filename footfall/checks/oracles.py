@@ -36,7 +36,7 @@ UA_FACTS = [
     ("Samsung Internet", "26", "Android", "14", "mobile"),
     ("Chrome", "130", "Android", "13", "tablet"),
     ("Firefox", "132", "macOS", "10.15", "desktop"),
-    ("Facebook App", "490", "iOS", "17", "mobile"),
+    ("Facebook App", "", "iOS", "17", "mobile"),
     ("Other", "", "Other", "", "desktop"),
 ]
 UA = "ua AS (SELECT * FROM (VALUES " + ", ".join(
@@ -441,6 +441,28 @@ SELECT kind, count(*) AS rows FROM (
   SELECT 'email' AS kind FROM documents WHERE regexp_matches(text, '(?i){EMAIL}')
   UNION ALL SELECT 'phone' FROM documents WHERE regexp_matches(text, '{PHONE}')
   UNION ALL SELECT 'any' FROM documents WHERE regexp_matches(text, '(?i){EMAIL}') OR regexp_matches(text, '{PHONE}')) GROUP BY kind""")
+
+
+def xored(key: str, byte: int) -> str:
+    return "||".join(f"chr({b ^ byte})" for b in key.encode().ljust(64, b"\0"))
+
+
+HEX = "0123456789abcdef"
+
+
+def day_pad(byte: int) -> str:
+    return f"translate(salt, '{HEX}', " + "||".join(f"chr({ord(c) ^ byte})" for c in HEX) + ")"
+
+
+def keyed(inner: str, outer: str, message: str) -> str:
+    return f"sha256(encode({outer}) || unhex(sha256(encode(({inner}) || ({message})))))"
+
+
+VISITOR_MSG = "'41.90.' || user_id % 256 || '.0|' || user_agent || '|https://site.example'"
+add("C14_visitor_key", UA + RAW, f"""
+SELECT payload_id, substr(CASE WHEN user_id % 5 = 0 THEN {keyed(day_pad(0x36), day_pad(0x5C), VISITOR_MSG)}
+  ELSE {keyed(xored("site-salt", 0x36), xored("site-salt", 0x5C), "'vid|' || md5(CAST(user_id AS VARCHAR))")} END, 1, 32) AS visitor_key
+FROM (SELECT *, sha256(CAST(CAST(received_at AS DATE) AS VARCHAR)) AS salt FROM raw JOIN ua ON k % 8 = ua_i)""")
 add("C15_truncate_ip", PAY, "SELECT '41.90.' || user_id % 256 || '.0' AS net, count(*) AS hits FROM pay GROUP BY 1")
 add("C16_client_ip", PAY, "SELECT payload_id, CASE WHEN k % 3 = 0 THEN ip WHEN k % 5 = 0 THEN '' ELSE '10.9.8.7' END AS ip FROM pay")
 add("C17_identity_mode", RAW, "SELECT CAST(user_id % 5 = 0 AS BIGINT) AS gpc, CAST(user_id % 5 <> 0 AS BIGINT) AS id_mode, count(*) AS hits FROM raw GROUP BY 1, 2")
@@ -479,7 +501,7 @@ SELECT page_id, self_url, CASE page_id % 6
   WHEN 2 THEN scheme || '://' || host || folder || '?page=3'
   WHEN 3 THEN scheme || '://' || host || folder || 'a.html'
   WHEN 4 THEN scheme || '://' || host || '/'
-  ELSE 'https://up.example:8080/p//' END AS target FROM pgs""")
+  ELSE 'https://up.example:8080/p/' END AS target FROM pgs""")
 add("C28_path_key", PG, "SELECT page_id, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE lower(rtrim(path, '/')) END AS path_key FROM pg")
 add("C29_form_id", "", "SELECT p_partkey, substr('nf:' || CASE WHEN c = '' THEN '0' ELSE c END, 1, 64) AS form_id FROM (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]', '', 'g') AS c FROM part)")
 RATES = ", ".join(
