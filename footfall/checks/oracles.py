@@ -713,6 +713,20 @@ SELECT payload_id, session_id, CAST(received_at - to_seconds(k) AS VARCHAR) AS o
   CAST({to_base("ev", "cur", "received_at - to_seconds(k)")} AS DOUBLE) AS event_value_base, CAST(is_conversion AS BIGINT) AS is_conversion
 FROM (SELECT *, CASE WHEN event_name = 'purchase' THEN CAST(value AS DECIMAL(18,4)) END AS ev, {NORM} AS cur FROM col) c JOIN reg USING (event_name) WHERE session_id IS NOT NULL AND n_events = 1""")
 
+# ---- streams ------------------------------------------------------------------------------------
+
+add("J1_stream_hits", EV2, """
+SELECT CASE WHEN payload_id % 10 < 2 THEN 'malformed' ELSE 'hit' END AS outcome, count(*) AS lines, count(*) FILTER (WHERE payload_id % 10 >= 2) AS events FROM ev2 GROUP BY 1""")
+ORACLES["J2_live_sessions"] = ORACLES["E5_session_counters"]
+add("J4_stream_per_minute", PAY, """
+SELECT CAST(date_trunc('minute', received_at) AS VARCHAR) AS start, count(*) AS views FROM pay WHERE k % 8 <> 7 AND pvs = 1 GROUP BY 1""")
+add("J5_stream_top", PAY, """
+SELECT page_path, count(*) AS n FROM pay WHERE k % 8 <> 7 AND pvs = 1 AND CAST(received_at AS DATE) = (SELECT max(CAST(received_at AS DATE)) FROM pay WHERE k % 8 <> 7 AND pvs = 1)
+GROUP BY 1 ORDER BY n DESC, page_path LIMIT 6""")
+add("J7_stream_rate_limit", PAY, """
+SELECT payload_id, visitor_key FROM (SELECT *, row_number() OVER (PARTITION BY visitor_key, payload_id // 6000 ORDER BY payload_id) AS rn FROM pay WHERE k % 8 <> 7) WHERE rn = 1""")
+add("J9_stream_rollup", DT, "SELECT CAST(day AS VARCHAR) AS day, sessions, events, pageviews, CAST(revenue AS DOUBLE) AS revenue FROM dt")
+
 # ---- rollups ------------------------------------------------------------------------------------
 
 add("F1_traffic_sessions", DT, "SELECT CAST(day AS VARCHAR) AS day, * EXCLUDE (day) FROM ts")
@@ -724,6 +738,7 @@ add("F6_daily_events", DE, "SELECT CAST(day AS VARCHAR) AS day, * EXCLUDE (day,
 add("F7_daily_searches", DS, "SELECT CAST(day AS VARCHAR) AS day, * EXCLUDE (day) FROM ds")
 add("F8_heatmap_daily", HM, "SELECT CAST(day AS VARCHAR) AS day, path, device, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, clicks FROM hm")
 add("F9_crawler_daily", REQ, "SELECT CAST(day AS VARCHAR) AS day, crawler, path, crawler_type, CAST(status_code AS BIGINT) AS status_code, hits, CAST(last_seen_at AS VARCHAR) AS last_seen_at FROM cd")
+ORACLES["J6_stream_counters"] = ORACLES["F9_crawler_daily"]
 add("F10_days_to_rebuild", EVENTS, f"""
 SELECT CAST(day AS VARCHAR) AS day, CASE min(p) WHEN 0 THEN 'current' WHEN 1 THEN 'catch_up' ELSE 'backfill' END AS reason FROM (
   SELECT unnest([DATE '2024-01-30', DATE '2024-01-29']) AS day, 0 AS p

@@ -18,9 +18,11 @@ from footfall.operators import currency, enrich, geo, retention, rollup, windows
 from footfall.operators import events as evs
 from footfall.operators import sessions as ses
 from footfall.plans import ads, ingest, realtime, reports
+from footfall.runtime import scratch_dir
 from footfall.settings import Settings
 from footfall.sources import sample, tables
 from footfall.sources.hits import split_bodies
+from footfall.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,8 +87,6 @@ def A4_scan_daily(spark, d):
 @query
 def A10_write_days(spark, d):
     """Writes the traffic table twice, the second time for two days only; the result is the table itself."""
-    from footfall.runtime import scratch_dir
-
     w = warehouse(spark, d)
     path = scratch_dir(spark, "write-days")
     dt = w.daily("daily_traffic")
@@ -98,8 +98,6 @@ def A10_write_days(spark, d):
 
 @query
 def A11_append_events(spark, d):
-    from footfall.runtime import scratch_dir
-
     w = warehouse(spark, d)
     path = scratch_dir(spark, "append")
     e = w.events.select("event_id", "occurred_at", "event_name")
@@ -111,8 +109,6 @@ def A11_append_events(spark, d):
 @query
 def A12_upsert_counters(spark, d):
     """Crawler counters written in two batches with one of them delivered twice, equal to the batch rollup."""
-    from footfall.runtime import scratch_dir
-
     path = scratch_dir(spark, "upsert")
     hits = rollup.crawler_hits(sample.requests(spark, d), "SiteAudit/")
     cut = ntz("2024-01-15 06:00:00")
@@ -130,8 +126,6 @@ def A12_upsert_counters(spark, d):
 @query
 def A13_export_csv(spark, d):
     """The event report written as CSV and read back."""
-    from footfall.runtime import scratch_dir
-
     path = scratch_dir(spark, "csv")
     tables.export_csv(reports.events(warehouse(spark, d).daily("daily_events"), FROM, TO), "events", path)
     return spark.read.option("header", True).schema(
@@ -1052,6 +1046,118 @@ def G33_first_day(spark, d):
     return reports.first_day(_dt(spark, d))
 
 
+# ---- streams ------------------------------------------------------------------------------------
+
+
+def event_stream(spark, d):
+    schema = sample.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def payload_stream(spark, d):
+    p = sample.map_payloads(sample.with_k(event_stream(spark, d)))
+    return p.where(F.col("k") % 8 != 7)
+
+
+def run_to_table(stream, name, mode):
+    """Runs a stream over what is there and returns its last state per batch row, read back from the scratch folder."""
+    spark = stream.sparkSession
+    out = scratch_dir(spark, name)
+
+    def write(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/rows")
+
+    q = (
+        stream.writeStream.foreachBatch(write).outputMode(mode)
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def latest(rows, keys):
+    """Last update per key."""
+    others = [c for c in rows.columns if c not in keys and c != "_batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(*keys, "_r.*")
+
+
+@query
+def J1_stream_hits(spark, d):
+    """Payloads written as log lines, a fifth of them broken, read back as a stream."""
+    path = scratch_dir(spark, "beacons")
+    h = sample.raw_hits(spark, d)
+    body = F.to_json(F.struct("u", "r", "ti", "hb", "e"))
+    lines = h.select(
+        F.col("payload_id").alias("id"), "ip", "user_agent", "received_at",
+        F.when(F.col("payload_id") % 10 < 2, F.substring(body, 2, 50)).otherwise(body).alias("body"),
+    )
+    lines.write.json(path)
+    hits, rejects = streams.stream_hits(spark, path)
+    rows = hits.select(F.lit("hit").alias("outcome"), "payload_id", F.size("e").alias("n")).unionByName(
+        rejects.select(F.col("reason").alias("outcome"), F.col("id").alias("payload_id"), F.lit(0).alias("n"))
+    )
+    out = run_to_table(rows, "stream-hits", "append")
+    return out.groupBy("outcome").agg(F.count("*").alias("lines"), F.sum("n").alias("events"))
+
+
+@query
+def J2_live_sessions(spark, d):
+    s = latest(run_to_table(streams.live_sessions(payload_stream(spark, d), sample.TIMEOUT), "live", "update"), ["session_id"])
+    s = s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_seen_at")})
+    cols = ["started_at", "last_seen_at", "duration_seconds", "pageviews", "event_count", "engaged_seconds", "conversions", "exit_path"]
+    return s.select("session_id", *cols)
+
+
+@query
+def J3_stream_active(spark, d):
+    rows = latest(run_to_table(streams.stream_active(payload_stream(spark, d)), "active", "update"), ["window"])
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "visitors")
+
+
+@query
+def J4_stream_per_minute(spark, d):
+    e = payload_stream(spark, d).withColumn("occurred_at", F.col("received_at"))
+    rows = latest(run_to_table(streams.stream_per_minute(e), "minutes", "update"), ["window"])
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "views")
+
+
+@query
+def J5_stream_top(spark, d):
+    e = payload_stream(spark, d).withColumn("occurred_at", F.date_trunc("day", "received_at").cast("timestamp_ntz"))
+    rows = latest(run_to_table(streams.stream_top(e.where("n_pageviews = 1"), "page_path"), "top", "update"), ["window", "page_path"])
+    return streams.top_of(rows, "page_path")
+
+
+@query
+def J6_stream_counters(spark, d):
+    root = scratch_dir(spark, "stream-crawlers")
+    p = sample.map_requests(sample.with_k(event_stream(spark, d)))
+    q = streams.stream_counters(
+        p, lambda b: rollup.crawler_daily(rollup.crawler_hits(b, "SiteAudit/")), f"{root}/table", f"{root}/checkpoint",
+        ["day", "crawler", "path"], ["hits"], {"status_code": "last_seen_at", "crawler_type": "last_seen_at"},
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("day", "crawler", "path", "crawler_type", "status_code", "hits", "last_seen_at")
+
+
+@query
+def J7_stream_rate_limit(spark, d):
+    p = payload_stream(spark, d).withColumn(
+        "received_at", plus_seconds(ntz("2024-01-01 00:00:00"), F.col("payload_id") / 100)
+    )
+    return run_to_table(streams.stream_rate_limit(p, 1), "limited", "append").select("payload_id", "visitor_key")
+
+
+@query
+def J9_stream_rollup(spark, d):
+    w = warehouse(spark, d)
+    root = scratch_dir(spark, "stream-rollup")
+    new = payload_stream(spark, d).select(F.col("received_at").alias("occurred_at"))
+    q = streams.stream_rollup(new, lambda: w.sessions, lambda: w.events, root, f"{root}/checkpoint", TZ)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/daily_traffic").select("day", "sessions", "events", "pageviews", "revenue")
+
+
 # ---- windows ------------------------------------------------------------------------------------
 
 

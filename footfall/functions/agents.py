@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.times import col
+from footfall.functions.times import col, let
 
 # Known crawlers as (report name, token in the user agent, kind). The first match counts.
 CRAWLERS: list[tuple[str, str, str]] = [
@@ -54,13 +54,14 @@ CRAWLERS: list[tuple[str, str, str]] = [
     ("Discordbot", "Discordbot", "social"),
     ("Pinterestbot", "Pinterestbot", "social"),
 ]
-# Signs of automation in any user agent.
-AUTOMATION = (
-    r"(?i)\bbot\b|bots?/|bot;|crawl|spider|slurp|mediapartners|headless|phantomjs|puppeteer|playwright"
-    r"|selenium|lighthouse|pagespeed|gtmetrix|pingdom|uptime|monitor|curl/|wget/|python-requests"
-    r"|python-urllib|aiohttp|httpclient|okhttp|go-http-client|java/|libwww|scrapy|axios/|node-fetch"
-    r"|feedfetcher|validator|preview"
-)
+# Signs of automation in any user agent. The word "bot" counts only on its own.
+AUTOMATION = [
+    "bot/", "bots/", "bot;", "crawl", "spider", "slurp", "mediapartners", "headless", "phantomjs", "puppeteer",
+    "playwright", "selenium", "lighthouse", "pagespeed", "gtmetrix", "pingdom", "uptime", "monitor", "curl/", "wget/",
+    "python-requests", "python-urllib", "aiohttp", "httpclient", "okhttp", "go-http-client", "java/", "libwww",
+    "scrapy", "axios/", "node-fetch", "feedfetcher", "validator", "preview",
+]
+BOT_WORD = r"\bbot\b"
 MIN_AGENT_LENGTH = 12
 
 # Browsers in the order they are tried; the first non-empty group is the major version.
@@ -83,9 +84,18 @@ PLATFORM_HINTS = {
     "Windows": "Windows", "macOS": "macOS", "Android": "Android", "iOS": "iOS",
     "Chrome OS": "ChromeOS", "Linux": "Linux",
 }
-TV = r"(?i)SmartTV|SMART-TV|HbbTV|AppleTV|CrKey|Tizen.+TV|Roku|BRAVIA|NetCast|Web0S"
-TABLET = r"(?i)iPad|Tablet|Kindle|Silk|PlayBook|Android(?!.*Mobile)"
-MOBILE = r"(?i)Mobi|iPhone|iPod|Windows Phone|BlackBerry|Opera Mini|IEMobile"
+# Signs of each device class, in lower case.
+TV = ["smarttv", "smart-tv", "hbbtv", "appletv", "crkey", "roku", "bravia", "netcast", "web0s"]
+TABLET = ["ipad", "tablet", "kindle", "silk", "playbook"]
+MOBILE = ["mobi", "iphone", "ipod", "windows phone", "blackberry", "opera mini", "iemobile"]
+
+
+def _any_of(text: Column, tokens: list[str]) -> Column:
+    """Plain substring tests: far cheaper per row than one case-insensitive alternation."""
+    out = text.contains(tokens[0])
+    for t in tokens[1:]:
+        out = out | text.contains(t)
+    return out
 
 
 def crawler(ua: str | Column) -> Column:
@@ -99,14 +109,14 @@ def crawler(ua: str | Column) -> Column:
     )
 
 
-def known_crawler(ua: str | Column) -> Column:
-    esc = [t.replace("/", r"\/").replace("-", r"\-") for _, t, _ in CRAWLERS]
-    return col(ua).rlike("(?i)" + "|".join(esc))
-
-
 def is_bot(ua: str | Column) -> Column:
     ua = F.coalesce(col(ua), F.lit(""))
-    return (F.octet_length(ua) < MIN_AGENT_LENGTH) | known_crawler(ua) | ua.rlike(AUTOMATION)
+
+    def signs(low: Column) -> Column:
+        crawlers = _any_of(low, [t.lower() for _, t, _ in CRAWLERS])
+        return crawlers | _any_of(low, AUTOMATION) | (low.contains("bot") & low.rlike(BOT_WORD))
+
+    return (F.octet_length(ua) < MIN_AGENT_LENGTH) | let(F.lower(ua), signs)
 
 
 def browser_of(ua: str | Column) -> Column:
@@ -162,11 +172,16 @@ def os_of(ua: str | Column, platform: str | Column) -> Column:
 
 
 def device_of(ua: str | Column) -> Column:
-    ua = col(ua)
-    return (
-        F.when(ua.rlike(TV), "tv").when(ua.rlike(TABLET), "tablet").when(ua.rlike(MOBILE), "mobile")
-        .otherwise("desktop")
-    )
+    def classify(low: Column) -> Column:
+        tizen = low.contains("tizen") & low.rlike("tizen.+tv")
+        # An Android system without "mobile" anywhere behind its name is a tablet.
+        droid = low.contains("android") & ~F.substring_index(low, "android", -1).contains("mobile")
+        return (
+            F.when(_any_of(low, TV) | tizen, "tv").when(_any_of(low, TABLET) | droid, "tablet")
+            .when(_any_of(low, MOBILE), "mobile").otherwise("desktop")
+        )
+
+    return let(F.lower(col(ua)), classify)
 
 
 def user_agent(df: DataFrame, ua: str = "user_agent", platform: str = "ch_platform", touch: str = "tp") -> DataFrame:

@@ -85,7 +85,8 @@ def query_map(query: str | Column) -> Column:
         names = F.transform(ps, lambda p: p["k"])
         return F.filter(ps, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]))
 
-    return F.map_from_entries(let(pairs, last_of_each))
+    some = F.map_from_entries(let(pairs, last_of_each))
+    return F.when(col(query) == "", F.create_map().cast("map<string,string>")).otherwise(some)
 
 
 def clean_path(c: str | Column) -> Column:
@@ -101,13 +102,13 @@ def identity_query(params: str | Column, names: Sequence[str] = IDENTITY_PARAMS)
     kept = [
         F.when(m[n].rlike(r"^[A-Za-z0-9_\-]{1,64}$"), F.concat(F.lit(f"{n}="), m[n])) for n in names
     ]
-    return F.concat_ws("&", *kept)
+    return F.when(F.size(m) > 0, F.concat_ws("&", *kept)).otherwise("")
 
 
 def page_path(path: str | Column, params: str | Column, names: Sequence[str] = IDENTITY_PARAMS) -> Column:
     base = clean_path(F.when(col(path) == "", "/").otherwise(col(path)))
     q = identity_query(params, names)
-    tail = F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
+    tail = let(q, lambda t: F.when(t != "", F.concat(F.lit("?"), t)).otherwise(""))
     return F.left(F.concat(base, tail), F.lit(512))
 
 
@@ -124,7 +125,8 @@ def campaign(params: str | Column) -> list[Column]:
     """The five campaign columns, '' where the parameter is missing."""
     m = col(params)
     return [
-        F.left(scrub_pii(clean_line(F.coalesce(m[k], F.lit("")))), F.lit(191)).alias(k) for k in UTM_KEYS
+        F.when(F.coalesce(m[k], F.lit("")) == "", "").otherwise(F.left(scrub_pii(clean_line(m[k])), F.lit(191))).alias(k)
+        for k in UTM_KEYS
     ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.text import contains_pii, scrub_pii, slug, strip_tags
-from footfall.functions.times import col, plus_seconds
+from footfall.functions.times import col, let, plus_seconds
 
 MAX_EVENTS = 25
 MAX_ATTRIBUTES = 25
@@ -128,41 +128,50 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
 
 
-def _scalar(v: Column) -> Column:
+def _scalar(v: Column, kind: Column) -> Column:
     """JSON text of one attribute value, NULL when it is not storable."""
-    kind = F.schema_of_variant(v)
-    text = F.trim(strip_tags(F.try_variant_get(v, "$", "string")))
     number = F.round(F.try_variant_get(v, "$", "double"), 6)
+
+    def stored(text: Column) -> Column:
+        return F.when((text != "") & ~contains_pii(text), _quoted(F.left(scrub_pii(text), F.lit(MAX_STRING))))
+
     return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string"))
-        .when(kind == "BIGINT", F.try_variant_get(v, "$", "string"))
+        F.when(kind == "STRING", let(F.trim(strip_tags(F.try_variant_get(v, "$", "string"))), stored))
+        .when(kind.isin("BOOLEAN", "BIGINT"), F.try_variant_get(v, "$", "string"))
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.regexp_replace(F.to_json(F.array(number)), r"[\[\]]", ""))
-        .when(
-            (kind == "STRING") & (text != "") & ~contains_pii(text),
-            _quoted(F.left(scrub_pii(text), F.lit(MAX_STRING))),
-        )
     )
 
 
 def clean_attributes_of(json: str | Column, max_keys: int = MAX_ATTRIBUTES) -> Column:
     """Filtered attributes as JSON text, '{}' for none. Keys keep their order; the first max_keys kept count."""
     src = col(json)
-    values = F.try_parse_json(src).try_cast("map<string,variant>")
-    names = F.array_distinct(F.coalesce(F.json_object_keys(src), F.array().cast("array<string>")))
-
-    def entry(k: Column) -> Column:
-        v = F.element_at(values, k)
-        many = F.filter(
-            F.transform(F.slice(v.try_cast("array<variant>"), 1, MAX_LIST), _scalar), lambda x: x.isNotNull()
-        )
-        listed = F.when(F.size(many) > 0, F.concat(F.lit("["), F.array_join(many, ","), F.lit("]")))
-        body = F.when(F.schema_of_variant(v).startswith("ARRAY"), listed).otherwise(_scalar(v))
-        low = F.lower(k)
-        ok = low.rlike(ATTRIBUTE_NAME) & ~forbidden_key(low) & v.isNotNull() & body.isNotNull()
-        return F.when(ok, F.concat(F.lit('"'), low, F.lit('":'), body))
-
-    kept = F.slice(F.filter(F.transform(names, entry), lambda x: x.isNotNull()), 1, max_keys)
-    return F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}"))
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.coalesce(F.json_object_keys(src), none))
+
+    def value(v: Column) -> Column:
+        def typed(kind: Column) -> Column:
+            many = F.filter(
+                F.transform(
+                    F.slice(v.try_cast("array<variant>"), 1, MAX_LIST), lambda x: _scalar(x, F.schema_of_variant(x))
+                ),
+                lambda x: x.isNotNull(),
+            )
+            listed = let(many, lambda m: F.when(F.size(m) > 0, F.concat(F.lit("["), F.array_join(m, ","), F.lit("]"))))
+            return F.when(kind.startswith("ARRAY"), listed).otherwise(_scalar(v, kind))
+
+        return let(F.schema_of_variant(v), typed)
+
+    def entries(values: Column) -> Column:
+        def entry(k: Column) -> Column:
+            low = F.lower(k)
+            ok = low.rlike(ATTRIBUTE_NAME) & ~forbidden_key(low)
+            body = let(F.element_at(values, k), value)
+            return F.when(ok, F.concat(F.lit('"'), low, F.lit('":'), body))
+
+        return F.filter(F.transform(names, entry), lambda x: x.isNotNull())
+
+    kept = F.slice(let(F.try_parse_json(src).try_cast("map<string,variant>"), entries), 1, max_keys)
+    return F.concat(F.lit("{"), F.array_join(F.coalesce(kept, none), ","), F.lit("}"))
 
 
 def clean_attributes(events: DataFrame, max_keys: int = MAX_ATTRIBUTES, column: str = "attributes") -> DataFrame:

@@ -289,7 +289,11 @@ def heat_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server log rows for the crawler report."""
-    p = named(raw(spark, sf_dir))
+    return map_requests(raw(spark, sf_dir))
+
+
+def map_requests(e: DataFrame) -> DataFrame:
+    p = named(e)
     k = F.col("k")
     crawler = pick(
         F.col("user_id") % 4,

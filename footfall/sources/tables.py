@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.text import csv_safe
@@ -61,9 +61,10 @@ def write_days(df: DataFrame, path: str, days: Sequence[date | str], column: str
     Listed days without rows end up empty. Rows are rebalanced by day before the write, which splits a
     day that is too big for one task and packs small ones.
     """
-    spark = df.sparkSession
     wanted = [str(d) for d in days]
+    seen = Observation()
     rows = df.where(F.col(column).cast("string").isin(wanted))
+    rows = rows.observe(seen, F.collect_set(F.col(column).cast("string")).alias("days"))  # at most len(days) values
     (
         rows.hint("rebalance", F.col(column))
         .write.mode("overwrite")
@@ -71,8 +72,8 @@ def write_days(df: DataFrame, path: str, days: Sequence[date | str], column: str
         .partitionBy(column)
         .parquet(path)
     )
-    present = {str(r[0]) for r in rows.select(column).distinct().collect()}  # at most len(days) rows
-    _drop_partitions(spark, path, column, [d for d in wanted if d not in present])
+    present = set(seen.get["days"])
+    _drop_partitions(df.sparkSession, path, column, [d for d in wanted if d not in present])
 
 
 def append_events(df: DataFrame, path: str, ts: str = "occurred_at") -> None:
