@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schemas
@@ -11,18 +11,13 @@ MAX_BODY = 16384
 MAX_DEPTH = 8
 
 
-def _nesting(text):
-    """Deepest bracket nesting outside of strings, as a column (no string state is kept after stripping them)."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(marks, ""), lambda ch: F.when(ch.isin("[", "{"), 1).when(ch.isin("]", "}"), -1).otherwise(0))
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, s: F.struct(
-            (acc["now"] + s).alias("now"), F.greatest(acc["top"], acc["now"] + s).alias("top")
-        ),
-    )
-    return walk["top"]
+def _too_deep(body: Column) -> Column:
+    """Whether JSON is nested deeper than allowed: peel off innermost brackets once per level, see what is left."""
+    text = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    marks = F.regexp_replace(text, r"[^\[\]{}]", "")
+    for _ in range(MAX_DEPTH):
+        marks = F.regexp_replace(marks, r"\[\]|\{\}", "")
+    return marks != ""
 
 
 def read_hits(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +37,7 @@ def split_bodies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = (
         F.when(F.octet_length(F.coalesce("body", F.lit(""))) > MAX_BODY, "too_large")
         .when(~F.coalesce(object_like, F.lit(False)), "malformed")
-        .when(_nesting(body) > MAX_DEPTH, "malformed")
+        .when(_too_deep(body), "malformed")
     )
     tagged = lines.withColumn("reason", reason)
     parsed = tagged.where(F.col("reason").isNull()).withColumn("p", F.from_json("body", schemas.PAYLOAD))
