@@ -100,23 +100,27 @@ def _any_of(text: Column, tokens: list[str]) -> Column:
 
 def crawler(ua: str | Column) -> Column:
     """Struct(name, type) of the first known crawler, NULL for none."""
-    low = F.lower(col(ua))
-    return F.coalesce(
-        *[
-            F.when(low.contains(token.lower()), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type")))
-            for name, token, kind in CRAWLERS
-        ]
-    )
 
+    def first_known(low: Column) -> Column:
+        found = None
+        for name, token, kind in CRAWLERS:
+            pair = F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"))
+            test = low.contains(token.lower())
+            found = F.when(test, pair) if found is None else found.when(test, pair)
+        return found
+
+    return let(F.lower(col(ua)), first_known)
 
-def is_bot(ua: str | Column) -> Column:
-    ua = F.coalesce(col(ua), F.lit(""))
 
-    def signs(low: Column) -> Column:
-        crawlers = _any_of(low, [t.lower() for _, t, _ in CRAWLERS])
-        return crawlers | _any_of(low, AUTOMATION) | (low.contains("bot") & low.rlike(BOT_WORD))
+def bot_signs(low: Column) -> Column:
+    """Crawler or automation tokens in a lower-cased user agent."""
+    known = _any_of(low, [t.lower() for _, t, _ in CRAWLERS])
+    return known | _any_of(low, AUTOMATION) | (low.contains("bot") & low.rlike(BOT_WORD))
 
-    return (F.octet_length(ua) < MIN_AGENT_LENGTH) | let(F.lower(ua), signs)
+
+def is_bot(ua: str | Column) -> Column:
+    ua = F.coalesce(col(ua), F.lit(""))
+    return (F.octet_length(ua) < MIN_AGENT_LENGTH) | let(F.lower(ua), bot_signs)
 
 
 def browser_of(ua: str | Column) -> Column:

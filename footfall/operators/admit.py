@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.agents import is_bot
+from footfall.functions.agents import MIN_AGENT_LENGTH, bot_signs
 from footfall.functions.network import in_cidrs
 from footfall.functions.times import epoch_seconds
 from footfall.functions.urls import bare_host, path_matches
@@ -51,10 +51,15 @@ def rate_limit(hits: DataFrame, per_minute: int = RATE_LIMIT) -> DataFrame:
     return with_rate_rank(hits, F.lit(True)).where(F.col("_rank") <= per_minute).drop("_rank")
 
 
+def _bot() -> Column:
+    """``is_bot`` on the lower-cased agent that ``admit`` has put into a column, so it stays in generated code."""
+    return (F.octet_length("_agent") < MIN_AGENT_LENGTH) | bot_signs(F.col("_agent"))
+
+
 def early_reason(settings: Settings, bot: Column | None = None) -> Column:
     """Reasons that need nothing but the row: everything up to the path check."""
     s = settings
-    automated = F.coalesce(F.col("wd").cast("boolean"), F.lit(False)) | (is_bot("user_agent") if bot is None else bot)
+    automated = F.coalesce(F.col("wd").cast("boolean"), F.lit(False)) | (_bot() if bot is None else bot)
     return F.coalesce(
         F.when(F.lit(not s.tracking_enabled), "disabled"),
         F.when(F.lit(s.respect_dnt) & F.coalesce("dnt", F.lit(False)), "dnt"),
@@ -72,7 +77,8 @@ def admit(hits: DataFrame, settings: Settings, bot: Column | None = None, per_mi
     ``no_session`` is known only once sessions are built; see ``plans.ingest``. A payload with nothing but
     heat points is accepted and opens no session.
     """
-    df = hits.withColumn("_early", early_reason(settings, bot))
+    df = hits.withColumn("_agent", F.lower(F.coalesce("user_agent", F.lit(""))))
+    df = df.withColumn("_early", early_reason(settings, bot)).drop("_agent")
     df = with_rate_rank(df, F.col("_early").isNull())
     heat = F.lit(settings.heatmaps) & (F.coalesce(F.col("n_heat"), F.lit(0)) > 0)
     late = F.coalesce(
