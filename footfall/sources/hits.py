@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schemas
+from footfall.functions.times import let
 
 MAX_BODY = 16384
 MAX_DEPTH = 8
@@ -31,14 +32,19 @@ def read_hits(spark: SparkSession, path: str, streaming: bool = False) -> tuple[
     return split_bodies(lines)
 
 
-def split_bodies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    body = F.trim(F.coalesce("body", F.lit("")))
-    object_like = body.rlike(r"(?s)^\{.*\}$") & (F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"))
-    reason = (
-        F.when(F.octet_length(F.coalesce("body", F.lit(""))) > MAX_BODY, "too_large")
+def _verdict(body: Column) -> Column:
+    """Why a body is rejected, NULL for a usable one."""
+    text = F.trim(body)
+    object_like = text.rlike(r"(?s)^\{.*\}$") & F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return (
+        F.when(F.octet_length(body) > MAX_BODY, "too_large")
         .when(~F.coalesce(object_like, F.lit(False)), "malformed")
-        .when(_too_deep(body), "malformed")
+        .when(_too_deep(text), "malformed")
     )
+
+
+def split_bodies(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    reason = let(F.coalesce("body", F.lit("")), _verdict)
     tagged = lines.withColumn("reason", reason)
     parsed = tagged.where(F.col("reason").isNull()).withColumn("p", F.from_json("body", schemas.PAYLOAD))
     hits = parsed.select(F.col("id").alias("payload_id"), "p.*", *schemas.columns(schemas.REQUEST))
