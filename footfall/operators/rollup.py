@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.text import normalize_term
 from footfall.functions.times import day_lit, epoch_seconds, local_day, utc_midnight
-from footfall.sources.tables import between_days
+from footfall.sources.tables import between_days, between_instants
 
 QUARTER_HOUR = 900
 DAY = 86400
@@ -431,9 +431,7 @@ def rollup(sessions: DataFrame, events: DataFrame, days: Sequence | None, tz: st
         lo, hi = min(map(str, days)), max(map(str, days))
         s = between_days(sessions, "started_at", lo, hi, tz)
         e = between_days(events, "occurred_at", lo, hi, tz)
-        later = events.where(
-            (F.col("occurred_at") >= utc_midnight(lo, tz)) & (F.col("occurred_at") < utc_midnight(hi, tz, 3))
-        )
+        later = between_instants(events, "occurred_at", utc_midnight(lo, tz), utc_midnight(hi, tz, 3))
     tables = {
         "daily_traffic": daily_traffic(s, e, tz),
         "daily_dimensions": daily_dimensions(s, later, tz),

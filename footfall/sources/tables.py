@@ -5,19 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.text import csv_safe
 from footfall.functions.times import day_lit, utc_midnight
 
 
-def between_days(df: DataFrame, ts: str, from_, to, tz: str) -> DataFrame:
-    """Rows of the site-local days from..to, as a half-open range on the raw UTC column.
+def between_instants(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
+    """Rows with start <= ts < end, UTC. Literal bounds reach the Parquet scan; on a table stored by event_date
+    they also pick the partitions."""
+    rows = df.where((F.col(ts) >= start) & (F.col(ts) < end))
+    if "event_date" in df.columns:
+        rows = rows.where(F.col("event_date").between(F.to_date(start), F.to_date(end)))
+    return rows
 
-    Both bounds fold to literals, so the range reaches the Parquet scan.
-    """
-    return df.where((F.col(ts) >= utc_midnight(from_, tz)) & (F.col(ts) < utc_midnight(to, tz, 1)))
+
+def between_days(df: DataFrame, ts: str, from_, to, tz: str) -> DataFrame:
+    """Rows of the site-local days from..to, as a half-open range on the raw UTC column."""
+    return between_instants(df, ts, utc_midnight(from_, tz), utc_midnight(to, tz, 1))
 
 
 def scan_events(events: DataFrame, from_, to, tz: str) -> DataFrame:
