@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from footfall.llm.decontaminate import OP4_SQL, op4_decontaminate
+from footfall.llm.lines import OP7_SQL, op7_line_dedup
+from footfall.llm.simhash import op9_simhash
 from footfall.llm.shards import op10_shards
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL}
