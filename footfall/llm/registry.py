@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from footfall.llm.decontaminate import OP4_SQL, op4_decontaminate
 from footfall.llm.lines import OP7_SQL, op7_line_dedup
+from footfall.llm.packing import op6_packing
+from footfall.llm.token_files import op3_token_files
 from footfall.llm.simhash import op9_simhash
 from footfall.llm.shards import op10_shards
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op4_decontaminate": op4_decontaminate,
+    "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
