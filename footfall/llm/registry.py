@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from footfall.llm.decontaminate import OP4_SQL, op4_decontaminate
+from footfall.llm.langid import op8_language
 from footfall.llm.lines import OP7_SQL, op7_line_dedup
 from footfall.llm.packing import op6_packing
 from footfall.llm.token_files import op3_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
 }
