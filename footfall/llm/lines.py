@@ -141,7 +141,8 @@ def dedupe_lines(
     runs = LineRuns(spark, shared_dir(spark, "runs"), fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    repeated = runs.entries().filter(F.col("n") >= min_docs).select("h1", "h2", "top")
+    # Stored, so that the join below deals out both sides itself and can split the lines of a hot key.
+    repeated = stored(runs.entries().filter(F.col("n") >= min_docs).select("h1", "h2", "top"), "repeated")
     dropped = lines.join(repeated, ["h1", "h2"]).filter(F.col("id").isNull() | (F.col("id") < F.col("top"))).select("doc", "line")
     return without_lines(docs, dropped, key, text_col)
 
