@@ -19,7 +19,7 @@ UNDETERMINED = "und"
 DIMS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 #: Documents of each language that a model is fitted on, about; a bound on what reaches the driver, with DIMS.
-SAMPLE = 1500
+SAMPLE = 500
 #: Languages of a model.
 MAX_LANGUAGES = 500
 CHUNK = 1 << 16
@@ -97,7 +97,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
     """Weighted logistic regressions of all bits at once, by accelerated gradient steps."""
     w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
     vw, vb = w.copy(), b.copy()
-    step = 4.0 / max(1e-9, float((x * x).sum(axis=1).max()) + 1)
+    step = 4.0 / max(1e-9, float(np.einsum("ij,ij->i", x, x).max()) + 1)
     for t in range(rounds):
         p = x @ vw + vb
         g = (-y / (1 + np.exp(np.clip(y * p, -50, 50)))) * weight[:, None]
