@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from footfall.llm.common import ascii_lower, row_key, shared_dir, stored, table
 
@@ -89,7 +90,7 @@ class LineRuns:
         return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _kept(text: pd.Series, dropped: pd.Series) -> pd.Series:
     def one(t: str | None, gone) -> str | None:
         if t is None or gone is None:
