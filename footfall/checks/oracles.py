@@ -559,7 +559,7 @@ FROM (SELECT payload_id, user_id, user_id % 256 AS t FROM pay)""")
 add("D8_flag_returning", SESS, "SELECT session_id, CAST(is_returning AS BIGINT) AS is_returning FROM sess")
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in CONTENT_COLS)
 CRATES = f"pageviews, visitors, entrances, exits, conversions, {r('engaged_seconds', 'engaged_views', 1)} AS avg_engaged_time, {r('exits', 'pageviews', 4)} AS exit_rate"
-BYPOST = DC + POSTS + f"bp AS (SELECT post_id, {SUMS} FROM dc WHERE {RANGE} AND post_id > 0 GROUP BY post_id ORDER BY sum(pageviews) DESC, post_id LIMIT 5000),"
+BYPOST = DC + POSTS + f"bp AS (SELECT post_id, {SUMS} FROM dc WHERE {RANGE} AND post_id > 0 GROUP BY post_id),"
 
 
 def content(key: str, joins: str, limit: int = 10) -> str:
@@ -808,7 +808,7 @@ FROM (SELECT post_type, {SUMS} FROM dc WHERE {RANGE} GROUP BY post_type) ORDER B
 add("G11_content_author", BYPOST, content("CASE WHEN p.published IS NULL THEN 'deleted' ELSE p.author END", ""))
 add("G11_content_age", BYPOST, content("CASE WHEN p.published IS NULL THEN 'deleted' ELSE " + AGE.replace("age", "(DATE '2024-02-01' - p.published)") + " END", ""))
 for _m, _n in [("entrances", "entry"), ("exits", "exit")]:
-    add(f"G12_{_n}_pages", DC, f"SELECT {PAGECOLS} FROM (SELECT * FROM {BYPATH} ORDER BY pageviews DESC, path LIMIT 100) WHERE {_m} > 0")
+    add(f"G12_{_n}_pages", DC, f"SELECT {PAGECOLS} FROM {BYPATH} WHERE {_m} > 0")
 add("G13_events", DE, G13)
 add("G14_conversions", DE, f"SELECT * FROM ({G13}) WHERE is_conversion = 1")
 INTER = {

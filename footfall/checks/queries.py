@@ -616,7 +616,7 @@ def edges_of(spark, d):
 
 @query
 def D12_uncrawled_links(spark, d):
-    return site.uncrawled_links(edges_of(spark, d), audit(spark, d))
+    return site.uncrawled_links(edges_of(spark, d), audit(spark, d), 300)
 
 
 @query
@@ -994,7 +994,7 @@ def G22_realtime_feed(spark, d):
 
 @query
 def G23_heatmap_pages(spark, d):
-    return reports.heatmap_pages(warehouse(spark, d).daily("heatmap_daily"), "mobile", FROM, TO)
+    return reports.heatmap_pages(warehouse(spark, d).daily("heatmap_daily"), "mobile", FROM, TO, 100)
 
 
 @query
@@ -1010,7 +1010,7 @@ def G25_crawlers(spark, d):
 
 @query
 def G26_crawler_404s(spark, d):
-    return reports.crawler_404s(warehouse(spark, d).daily("crawler_daily"), FROM, TO)
+    return reports.crawler_404s(warehouse(spark, d).daily("crawler_daily"), FROM, TO, 20)
 
 
 @query
@@ -1298,7 +1298,7 @@ def K10_inlinks(spark, d):
 
 @query
 def K11_broken_links(spark, d):
-    b = site.broken_links(edges_of(spark, d), site.status_by_url(audit(spark, d)))
+    b = site.broken_links(edges_of(spark, d), site.status_by_url(audit(spark, d)), listed=20)
     return b.select("page_id", "broken", F.array_join("listed", " ").alias("listed"))
 
 
@@ -1397,7 +1397,7 @@ def K23_url_worklist(spark, d):
         plus_seconds(ntz("2024-01-01 00:00:00"), ((i * 7919) % 100000)).alias("modified_at"), (i % 17).alias("posts"),
     )
     dup = c.where(F.col("post_id") % 3 == 1).withColumn("source", F.lit("archive"))
-    return site.url_worklist(c.unionByName(dup), 100).select("url", "path", "post_id", "source")
+    return site.url_worklist(c.unionByName(dup), 100, 30).select("url", "path", "post_id", "source")
 
 
 def _robots(spark, d):

@@ -23,7 +23,6 @@ TITLE_MAX, TITLE_MIN = 60, 20
 DESCRIPTION_MIN, DESCRIPTION_MAX = 70, 160
 MIN_WORDS = 250
 SUBHEADING_WORDS = 600
-MAX_LINKS = 300
 SKIP_SCHEMES = r"(?i)^(mailto|tel|sms|javascript|data|whatsapp|skype):"
 SKIP_PATHS = r"/(wp-admin|wp-login\.php|wp-json|xmlrpc\.php|feed)(/|$)"
 SKIP_EXTENSIONS = (
@@ -124,16 +123,16 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(df: DataFrame) -> DataFrame:
-    """links (distinct internal targets, at most 300) and external_links (those before the limit is reached)."""
+    """links (distinct internal targets) and external_links (how many point elsewhere), over the whole page."""
     usable = F.filter("hrefs", lambda h: (h != "") & ~h.startswith("#") & ~h.rlike(SKIP_SCHEMES))
     absolute = F.filter(
         F.transform(usable, lambda h: normalize_url(h, F.col("url"))), lambda u: u.rlike("(?i)^https?://")
     )
-    df = df.withColumn("_abs", absolute).withColumn("_host", bare_host(url_host("url")))
+    df = df.withColumn("_host", bare_host(url_host("url")))
     df = df.withColumn(
         "_tagged",
         F.transform(
-            "_abs",
+            absolute,
             lambda u: F.struct(
                 u.alias("u"),
                 (bare_host(url_host(u)) == F.col("_host")).alias("inside"),
@@ -146,14 +145,10 @@ def _links(df: DataFrame) -> DataFrame:
     inner = F.array_distinct(
         F.transform(F.filter("_tagged", lambda t: t["inside"] & t["page"]), lambda t: t["u"])
     )
-    df = df.withColumn("_all", inner)
-    full = F.size("_all") >= MAX_LINKS
-    stop = F.array_position("_abs", F.get("_all", F.lit(MAX_LINKS - 1)))
-    seen = F.when(full, F.slice("_tagged", F.lit(1), stop.cast("int"))).otherwise(F.col("_tagged"))
     return (
-        df.withColumn("links", F.slice("_all", 1, MAX_LINKS))
-        .withColumn("external_links", F.size(F.filter(seen, lambda t: ~t["inside"])))
-        .drop("_abs", "_host", "_tagged", "_all", "hrefs")
+        df.withColumn("links", inner)
+        .withColumn("external_links", F.size(F.filter("_tagged", lambda t: ~t["inside"])))
+        .drop("_host", "_tagged", "hrefs")
     )
 
 

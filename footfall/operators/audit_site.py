@@ -51,8 +51,6 @@ CATALOG: dict[str, tuple[str, str, str, str, str]] = {
     "robots_missing": ("notice", "technical", "site", "No robots.txt", "Add one that names the sitemap."),
 }
 CATEGORIES = ["strategy", "technical", "content", "ux", "semantic", "serp"]
-BROKEN_LISTED = 20
-LINK_CHECKS = 300
 WINDOW_DAYS = 28
 
 
@@ -69,11 +67,13 @@ def _ok() -> Column:
 # ---- link graph ---------------------------------------------------------------------------------
 
 
-def uncrawled_links(edges: DataFrame, pages: DataFrame, limit: int = LINK_CHECKS) -> DataFrame:
-    """Internal targets that were not crawled, by number of linking pages; the next addresses to check."""
+def uncrawled_links(edges: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Internal targets that were not crawled, by number of linking pages: the next addresses to check, all of them
+    unless a run's budget is given as ``limit``."""
     crawled = pages.select(F.col("self_url").alias("dst_url"))
     targets = edges.groupBy("dst_url").agg(F.count("*").alias("links"))
-    return targets.join(crawled, "dst_url", "left_anti").orderBy(F.desc("links"), "dst_url").limit(limit)
+    rows = targets.join(crawled, "dst_url", "left_anti").orderBy(F.desc("links"), "dst_url")
+    return rows if limit is None else rows.limit(limit)
 
 
 def status_by_url(facts: DataFrame, checked: DataFrame | None = None) -> DataFrame:
@@ -90,16 +90,17 @@ def link_status(edges: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def inlinks(edges: DataFrame) -> DataFrame:
-    """Pages linking to each target. An edge list holds a page and target once, so this is a plain count."""
+    """Pages linking to each target; edges that repeat a page and target count once."""
     return edges.select("page_id", "dst_url").distinct().groupBy("dst_url").agg(F.count("*").alias("inlinks"))
 
 
-def broken_links(edges: DataFrame, status: DataFrame) -> DataFrame:
-    """Per page, its links that fail (all counted, 20 listed). A page has at most 300 links."""
+def broken_links(edges: DataFrame, status: DataFrame, listed: int | None = None) -> DataFrame:
+    """Per page, its links that fail: all counted, and all listed unless ``listed`` says how many. A list holds the
+    links of one page, so it is as long as the page."""
     bad = link_status(edges, status).where((F.col("dst_status") == 0) | (F.col("dst_status") >= 400))
     return bad.groupBy("page_id").agg(
         F.count("*").alias("broken"),
-        F.slice(F.sort_array(F.collect_list("dst_url")), 1, BROKEN_LISTED).alias("listed"),
+        (F.sort_array(F.collect_list("dst_url")) if listed is None else F.slice(F.sort_array(F.collect_list("dst_url")), 1, listed)).alias("listed"),
     )
 
 
@@ -366,14 +367,18 @@ def common_ideas(issues: DataFrame, limit: int = 6) -> DataFrame:
 # ---- worklist, site checks, runs ----------------------------------------------------------------
 
 
-def url_worklist(candidates: DataFrame, limit: int = 250, archives: int = 30) -> DataFrame:
+def url_worklist(candidates: DataFrame, limit: int | None = None, archives: int | None = None) -> DataFrame:
     """Addresses to audit from (url, source, post_id, modified_at, posts).
 
-    The home page, then content by last change, then the 30 busiest archives; an address counts once.
+    The home page, then content by last change, then archives by size; an address counts once. ``limit`` is a run's
+    budget of addresses and ``archives`` that of archives; by default there is none.
     """
     kind = F.when(F.col("source") == "home", 0).when(F.col("source") == "content", 1).otherwise(2)
-    newest = candidates.where(F.col("source") == "content").orderBy(F.desc("modified_at"), "url").limit(limit)
-    busiest = candidates.where(F.col("source") == "archive").orderBy(F.desc("posts"), "url").limit(archives)
+    newest, busiest = candidates.where(F.col("source") == "content"), candidates.where(F.col("source") == "archive")
+    if limit is not None:
+        newest = newest.orderBy(F.desc("modified_at"), "url").limit(limit)
+    if archives is not None:
+        busiest = busiest.orderBy(F.desc("posts"), "url").limit(archives)
     rows = candidates.where(F.col("source") == "home").unionByName(newest).unionByName(busiest)
     ranked = rows.where(F.col("url") != "").withColumn(
         "_rank",
@@ -387,7 +392,9 @@ def url_worklist(candidates: DataFrame, limit: int = 250, archives: int = 30) ->
     once = ranked.groupBy(normalize_url("url", "url").alias("url_key")).agg(
         F.min("_rank").alias("_rank"), F.min_by(F.struct("url", "source", "post_id"), "_rank").alias("r")
     )
-    return once.orderBy("_rank").limit(limit).select("r.url", path_of("r.url").alias("path"), "r.post_id", "r.source")
+    once = once.orderBy("_rank")
+    once = once if limit is None else once.limit(limit)
+    return once.select("r.url", path_of("r.url").alias("path"), "r.post_id", "r.source")
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ def identity_mode(hits: DataFrame, settings: Settings) -> DataFrame:
     return hits.withColumn("enhanced", on).withColumn("id_mode", on.cast("int"))
 
 
-def heat_list(hm: str | Column) -> Column:
-    """Usable [x, y] points of a payload: the first 300, whole numbers inside the grid."""
+def heat_list(hm: str | Column, most: int = MAX_HEAT_POINTS) -> Column:
+    """Usable [x, y] points of a payload: of its first ``most``, those that are whole numbers inside the grid."""
     c = F.col(hm) if isinstance(hm, str) else hm
-    raw = F.slice(F.coalesce(F.from_json(c, "array<array<string>>"), F.array().cast("array<array<string>>")), 1, MAX_HEAT_POINTS)
+    raw = F.slice(F.coalesce(F.from_json(c, "array<array<string>>"), F.array().cast("array<array<string>>")), 1, most)
     pts = F.transform(
         raw,
         lambda p: F.struct(
@@ -41,9 +41,9 @@ def heat_list(hm: str | Column) -> Column:
     return F.filter(pts, lambda p: p["x"].between(0, MAX_HEAT_X) & p["y"].between(0, MAX_HEAT_Y))
 
 
-def heat_points(hits: DataFrame) -> DataFrame:
+def heat_points(hits: DataFrame, most: int = MAX_HEAT_POINTS) -> DataFrame:
     """One row per usable heat point: received_at, page_path, device, x, y."""
-    rows = hits.select("received_at", "page_path", "user_agent", "ch_platform", "tp", heat_list("hm").alias("_l"))
+    rows = hits.select("received_at", "page_path", "user_agent", "ch_platform", "tp", heat_list("hm", most).alias("_l"))
     rows = user_agent(rows.where(F.size("_l") > 0))
     return rows.select("received_at", "page_path", F.col("device_type").alias("device"), F.inline("_l"))
 

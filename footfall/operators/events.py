@@ -14,6 +14,7 @@ MAX_EVENTS = 25
 MAX_ATTRIBUTES = 25
 MAX_LIST = 10
 MAX_STRING = 200
+LEAD_PATTERN = r"^[A-Z]{2,5}-[A-Z0-9]{5,10}$"
 MAX_DELAY_MS = 600000
 MAX_HEARTBEAT = 300
 EVENT_NAME = r"^[a-z][a-z0-9_]{1,63}$"
@@ -128,12 +129,12 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
 
 
-def _scalar(v: Column, kind: Column) -> Column:
+def _scalar(v: Column, kind: Column, max_string: int = MAX_STRING) -> Column:
     """JSON text of one attribute value, NULL when it is not storable."""
     number = F.round(F.try_variant_get(v, "$", "double"), 6)
 
     def stored(text: Column) -> Column:
-        return F.when((text != "") & ~contains_pii(text), _quoted(F.left(scrub_pii(text), F.lit(MAX_STRING))))
+        return F.when((text != "") & ~contains_pii(text), _quoted(F.left(scrub_pii(text), F.lit(max_string))))
 
     return (
         F.when(kind == "STRING", let(F.trim(strip_tags(F.try_variant_get(v, "$", "string"))), stored))
@@ -142,8 +143,11 @@ def _scalar(v: Column, kind: Column) -> Column:
     )
 
 
-def clean_attributes_of(json: str | Column, max_keys: int = MAX_ATTRIBUTES) -> Column:
-    """Filtered attributes as JSON text, '{}' for none. Keys keep their order; the first max_keys kept count."""
+def clean_attributes_of(
+    json: str | Column, max_keys: int = MAX_ATTRIBUTES, max_list: int = MAX_LIST, max_string: int = MAX_STRING
+) -> Column:
+    """Filtered attributes as JSON text, '{}' for none. Keys keep their order; the first ``max_keys`` kept count, of a
+    list the first ``max_list`` items, of a text the first ``max_string`` characters."""
     src = col(json)
     none = F.array().cast("array<string>")
     names = F.array_distinct(F.coalesce(F.json_object_keys(src), none))
@@ -152,12 +156,12 @@ def clean_attributes_of(json: str | Column, max_keys: int = MAX_ATTRIBUTES) -> C
         def typed(kind: Column) -> Column:
             many = F.filter(
                 F.transform(
-                    F.slice(v.try_cast("array<variant>"), 1, MAX_LIST), lambda x: _scalar(x, F.schema_of_variant(x))
+                    F.slice(v.try_cast("array<variant>"), 1, max_list), lambda x: _scalar(x, F.schema_of_variant(x), max_string)
                 ),
                 lambda x: x.isNotNull(),
             )
             listed = let(many, lambda m: F.when(F.size(m) > 0, F.concat(F.lit("["), F.array_join(m, ","), F.lit("]"))))
-            return F.when(kind.startswith("ARRAY"), listed).otherwise(_scalar(v, kind))
+            return F.when(kind.startswith("ARRAY"), listed).otherwise(_scalar(v, kind, max_string))
 
         return let(F.schema_of_variant(v), typed)
 
@@ -174,8 +178,10 @@ def clean_attributes_of(json: str | Column, max_keys: int = MAX_ATTRIBUTES) -> C
     return F.concat(F.lit("{"), F.array_join(F.coalesce(kept, none), ","), F.lit("}"))
 
 
-def clean_attributes(events: DataFrame, max_keys: int = MAX_ATTRIBUTES, column: str = "attributes") -> DataFrame:
-    return events.withColumn(column, clean_attributes_of(column, max_keys))
+def clean_attributes(
+    events: DataFrame, max_keys: int = MAX_ATTRIBUTES, column: str = "attributes", max_list: int = MAX_LIST, max_string: int = MAX_STRING
+) -> DataFrame:
+    return events.withColumn(column, clean_attributes_of(column, max_keys, max_list, max_string))
 
 
 def _key(c: Column, size: int, fallback: str) -> Column:
@@ -183,8 +189,11 @@ def _key(c: Column, size: int, fallback: str) -> Column:
     return F.when(k == "", fallback).otherwise(k)
 
 
-def normalise_events(events: DataFrame, registry: Registry = REGISTRY, base_currency: str = "USD") -> DataFrame:
-    """Typed event columns from raw ones (n, c, m, et, ei, v, cu, lr, a). Rows with an unusable name go."""
+def normalise_events(
+    events: DataFrame, registry: Registry = REGISTRY, base_currency: str = "USD", lead_pattern: str = LEAD_PATTERN
+) -> DataFrame:
+    """Typed event columns from raw ones (n, c, m, et, ei, v, cu, lr, a). Rows with an unusable name go; a lead
+    reference stays when it matches ``lead_pattern``."""
     known = registry_map(registry)[F.col("event_name")]
     value = F.col("v").try_cast("double")
     value = F.when((F.abs(value) < 1e12) & ~F.isnan(value), F.round(value.cast("decimal(30,10)"), 4).cast("decimal(18,4)"))
@@ -200,7 +209,7 @@ def normalise_events(events: DataFrame, registry: Registry = REGISTRY, base_curr
                 "entity_type": _key(F.col("et"), 32, ""),
                 "entity_id": F.when(F.col("ei").rlike(r"^[A-Za-z0-9_\-.:]{1,64}$"), F.col("ei")).otherwise(""),
                 "event_value": value,
-                "lead_ref": F.when(F.col("lr").rlike(r"^BLA-[A-Z0-9]{5,10}$"), F.col("lr")).otherwise(""),
+                "lead_ref": F.when(F.col("lr").rlike(lead_pattern), F.col("lr")).otherwise(""),
                 "attributes": clean_attributes_of("a"),
             }
         )

@@ -190,8 +190,8 @@ def daily_dimensions(sessions: DataFrame, events: DataFrame, tz: str) -> DataFra
     )
 
 
-def page_engagement(events: DataFrame, tz: str, cap: int = ENGAGED_CAP) -> DataFrame:
-    """Engaged seconds per day and path: the highest value of each page view, capped, then summed."""
+def page_engagement(events: DataFrame, tz: str, cap: int | None = ENGAGED_CAP) -> DataFrame:
+    """Engaged seconds per day and path: the highest value of each page view, at most ``cap`` (None: any), then summed."""
     seconds = F.get_json_object("attributes", "$.engaged_seconds").try_cast("double")
     per_view = (
         events.where(F.col("event_name") == "page_engagement")
@@ -205,7 +205,7 @@ def page_engagement(events: DataFrame, tz: str, cap: int = ENGAGED_CAP) -> DataF
         .groupBy("day", "path", "session_id", "pv")
         .agg(F.max("secs").alias("top"))
     )
-    capped = F.when(F.col("top").isNotNull(), F.least("top", F.lit(cap)))
+    capped = F.when(F.col("top").isNotNull(), F.col("top") if cap is None else F.least("top", F.lit(cap)))
     return per_view.groupBy("day", "path").agg(
         F.coalesce(F.sum(capped), F.lit(0)).alias("engaged_seconds"), F.count("*").alias("engaged_views")
     )
@@ -381,12 +381,14 @@ CATCH_UP_DAYS = 31
 
 
 def days_to_rebuild(
-    events: DataFrame, done: DataFrame, last_run: str | None, today: str, tz: str, backfill_from: str | None = None
+    events: DataFrame, done: DataFrame, last_run: str | None, today: str, tz: str, backfill_from: str | None = None,
+    backfill_days: int | None = BACKFILL_DAYS, catch_up_days: int | None = CATCH_UP_DAYS,
 ) -> DataFrame:
     """Days an hourly run has to rebuild, with the reason.
 
-    Today and yesterday always; the days since the last run up to 31 back; then, newest first, up to 14 older
-    days that are not in ``done(day)``, no further back than the first event.
+    Today and yesterday always; the days since the last run, up to ``catch_up_days`` back; then, newest first, up to
+    ``backfill_days`` older days that are not in ``done(day)``, no further back than the first event. The two budgets
+    spread a long back-fill over several runs, so no day is lost; None does all at once.
     """
     spark = events.sparkSession
     one = spark.range(1)
@@ -395,7 +397,9 @@ def days_to_rebuild(
     fixed = one.select(F.explode(F.array(t, yesterday)).alias("day"), F.lit("current").alias("reason"))
     parts = [fixed]
     if last_run is not None:
-        since = F.greatest(local_day(F.lit(last_run).cast("timestamp_ntz"), tz), F.date_sub(yesterday, CATCH_UP_DAYS))
+        since = local_day(F.lit(last_run).cast("timestamp_ntz"), tz)
+        if catch_up_days is not None:
+            since = F.greatest(since, F.date_sub(yesterday, catch_up_days))
         span = F.when(since < yesterday, F.sequence(since, F.date_sub(yesterday, 1)))
         parts.append(one.select(F.explode(span).alias("day"), F.lit("catch_up").alias("reason")))
     start = day_lit(backfill_from) if backfill_from else yesterday
@@ -403,7 +407,9 @@ def days_to_rebuild(
     older = first.select(
         F.explode(F.when(F.col("first") < start, F.sequence("first", F.date_sub(start, 1)))).alias("day")
     )
-    older = older.join(done.select("day").distinct(), "day", "left_anti").orderBy(F.desc("day")).limit(BACKFILL_DAYS)
+    older = older.join(done.select("day").distinct(), "day", "left_anti")
+    if backfill_days is not None:
+        older = older.orderBy(F.desc("day")).limit(backfill_days)
     parts.append(older.select("day", F.lit("backfill").alias("reason")))
     out = parts[0]
     for p in parts[1:]:

@@ -118,11 +118,16 @@ def engaged_flag(engaged: Column, pageviews: Column, conversions: Column) -> Col
     return ((engaged > ENGAGED_SECONDS) | (pageviews >= ENGAGED_PAGEVIEWS) | (conversions > 0)).cast("int")
 
 
-def build_sessions(hits: DataFrame) -> DataFrame:
+def at_most(value: Column, most: int | None) -> Column:
+    return value if most is None else F.least(value, F.lit(most))
+
+
+def build_sessions(hits: DataFrame, max_count: int | None = MAX_COUNT, max_engaged: int | None = MAX_ENGAGED) -> DataFrame:
     """One row per session from payload rows with session_id.
 
     Needs page_path, heartbeat, n_pageviews, n_events, n_conversions and whatever first-touch columns exist.
-    Everything is one aggregation; it reuses the visitor partitioning that sessionize leaves behind.
+    Everything is one aggregation; it reuses the visitor partitioning that sessionize leaves behind. Page views and
+    conversions are held at ``max_count`` and engaged seconds at ``max_engaged`` (a day); None holds nothing.
     """
     rows = hits.where(F.col("session_id").isNotNull() & (F.col("session_id") != 0))
     if "landing_path" not in rows.columns:
@@ -145,10 +150,10 @@ def build_sessions(hits: DataFrame) -> DataFrame:
     return grouped.select(
         "session_id", "visitor_key", "started_at", "last_seen_at",
         seconds_between("started_at", "last_seen_at").alias("duration_seconds"),
-        F.least("_hb", F.lit(MAX_ENGAGED)).alias("engaged_seconds"),
-        F.least("_pv", F.lit(MAX_COUNT)).alias("pageviews"),
+        at_most(F.col("_hb"), max_engaged).alias("engaged_seconds"),
+        at_most(F.col("_pv"), max_count).alias("pageviews"),
         "event_count",
-        F.least("_conv", F.lit(MAX_COUNT)).alias("conversions"),
+        at_most(F.col("_conv"), max_count).alias("conversions"),
         engaged_flag(F.col("_hb"), F.col("_pv"), F.col("_conv")).alias("is_engaged"),
         F.coalesce("_exit", "_first.landing_path").alias("exit_path"),
         "_first.*",

@@ -13,7 +13,6 @@ from footfall.schemas import CONTENT_METRICS, TRAFFIC_METRICS
 from footfall.sources.tables import scan_daily
 
 ORDERABLE = ["sessions", "visitors", "engaged_sessions", "pageviews", "conversions", "revenue"]
-POST_LIMIT = 5000
 WEEKLY_FROM, MONTHLY_FROM = 92, 400
 SHARE_SIZE = 5
 
@@ -138,23 +137,24 @@ def first_day(dt: DataFrame) -> DataFrame:
 # ---- session dimensions -------------------------------------------------------------------------
 
 
-def dimension(dd: DataFrame, name: str, from_, to, limit: int = 10, orderby: str = "sessions") -> DataFrame:
-    """Top values of a dimension; ties go by value."""
+def _top(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def dimension(dd: DataFrame, name: str, from_, to, limit: int | None = 10, orderby: str = "sessions") -> DataFrame:
+    """Top values of a dimension, all with ``limit=None``; ties go by value."""
     by = orderby if orderby in ORDERABLE else "sessions"
     rows = scan_daily(dd, from_, to).where(F.col("dimension") == name)
     sums = rows.groupBy("value_hash").agg(
         F.max("value").alias("value"),
         *[_sum(m) for m in ("sessions", "visitors", "engaged_sessions", "pageviews", "engaged_seconds", "conversions", "revenue")],
     )
-    return (
-        sums.orderBy(F.desc(by), "value")
-        .limit(limit)
-        .select(
-            "value", "sessions", "visitors", "engaged_sessions", "pageviews", "conversions", "revenue",
-            ratio("engaged_sessions", "sessions", 4).alias("engagement_rate"),
-            ratio("conversions", "sessions", 4).alias("conversion_rate"),
-            ratio("engaged_seconds", "sessions", 1).alias("avg_engaged_time"),
-        )
+    ordered = sums if limit is None else sums.orderBy(F.desc(by), "value").limit(limit)
+    return ordered.select(
+        "value", "sessions", "visitors", "engaged_sessions", "pageviews", "conversions", "revenue",
+        ratio("engaged_sessions", "sessions", 4).alias("engagement_rate"),
+        ratio("conversions", "sessions", 4).alias("conversion_rate"),
+        ratio("engaged_seconds", "sessions", 1).alias("avg_engaged_time"),
     )
 
 
@@ -171,8 +171,8 @@ SHARE_CHANNELS = [
 
 
 def channel_share(dd: DataFrame, from_, to, slices: int = SHARE_SIZE) -> DataFrame:
-    """First five recognised channels by sessions, the rest as Other. Works on the 20 top channels at most."""
-    rows = dimension(dd, "channel", from_, to, 20).select("value", "sessions")
+    """First five recognised channels by sessions, the rest as Other. Every channel counts."""
+    rows = dimension(dd, "channel", from_, to, None).select("value", "sessions")
     known = F.col("value").isin(SHARE_CHANNELS)
     w = Window.partitionBy(known).orderBy(F.desc("sessions"), "value")
     named = rows.withColumn("_n", F.row_number().over(w)).withColumn(
@@ -182,9 +182,9 @@ def channel_share(dd: DataFrame, from_, to, slices: int = SHARE_SIZE) -> DataFra
 
 
 def device_share(dd: DataFrame, from_, to) -> DataFrame:
-    """Share of sessions per device, over the six top devices at most."""
-    rows = dimension(dd, "device", from_, to, 6).select(F.col("value").alias("device"), "sessions")
-    total = F.sum("sessions").over(Window.partitionBy(F.lit(1)))
+    """Share of all sessions per device."""
+    rows = dimension(dd, "device", from_, to, None).select(F.col("value").alias("device"), "sessions")
+    total = F.sum("sessions").over(Window.partitionBy(F.lit(1)))  # one row per device
     return rows.withColumn("share", F.when(total > 0, F.round(F.col("sessions") / total, 6)).otherwise(0.0))
 
 
@@ -207,11 +207,7 @@ def _by_path(dc: DataFrame, from_, to) -> DataFrame:
 
 def _by_post(dc: DataFrame, from_, to) -> DataFrame:
     rows = scan_daily(dc, from_, to).where(F.col("post_id") > 0)
-    return (
-        rows.groupBy("post_id").agg(*[_sum(m) for m in CONTENT_METRICS])
-        .orderBy(F.desc("pageviews"), "post_id")
-        .limit(POST_LIMIT)
-    )
+    return rows.groupBy("post_id").agg(*[_sum(m) for m in CONTENT_METRICS])
 
 
 def content(
@@ -219,24 +215,24 @@ def content(
     group: str,
     from_,
     to,
-    limit: int = 10,
+    limit: int | None = 10,
     posts: DataFrame | None = None,
     post_terms: DataFrame | None = None,
     now=None,
 ) -> DataFrame:
     """Content by 'page', 'post_type', 'author', 'age' or 'tax:<name>'.
 
-    The last three regroup the 5000 most viewed posts by what ``posts`` and ``post_terms`` say about them
+    The last three regroup all viewed posts by what ``posts`` and ``post_terms`` say about them
     now; a post with several terms counts under each of them.
     """
     if group == "page":
         label = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("path"))
-        top = _by_path(dc, from_, to).orderBy(F.desc("pageviews"), "path").limit(limit)
+        top = _top(_by_path(dc, from_, to).orderBy(F.desc("pageviews"), "path"), limit)
         return top.select(F.col("path").alias("key"), label.alias("label"), "path", "post_id", *_content_rates())
     if group == "post_type":
         rows = scan_daily(dc, from_, to).groupBy("post_type").agg(*[_sum(m) for m in CONTENT_METRICS])
         label = F.when(F.col("post_type") == "", "Archives & other pages").otherwise(F.col("post_type"))
-        return rows.orderBy(F.desc("pageviews"), "post_type").limit(limit).select(
+        return _top(rows.orderBy(F.desc("pageviews"), "post_type"), limit).select(
             F.col("post_type").alias("key"), label.alias("label"), *_content_rates()
         )
     known = _by_post(dc, from_, to).join(posts.select("post_id", "author", "published_at"), "post_id", "left")
@@ -253,15 +249,15 @@ def content(
     else:
         raise ValueError(f"unknown content group {group}")
     rows = keyed.groupBy("key").agg(*[_sum(m) for m in CONTENT_METRICS])
-    return rows.orderBy(F.desc("pageviews"), "key").limit(limit).select(
+    return _top(rows.orderBy(F.desc("pageviews"), "key"), limit).select(
         "key", F.col("key").alias("label"), *_content_rates()
     )
 
 
-def entry_exit_pages(dc: DataFrame, metric: str, from_, to) -> DataFrame:
-    """The 100 most viewed pages sorted by entrances or exits, without those that have none."""
-    top = content(dc, "page", from_, to, 100)
-    return top.where(F.col(metric) > 0).orderBy(F.desc(metric), "path")
+def entry_exit_pages(dc: DataFrame, metric: str, from_, to, limit: int | None = None) -> DataFrame:
+    """Pages sorted by entrances or exits, without those that have none; ``limit`` keeps the first of them."""
+    pages = content(dc, "page", from_, to, None)
+    return _top(pages.where(F.col(metric) > 0).orderBy(F.desc(metric), "path"), limit)
 
 
 # ---- events and search --------------------------------------------------------------------------
@@ -352,9 +348,9 @@ def _device(df: DataFrame, device: str) -> DataFrame:
     return df if device == "all" else df.where(F.col("device") == device)
 
 
-def heatmap_pages(hm: DataFrame, device: str, from_, to) -> DataFrame:
+def heatmap_pages(hm: DataFrame, device: str, from_, to, limit: int | None = None) -> DataFrame:
     rows = _device(scan_daily(hm, from_, to), device).groupBy("path").agg(F.sum("clicks").alias("clicks"))
-    return rows.orderBy(F.desc("clicks"), "path").limit(100)
+    return _top(rows.orderBy(F.desc("clicks"), "path"), limit)
 
 
 def heatmap(hm: DataFrame, path: str, device: str, from_, to) -> DataFrame:
@@ -388,12 +384,10 @@ def crawlers(cd: DataFrame, from_, to) -> DataFrame:
     )
 
 
-def crawler_404s(cd: DataFrame, from_, to) -> DataFrame:
+def crawler_404s(cd: DataFrame, from_, to, limit: int | None = None) -> DataFrame:
     rows = scan_daily(cd, from_, to).where(F.col("status_code") == 404)
-    return (
-        rows.groupBy("path").agg(F.sum("hits").alias("hits"), F.countDistinct("crawler").alias("crawlers"))
-        .orderBy(F.desc("hits"), "path").limit(20)
-    )
+    pages = rows.groupBy("path").agg(F.sum("hits").alias("hits"), F.countDistinct("crawler").alias("crawlers"))
+    return _top(pages.orderBy(F.desc("hits"), "path"), limit)
 
 
 # ---- advertisements -----------------------------------------------------------------------------

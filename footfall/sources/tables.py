@@ -169,15 +169,17 @@ EXPORTS: dict[str, list[str]] = {
 }
 
 
-def export_rows(df: DataFrame, report: str, limit: int = 5000) -> DataFrame:
-    return csv_safe(df.select(*EXPORTS[report]).limit(limit))
+def export_rows(df: DataFrame, report: str, limit: int | None = None) -> DataFrame:
+    rows = df.select(*EXPORTS[report])
+    return csv_safe(rows if limit is None else rows.limit(limit))
 
 
-def export_csv(df: DataFrame, report: str, path: str, limit: int = 5000) -> None:
-    """Writes a report as UTF-8 CSV with a header. A report holds at most ``limit`` rows, so one file is enough."""
+def export_csv(df: DataFrame, report: str, path: str, limit: int | None = None, files: int | None = None) -> None:
+    """Writes a report as UTF-8 CSV files with a header each: every row, in as many files as there are tasks, unless
+    ``limit`` rows or a number of ``files`` is asked for."""
+    rows = export_rows(df, report, limit)
     (
-        export_rows(df, report, limit)
-        .coalesce(1)
+        (rows if files is None else rows.coalesce(files))
         .write.mode("overwrite")
         .option("header", True)
         .option("encoding", "UTF-8")
