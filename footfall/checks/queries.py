@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from footfall.checks.warehouse import linked_payloads, plain, session_rows, warehouse
 from footfall.functions import agents, measures, network, privacy, text, urls
 from footfall.functions.channels import channel, domain_matches
+from footfall.functions.measures import viewport_bucket
 from footfall.functions.times import ntz, plus_seconds
 from footfall.operators import admit as adm
 from footfall.operators import audit_facts as facts
@@ -18,7 +19,7 @@ from footfall.operators import currency, enrich, geo, retention, rollup, windows
 from footfall.operators import events as evs
 from footfall.operators import sessions as ses
 from footfall.plans import ads, ingest, realtime, reports
-from footfall.runtime import scratch_dir
+from footfall.runtime import scratch_dir, stored
 from footfall.settings import Settings
 from footfall.sources import sample, tables
 from footfall.sources.hits import split_bodies
@@ -106,19 +107,28 @@ def A11_append_events(spark, d):
     return spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
 
 
+CRAWLER_COUNTERS = (
+    "day date, crawler string, path string, crawler_type string, status_code int, hits bigint, last_seen_at timestamp_ntz",
+    ["day", "crawler", "path"], ["hits"], {"status_code": "last_seen_at", "crawler_type": "last_seen_at"},
+)
+
+
 @query
 def A12_upsert_counters(spark, d):
-    """Crawler counters written in two batches with one of them delivered twice, equal to the batch rollup."""
+    """Crawler counters of two queries that both count batches from 0, one batch delivered again after a compaction and
+    one before, equal to the batch rollup."""
     path = scratch_dir(spark, "upsert")
     hits = rollup.crawler_hits(sample.requests(spark, d), "SiteAudit/")
-    cut = ntz("2024-01-15 06:00:00")
-    parts = [hits.where(F.col("ts") < cut), hits.where(F.col("ts") >= cut)]
-    for i, p in [(0, parts[0]), (1, parts[1]), (1, parts[1])]:
-        tables.upsert_counters(
-            rollup.crawler_daily(p), path, ["day", "crawler", "path"], ["hits"],
-            {"status_code": "last_seen_at", "crawler_type": "last_seen_at"}, batch_id=i,
-        )
-    return spark.read.parquet(path).groupBy("day", "crawler").agg(
+    cut, later = ntz("2024-01-15 06:00:00"), ntz("2024-01-22 06:00:00")
+    a, b, c = hits.where(F.col("ts") < cut), hits.where((F.col("ts") >= cut) & (F.col("ts") < later)), hits.where(F.col("ts") >= later)
+    schema, *how = CRAWLER_COUNTERS
+    for part, batch, name in [(a, 0, "first"), (b, 1, "first"), (b, 1, "first"), (c, 0, "second")]:
+        tables.upsert_counters(rollup.crawler_daily(part), path, *how, batch_id=batch, query_id=name)
+        if name == "second" or batch == 0:
+            tables.compact_counters(spark, path, schema, *how)
+    tables.upsert_counters(rollup.crawler_daily(a), path, *how, batch_id=0, query_id="first")
+    rows = tables.read_counters(spark, path, schema, *how)
+    return rows.groupBy("day", "crawler").agg(
         F.sum("hits").alias("hits"), F.count("*").alias("paths"), F.max("last_seen_at").alias("last_seen")
     )
 
@@ -706,15 +716,48 @@ def E9_dedupe_searches(spark, d):
     return ses.dedupe_searches(s).select("event_id", "session_id", "pv", "term", "source")
 
 
+E0_COLUMNS = [
+    "session_id", "id_mode", "started_at", "duration_seconds", "engaged_seconds", "pageviews", "event_count",
+    "conversions", "landing_path", "exit_path", "referrer_domain", "channel", "utm_source", "utm_campaign",
+    "click_id_type", "click_id", "viewport", "language", "country", "is_logged_in",
+]
+
+
 @query
 def E0_collect(spark, d):
     """The write path from raw payloads to sessions."""
-    s = collected(spark, d).sessions
-    return s.select(
-        "session_id", "id_mode", "started_at", "duration_seconds", "engaged_seconds", "pageviews", "event_count",
-        "conversions", "landing_path", "exit_path", "referrer_domain", "channel", "utm_source", "utm_campaign",
-        "click_id_type", "click_id", "viewport", "language", "country", "is_logged_in",
-    )
+    return collected(spark, d).sessions.select(E0_COLUMNS)
+
+
+# A whole minute inside visits: the second run has to go on with sessions of the first.
+SECOND_RUN = "2024-01-15 12:00:00"
+
+
+@query
+def E0_collect_two_batches(spark, d):
+    """The write path in two runs; the second gets the sessions of the first and returns those that go on."""
+    raw, shared = sample.raw_hits(spark, d), (sample.geo_ranges(spark, d), sample.fx_rates(spark, d), sample.SAMPLE_REGISTRY)
+    at = F.lit(SECOND_RUN).cast("timestamp_ntz")
+    first = ingest.collect_hits(raw.where(F.col("received_at") < at), SITE, salts(spark, d), *shared).sessions
+    first = stored(first, "first")
+    second = stored(ingest.collect_hits(raw.where(F.col("received_at") >= at), SITE, salts(spark, d), *shared, prior_sessions=first).sessions, "second")
+    s = second.unionByName(first.join(second.select("session_id"), "session_id", "left_anti"))
+    return s.select(E0_COLUMNS)
+
+
+@query
+def E7_returning_two_batches(spark, d):
+    """As E7_returning, with the visitors of the first run known to the second."""
+    hits, at = sample.hits(spark, d), F.lit(SECOND_RUN).cast("timestamp_ntz")
+
+    def sessions(linked):
+        return ses.describe_sessions(ses.build_sessions(linked.withColumn("viewport", viewport_bucket("vw"))))
+
+    first = stored(ses.flag_returning(sessions(ses.sessionize(hits.where(F.col("received_at") < at), sample.TIMEOUT))), "first")
+    later = ses.sessionize(hits.where(F.col("received_at") >= at), sample.TIMEOUT, prior=first)
+    second = stored(ses.flag_returning(ses.merge_sessions(sessions(later), first), first), "second")
+    both = second.select("session_id", "is_returning").unionByName(first.join(second, "session_id", "left_anti").select("session_id", "is_returning"))
+    return both.groupBy("is_returning").agg(F.count("*").alias("sessions"))
 
 
 @query
@@ -1131,13 +1174,15 @@ def J5_stream_top(spark, d):
 @query
 def J6_stream_counters(spark, d):
     root = scratch_dir(spark, "stream-crawlers")
-    p = sample.map_requests(sample.with_k(event_stream(spark, d)))
-    q = streams.stream_counters(
-        p, lambda b: rollup.crawler_daily(rollup.crawler_hits(b, "SiteAudit/")), f"{root}/table", f"{root}/checkpoint",
-        ["day", "crawler", "path"], ["hits"], {"status_code": "last_seen_at", "crawler_type": "last_seen_at"},
-    )
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/table").select("day", "crawler", "path", "crawler_type", "status_code", "hits", "last_seen_at")
+    schema, *how = CRAWLER_COUNTERS
+    half = F.col("event_id") % 2
+    for i in (0, 1):  # two streams with a checkpoint each, whose batches have the same numbers
+        p = sample.map_requests(sample.with_k(event_stream(spark, d).where(half == i)))
+        q = streams.stream_counters(
+            p, lambda b: rollup.crawler_daily(rollup.crawler_hits(b, "SiteAudit/")), f"{root}/table", f"{root}/checkpoint-{i}", *how
+        )
+        q.awaitTermination()
+    return tables.read_counters(spark, f"{root}/table", schema, *how).select("day", "crawler", "path", "crawler_type", "status_code", "hits", "last_seen_at")
 
 
 @query

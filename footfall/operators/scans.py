@@ -64,8 +64,3 @@ def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     before = df.groupBy(*part).agg(F.count("*").alias("_n"))
     before = before.select(*part, F.coalesce(F.sum("_n").over(back), F.lit(0)).alias("_before"))
     return local.join(before, part, "left").withColumn(name, F.col(name) + F.col("_before")).drop("_before")
-
-
-def has_hot_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    """Whether any key has more than ``rows`` rows. Counts are combined before the shuffle."""
-    return not df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows).isEmpty()

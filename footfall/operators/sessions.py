@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.agents import user_agent
 from footfall.functions.channels import DEFAULT_RULES, channel
 from footfall.functions.times import seconds_between
-from footfall.operators.scans import SLICE, add_slice, has_hot_key, running_last, running_rank
+from footfall.operators.scans import SLICE, add_slice, running_last, running_rank
 
 ENGAGED_SECONDS = 10
 ENGAGED_PAGEVIEWS = 2
 MAX_COUNT = 65535
 MAX_ENGAGED = 86400
 SESSION_EVENT_CAP = 2000
-HOT_ROWS = 2_000_000
 SLICE_SECONDS = 3600
 
 FIRST_TOUCH = [
@@ -26,12 +25,40 @@ FIRST_TOUCH = [
 ]
 
 
+def _stretches(hits: DataFrame, timeout_seconds: int, slice_seconds: int) -> DataFrame:
+    """Adds _stretch, the number of a visitor's stretch of rows without a pause over the timeout between time slices.
+
+    Nothing carries over such a pause, so stretches can be scanned apart from each other. Slices are found from the
+    first and last row of each, which are combined before the shuffle.
+    """
+    sliced = add_slice(hits, "received_at", slice_seconds)
+    ends = sliced.groupBy("visitor_key", SLICE).agg(F.min("received_at").alias("_lo"), F.max("received_at").alias("_hi"))
+    w = Window.partitionBy("visitor_key").orderBy(SLICE)
+    pause = seconds_between(F.lag("_hi").over(w), F.col("_lo")) > timeout_seconds
+    marked = ends.withColumn("_new", F.coalesce(pause.cast("int"), F.lit(0)))
+    numbered = marked.select(F.col("visitor_key").alias("_v"), F.col(SLICE).alias("_s"), F.sum("_new").over(w).alias("_stretch"))
+    same = F.col("visitor_key").eqNullSafe(F.col("_v")) & (F.col(SLICE) == F.col("_s"))
+    return sliced.join(numbered, same).drop("_v", "_s", SLICE)
+
+
+def _as_openers(prior: DataFrame, hits: DataFrame) -> DataFrame:
+    """The last stored session of each visitor as a row of hits that opened it and was its last."""
+    last = prior.groupBy("visitor_key").agg(
+        F.max_by(F.struct("session_id", "last_seen_at", "utm_source", "utm_medium", "utm_campaign", "click_id_type"), F.struct("last_seen_at", "session_id")).alias("s")
+    )
+    have = {
+        "visitor_key": F.col("visitor_key"), "payload_id": F.col("s.session_id"), "received_at": F.col("s.last_seen_at"), "origin": F.lit(0),
+        "n_events": F.lit(1), "has_pageview": F.lit(True), **{c: F.col(f"s.{c}") for c in ("utm_source", "utm_medium", "utm_campaign", "click_id_type")},
+    }
+    return last.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in hits.schema.fields])
+
+
 def sessionize(
     hits: DataFrame,
     timeout_minutes: int = 30,
     split_campaign: bool = True,
-    hot_rows: int | None = HOT_ROWS,
     slice_seconds: int = SLICE_SECONDS,
+    prior: DataFrame | None = None,
 ) -> DataFrame:
     """Adds session_id to payload rows: the payload_id of the payload that opened the session.
 
@@ -41,59 +68,52 @@ def sessionize(
     events and server rows never open one: they extend what is there, else browser rows get NULL and
     server rows 0.
 
-    A visitor with more than ``hot_rows`` rows makes every scan run in time slices (see ``scans``);
-    ``None`` skips that check.
+    ``prior`` has sessions of earlier runs (visitor_key, session_id, last_seen_at, the three utm columns and
+    click_id_type); rows that come within the timeout go on with the visitor's last one. Hits are read twice and dealt
+    by visitor and stretch, so a busy visitor is split wherever they pause.
     """
     if "origin" not in hits.columns:
         hits = hits.withColumn("origin", F.lit(0))
-    keys, order = ["visitor_key"], ["received_at", "payload_id"]
-    sliced = hot_rows is not None and has_hot_key(hits, keys, hot_rows)
-    df = add_slice(hits, "received_at", slice_seconds) if sliced else hits
+    rows = hits.withColumn("_stored", F.lit(False))
+    if prior is not None:
+        rows = rows.unionByName(_as_openers(prior, hits).withColumn("_stored", F.lit(True)))
+    df = _stretches(rows, timeout_minutes * 60, slice_seconds)
+    key = Window.partitionBy("visitor_key", "_stretch").orderBy("received_at", "payload_id")
+    before, upto = key.rowsBetween(Window.unboundedPreceding, -1), key.rowsBetween(Window.unboundedPreceding, 0)
     seq = F.struct("received_at", "payload_id")
     opens = (F.col("origin") == 0) & (F.col("n_events") > 0)
 
+    def last(value: Column, w) -> Column:
+        return F.last(value, ignorenulls=True).over(w)
+
     # Gap runs: a row starts a run when the row before it is further away than the timeout.
-    df = running_last(
-        df, keys, order,
-        {"_prev": F.col("received_at"), "_prev_opener": F.when(opens, seq)},
-        include_current=False, sliced=sliced,
-    )
+    df = df.withColumns({"_prev": last(F.col("received_at"), before), "_prev_opener": last(F.when(opens, seq), before)})
     gap = F.col("_prev").isNull() | (seconds_between("_prev", "received_at") > timeout_minutes * 60)
-    df = running_last(df, keys, order, {"_run": F.when(gap, seq)}, include_current=True, sliced=sliced)
+    df = df.withColumn("_run", last(F.when(gap, seq), upto))
     known = F.col("_prev_opener").isNotNull() & (F.col("_prev_opener") >= F.col("_run"))
-    base = opens & ~known
-    df = df.withColumn("_base", base).withColumn("_live", known | opens)
+    df = df.withColumn("_base", opens & ~known).withColumn("_live", known | opens)
 
     if split_campaign:
         triple = F.lower(F.concat_ws("|", "utm_source", "utm_medium", "utm_campaign"))
         tagged = opens & F.col("has_pageview") & ((triple != "||") | (F.col("click_id_type") != ""))
-        carrier = F.col("_base") | tagged
-        df = df.withColumn("_carrier", carrier).withColumn("_triple", triple)
-        df = running_last(
-            df, keys, order, {"_prev_triple": F.when(F.col("_carrier"), F.col("_triple"))},
-            include_current=False, sliced=sliced,
-        )
-        fresh = F.col("_carrier") & (F.col("_base") | ~F.col("_triple").eqNullSafe(F.col("_prev_triple")))
-        df = df.withColumn("_fresh", fresh)
-        df = running_last(
-            df, keys, order, {"_sub": F.when(F.col("_fresh"), seq)}, include_current=True, sliced=sliced
-        )
+        df = df.withColumn("_carrier", F.col("_base") | tagged).withColumn("_triple", triple)
         clicked = F.when(
             F.col("_carrier") & (F.col("click_id_type") != ""),
             F.struct(seq.alias("at"), F.col("click_id_type").alias("click")),
         )
-        df = running_last(df, keys, order, {"_click": clicked}, include_current=False, sliced=sliced)
+        df = df.withColumns({"_prev_triple": last(F.when(F.col("_carrier"), F.col("_triple")), before), "_click": last(clicked, before)})
+        fresh = F.col("_carrier") & (F.col("_base") | ~F.col("_triple").eqNullSafe(F.col("_prev_triple")))
+        df = df.withColumn("_fresh", fresh)
+        df = df.withColumn("_sub", last(F.when(F.col("_fresh"), seq), upto))
         held = F.when(F.col("_click.at") >= F.col("_sub"), F.col("_click.click"))
         other_click = F.col("_carrier") & (F.col("click_id_type") != "") & ~F.col("click_id_type").eqNullSafe(held)
         start = F.col("_fresh") | other_click
     else:
         start = F.col("_base")
     df = df.withColumn("_start", start)
-    df = running_last(
-        df, keys, order, {"_sid": F.when(F.col("_start"), F.col("payload_id"))}, include_current=True, sliced=sliced
-    )
+    df = df.withColumn("_sid", last(F.when(F.col("_start"), F.col("payload_id")), upto))
     unlinked = F.when(F.col("origin") == 1, F.lit(0))
-    out = df.withColumn("session_id", F.when(F.col("_live"), F.col("_sid")).otherwise(unlinked))
+    out = df.where(~F.col("_stored")).withColumn("session_id", F.when(F.col("_live"), F.col("_sid")).otherwise(unlinked))
     scratch = [c for c in out.columns if c.startswith("_")]
     return out.drop(*scratch)
 
@@ -160,18 +180,46 @@ def build_sessions(hits: DataFrame, max_count: int | None = MAX_COUNT, max_engag
     )
 
 
+def merge_sessions(new: DataFrame, prior: DataFrame) -> DataFrame:
+    """Sessions of this run added to what earlier runs stored of the same ones; one row per session of ``new``.
+
+    A session that goes on has no opener in this run: its start and first touch come from ``prior``.
+    """
+    sums = ["engaged_seconds", "pageviews", "event_count", "conversions"]
+    totals = ["session_id", "visitor_key", "started_at", "last_seen_at", "exit_path", *sums]
+    first = [c for c in new.columns if c not in (*totals, "duration_seconds", "is_engaged")]
+    cols = [*totals, *first]
+    old = prior.join(new.select("session_id"), "session_id", "left_semi")
+    both = new.select(cols).unionByName(old.select([F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in cols]))
+    merged = both.groupBy("session_id", "visitor_key").agg(
+        F.min("started_at").alias("started_at"), F.max("last_seen_at").alias("last_seen_at"),
+        F.max_by("exit_path", F.when(F.col("exit_path").isNotNull(), F.col("last_seen_at"))).alias("exit_path"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.max(F.when(F.col("started_at").isNotNull(), F.struct(*first))).alias("_first"),
+    )
+    flat = merged.select(*[c for c in merged.columns if c != "_first"], "_first.*")
+    return flat.withColumns({
+        "duration_seconds": seconds_between("started_at", "last_seen_at"),
+        "is_engaged": engaged_flag(F.col("engaged_seconds"), F.col("pageviews"), F.col("conversions")),
+    }).select(new.columns)
+
+
 def describe_sessions(sessions: DataFrame, rules: dict | None = None) -> DataFrame:
     """Adds channel, browser, system and device: derived once per session, not once per hit."""
     out = channel(user_agent(sessions), rules or DEFAULT_RULES)
     return out.drop("user_agent", "ch_platform", "tp")
 
 
-def flag_returning(sessions: DataFrame) -> DataFrame:
+def flag_returning(sessions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Adds is_returning: 1 when the visitor has an earlier session, 0 when not, NULL without consented ids.
 
-    A minimum per visitor joined back, not a window, so one heavy visitor does not become one task.
+    ``prior`` has the sessions of earlier runs. A minimum per visitor joined back, not a window, so one heavy visitor
+    does not become one task.
     """
-    first = sessions.groupBy("visitor_key").agg(F.min("started_at").alias("_first_start"))
+    starts = sessions.select("visitor_key", "started_at")
+    if prior is not None:
+        starts = starts.unionByName(prior.select("visitor_key", "started_at"))
+    first = starts.groupBy("visitor_key").agg(F.min("started_at").alias("_first_start"))
     return (
         sessions.join(first, "visitor_key")
         .withColumn(

@@ -106,42 +106,97 @@ def merge_counters(
     ).select(delta.columns)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    p, fs = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(n for n in names if n.startswith(prefix))
+
+
 def upsert_counters(
     batch_df: DataFrame,
     path: str,
     keys: Sequence[str],
     sums: Sequence[str],
     last: dict[str, str] | None = None,
-    partition: str = "day",
     batch_id: int | None = None,
+    query_id: str = "batch",
 ) -> None:
-    """Insert or increment counters in a day-partitioned table; only the touched days are rewritten.
+    """Inserts or increments counters: stores what this batch adds as a delta of its own.
 
-    The merged days are written next to the table first, so a lost executor cannot leave half a day.
-    With ``batch_id`` a micro-batch that is delivered again is recognised by its marker and skipped.
+    With ``batch_id`` the delta's folder is named after the query and the batch, and writing it again replaces it, so a
+    batch that is delivered again, after success or after a failure at any point, counts once. ``query_id`` tells
+    queries apart; a stream that starts with a fresh checkpoint numbers its batches anew and needs a new one. Without
+    ``batch_id`` every call adds. ``read_counters`` sums the deltas and ``compact_counters`` merges them.
     """
-    from footfall.runtime import stored
+    import uuid
 
-    spark = batch_df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    marker = None if batch_id is None else jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{batch_id}")
-    if marker is not None and fs.exists(marker):
+    name = f"{query_id}-{batch_id}" if batch_id is not None else f"{query_id}-{uuid.uuid4().hex}"
+    rows = merge_counters(None, batch_df, keys, sums, last)
+    if name in set(_compacted(batch_df.sparkSession, path)):
+        return
+    # The delta is complete when Spark has committed it: a half-written folder has no success file and is not read.
+    rows.write.mode("overwrite").parquet(f"{path}/deltas/{name}")
+
+
+def _compacted(spark: SparkSession, path: str) -> list[str]:
+    """Deltas that the newest complete base holds."""
+    base = _base(spark, path)
+    if base is None:
+        return []
+    return [r.name for r in spark.read.schema("name string").parquet(f"{path}/merged/{base}").collect()]
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def _base(spark: SparkSession, path: str) -> str | None:
+    names = [n for n in _children(spark, f"{path}/merged", "base-") if _complete(spark, f"{path}/merged/{n}")]
+    return names[-1] if names else None
+
+
+def _live(spark: SparkSession, path: str, schema) -> tuple[DataFrame | None, list[str]]:
+    """Rows of the base and of the deltas that it does not hold, and the names of those deltas."""
+    base, done = _base(spark, path), set(_compacted(spark, path))
+    fresh = [n for n in _children(spark, f"{path}/deltas", "") if n not in done and _complete(spark, f"{path}/deltas/{n}")]
+    rows = spark.read.schema(schema).parquet(f"{path}/base/{base}") if base else None
+    if fresh:
+        new = spark.read.schema(schema).parquet(*[f"{path}/deltas/{n}" for n in fresh])
+        rows = new if rows is None else rows.select(new.columns).unionByName(new)
+    return rows, fresh
+
+
+def read_counters(
+    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None
+) -> DataFrame:
+    """The counters as they stand; an empty table when nothing was written."""
+    rows, _ = _live(spark, path, schema)
+    return spark.createDataFrame([], schema) if rows is None else merge_counters(None, rows, keys, sums, last)
+
+
+def compact_counters(
+    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None, partition: str = "day"
+) -> None:
+    """Merges base and deltas into a new base, partitioned by day. Run it where no writer is at work.
+
+    The list of merged deltas, written last, makes the new base valid; until then readers see the old one.
+    """
+    rows, fresh = _live(spark, path, schema)
+    if not fresh:
         return
-    delta = stored(batch_df, "delta")
-    days = [str(r[0]) for r in delta.select(partition).distinct().collect()]  # days of one batch
-    if days:
-        old = None
-        if fs.exists(root) and any(
-            s.getPath().getName().startswith(f"{partition}=") for s in fs.listStatus(root)
-        ):
-            old = spark.read.schema(delta.schema).parquet(path).where(F.col(partition).cast("string").isin(days))
-        merged = stored(merge_counters(old, delta, keys, sums, last), "merged")
-        write_days(merged, path, days, partition)
-    if marker is not None:
-        fs.mkdirs(marker)
+    name = f"base-{len(_children(spark, f'{path}/merged', 'base-')):09d}"
+    merged = merge_counters(None, rows, keys, sums, last)
+    merged.hint("rebalance", F.col(partition)).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/base/{name}")
+    names = [(n,) for n in [*_compacted(spark, path), *fresh]]
+    spark.createDataFrame(names, "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/merged/{name}")
 
 
 # Columns of the exported reports, in order.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -187,13 +189,15 @@ def stream_counters(
     sums: Sequence[str],
     last: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Heat map or crawler counters kept up to date: each micro-batch is aggregated and merged by day.
+    """Heat map or crawler counters kept up to date: each micro-batch is aggregated and stored as a delta.
 
-    A batch that is delivered again after a failure is recognised and not counted twice.
+    Deltas are named after the checkpoint's query id and the batch: one that is delivered again replaces itself, and a
+    query with a fresh checkpoint, whose batches begin at 0 again, has another id.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_counters(to_counters(batch), path, keys, sums, last, batch_id=batch_id)
+        meta = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        upsert_counters(to_counters(batch), path, keys, sums, last, batch_id=batch_id, query_id=json.loads(meta)["id"])
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

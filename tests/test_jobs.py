@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import audit_facts, audit_site, currency, geo, rollup, windows
 from footfall.operators.retention import retain
-from footfall.operators.sessions import cap_session, engaged_time, sessionize
+from footfall.operators.sessions import build_sessions, cap_session, engaged_time, merge_sessions, sessionize
 from footfall.plans import ingest, reports
 from footfall.settings import Settings
 from footfall.sources import tables
@@ -56,14 +56,37 @@ def fold(rows, timeout):
     return out
 
 
-@pytest.mark.parametrize("seed,sliced", [(1, False), (2, True), (3, True)])
-def test_sessionize_equals_fold(spark, seed, sliced):
+@pytest.mark.parametrize("seed,seconds", [(1, 3600), (2, 7200), (3, 600)])
+def test_sessionize_equals_fold(spark, seed, seconds):
     rows = random_hits(900, seed)
     df = spark.createDataFrame(rows, HIT)
-    got = sessionize(df, 30, hot_rows=10 if sliced else None, slice_seconds=7200)
+    got = sessionize(df, 30, slice_seconds=seconds)
     assert {r.payload_id: r.session_id for r in got.select("payload_id", "session_id").collect()} == fold(rows, 30)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_sessions_go_on_in_the_next_run(spark, seed):
+    rows = sorted((r for r in random_hits(700, seed) if not r[3]), key=lambda r: (r[2], r[1]))
+    cut = next(i for i in range(350, len(rows)) if rows[i][2] != rows[i - 1][2])
+    whole = sessionize(spark.createDataFrame(rows, HIT), 30)
+    first = sessionize(spark.createDataFrame(rows[:cut], HIT), 30)
+    prior = build_sessions(first)
+    second = sessionize(spark.createDataFrame(rows[cut:], HIT), 30, prior=prior)
+    one = {r.payload_id: r.session_id for r in whole.select("payload_id", "session_id").collect()}
+    two = {r.payload_id: r.session_id for r in first.unionByName(second).select("payload_id", "session_id").collect()}
+    assert one == two
+    cols = ["session_id", "started_at", "last_seen_at", "duration_seconds", "pageviews", "event_count", "exit_path", "is_engaged", "utm_source"]
+    later = merge_sessions(build_sessions(second), prior)
+    kept = prior.join(later.select("session_id"), "session_id", "left_anti")
+    assert sorted(map(tuple, later.select(cols).unionByName(kept.select(cols)).collect())) == sorted(map(tuple, build_sessions(whole).select(cols).collect()))
+
+
+def test_sessionize_plan_is_linear(spark, tmp_path):
+    spark.createDataFrame(random_hits(50, 1), HIT).write.parquet(str(tmp_path / "hits"))
+    plan = sessionize(spark.read.parquet(str(tmp_path / "hits")), 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2 and plan.count("Join") == 1
+
+
 def test_gap_boundary(spark):
     def hit(pid, seconds, events=1):
         return ("v", pid, T0 + dt.timedelta(seconds=seconds), 0, events, False, "", "", "", "", 0, 0, 5, "/")
@@ -87,7 +110,7 @@ def test_live_sessions_equal_batch(spark, tmp_path):
     ).trigger(availableNow=True).start()
     q.awaitTermination()
     live = spark.read.parquet(str(tmp_path / "out")).groupBy("session_id").agg(F.max_by("event_count", "b").alias("n"))
-    batch = sessionize(df, 30, hot_rows=None).where("session_id IS NOT NULL").groupBy("session_id").agg(F.sum("n_events").alias("n"))
+    batch = sessionize(df, 30).where("session_id IS NOT NULL").groupBy("session_id").agg(F.sum("n_events").alias("n"))
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
 
 
@@ -277,3 +300,31 @@ def test_robots_and_health(spark):
     site = spark.createDataFrame([("robots_blocks_all",), ("no_https",)], "code string")
     assert audit_site.health(pages, site).first().health == 55  # 100 * (1 - 1.3 / 4) - 10 - 3 = 54.5
     assert audit_site.health(pages.limit(0), site.limit(0)).first().health == 100
+
+
+def test_counters_survive_redelivery(spark, tmp_path):
+    path, how = f"file://{tmp_path}/counters", (["day", "x"], ["n"], None)
+    schema = "day date, x int, n bigint"
+
+    def batch(*rows):
+        return spark.createDataFrame([(dt.date(2024, 1, d), x, n) for d, x, n in rows], schema)
+
+    def total():
+        return {(r.day.day, r.x): r.n for r in tables.read_counters(spark, path, schema, *how).collect()}
+
+    assert total() == {}
+    tables.upsert_counters(batch((1, 1, 5)), path, *how, batch_id=0, query_id="a")
+    tables.upsert_counters(batch((1, 1, 7)), path, *how, batch_id=0, query_id="b")  # a fresh checkpoint counts from 0 again
+    assert total() == {(1, 1): 12}
+    # A delivery that died half-way leaves a folder without its success file: not read, then replaced.
+    (tmp_path / "counters/deltas/a-1").mkdir()
+    batch((1, 1, 100)).write.parquet(f"file://{tmp_path}/other")
+    next((tmp_path / "other").glob("part-*.parquet")).rename(tmp_path / "counters/deltas/a-1/part-0.parquet")
+    assert total() == {(1, 1): 12}
+    for _ in range(2):
+        tables.upsert_counters(batch((1, 1, 11), (2, 3, 1)), path, *how, batch_id=1, query_id="a")
+    assert total() == {(1, 1): 23, (2, 3): 1}
+    tables.compact_counters(spark, path, schema, *how)
+    tables.upsert_counters(batch((1, 1, 11), (2, 3, 1)), path, *how, batch_id=1, query_id="a")  # delivered again after compaction
+    tables.upsert_counters(batch((2, 3, 4)), path, *how, batch_id=2, query_id="a")
+    assert total() == {(1, 1): 23, (2, 3): 5}
