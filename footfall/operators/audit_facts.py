@@ -34,20 +34,27 @@ SILENT = {"script", "style", "noscript", "template", "svg"}
 VOID = {"br", "img", "input", "meta", "link", "hr", "source", "area", "base", "col", "embed", "param", "track", "wbr"}
 ASSETS = {"img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src"}
 
+# Elements that may stand in a head whose tags are left out.
+HEAD = {"html", "head", "title", "base", "link", "meta", "script", "style", "noscript", "template"}
+
 FACT_COLUMNS = (
     "title string, description string, h1_count int, h1 string, h2_count int, words int, images int, "
     "images_no_alt int, lang string, viewport string, robots string, canonical string, og_title string, "
-    "og_image string, json_ld int, itemtypes int, insecure int, hrefs array<string>"
+    "og_image string, json_ld int, itemtypes int, insecure int, hrefs array<string>, read_error string"
 )
 
 
 class _Facts(HTMLParser):
-    """Counts and texts of one page."""
+    """Counts and texts of one page.
+
+    The tags of head and body may be left out: a page begins in its head, and leaves it at the first tag or text that
+    cannot stand there.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: dict[str, int] = {}
-        self.in_head = False
+        self.in_head = True
         self.meta: dict[str, str] = {}
         self.texts: dict[str, list[str]] = {"title": [], "h1": []}
         self.n = dict.fromkeys(["title", "h1", "h2", "img", "no_alt", "json_ld", "itemtype", "insecure", "words"], 0)
@@ -56,11 +63,9 @@ class _Facts(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
-        if tag == "head":
-            self.in_head = True
-        elif tag == "body":
+        if tag not in HEAD:
             self.in_head = False
-        elif tag == "html" and self.lang is None:
+        if tag == "html" and self.lang is None:
             self.lang = a.get("lang", "")
         elif tag == "meta":
             for kind in ("name", "property"):
@@ -77,7 +82,7 @@ class _Facts(HTMLParser):
             self.n["json_ld"] += a.get("type") == "application/ld+json"
         elif tag == "a" and "href" in a and not self.in_head:
             self.hrefs.append(a["href"].strip())
-        if tag in ("h1", "h2") and not self.in_head or tag == "title" and self.in_head:
+        if tag in ("h1", "h2") or tag == "title" and not self.open.get("svg"):
             self.n[tag] += 1
         self.n["itemtype"] += "itemtype" in a
         self.n["insecure"] += a.get(ASSETS.get(tag, ""), "").startswith("http://")
@@ -91,8 +96,10 @@ class _Facts(HTMLParser):
             self.open[tag] -= 1
 
     def handle_data(self, data):
+        if self.in_head and data.strip() and not any(self.open.get(t) for t in ("title", *SILENT)):
+            self.in_head = False
         for tag in ("title", "h1"):
-            if self.open.get(tag) and self.n[tag] == 1:
+            if self.open.get(tag) and self.n[tag] == 1 and not (tag == "title" and self.open.get("svg")):
                 self.texts[tag].append(data)
         if not self.in_head and not self.open.get("title") and not any(self.open.get(t) for t in SILENT):
             self.n["words"] += len(WORD.findall(data))
@@ -103,15 +110,19 @@ def _line(parts: list[str]) -> str:
 
 
 def _read(html: str) -> tuple:
-    p = _Facts()
-    p.feed(html)
-    p.close()
+    """Facts of a page, and why reading stopped early, if it did: one broken page never fails the others."""
+    p, error = _Facts(), ""
+    try:
+        p.feed(html)
+        p.close()
+    except Exception as e:  # the parser raises bare assertions on marked sections it does not know
+        error = f"{type(e).__name__}: {e}"[:200]
     m, n = p.meta, p.n
     return (
         _line(p.texts["title"]), m.get("name:description", ""), n["h1"], _line(p.texts["h1"]), n["h2"], n["words"],
         n["img"], n["no_alt"], p.lang or "", m.get("name:viewport", ""), m.get("name:robots", ""), p.canonical or "",
         m.get("property:og:title", ""), m.get("property:og:image", ""), n["json_ld"], n["itemtype"], n["insecure"],
-        p.hrefs,
+        p.hrefs, error,
     )
 
 

@@ -328,3 +328,22 @@ def test_counters_survive_redelivery(spark, tmp_path):
     tables.upsert_counters(batch((1, 1, 11), (2, 3, 1)), path, *how, batch_id=1, query_id="a")  # delivered again after compaction
     tables.upsert_counters(batch((2, 3, 4)), path, *how, batch_id=2, query_id="a")
     assert total() == {(1, 1): 23, (2, 3): 5}
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<head><title>t</title><p>implied body<h1>x</h1><a href="/a">l</a>', ("t", "x", 1, 4, ["/a"], False)),
+    ("<title>no head</title><h1>y</h1><p>one two", ("no head", "y", 1, 3, [], False)),
+    ("<p>text first<title>late</title>", ("late", "", 0, 2, [], False)),
+    ("<html><head><title>a</title></head><body><svg><title>icon</title></svg><h1>z</h1>word", ("a", "z", 1, 2, [], False)),
+    ('<title>m</title><p>before</p><![foo[ x ]]><a href="/b">b</a>', ("m", "", 0, 1, [], True)),
+    ("", ("", "", 0, 0, [], False)),
+    ("plain words only", ("", "", 0, 3, [], False)),
+])
+def test_pages_with_implied_tags(html, want):
+    names = [c.split()[0] for c in audit_facts.FACT_COLUMNS.split(", ")]
+    got = dict(zip(names, audit_facts._read(html)))
+    seen = (got["title"], got["h1"], got["h1_count"], got["words"], got["hrefs"], got["read_error"] != "")
+    if want[5]:
+        assert seen[0] == want[0] and seen[5]
+    else:
+        assert seen == want
