@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from footfall.functions.measures import viewport_bucket
 from footfall.operators import rollup
 from footfall.operators.sessions import build_sessions, describe_sessions, flag_returning, sessionize
-from footfall.runtime import scratch_dir
+from footfall.runtime import scratch_dir, stored
 from footfall.sources import sample
-from footfall.sources.tables import append_events
+from footfall.sources.tables import append_events, append_sessions
 
 _built: dict[tuple[str, str], "Warehouse"] = {}
 
@@ -39,8 +39,8 @@ class Warehouse:
 
     def _raw(self, name: str) -> DataFrame:
         if name not in self._tables:
-            linked = linked_payloads(self.spark, self.sf_dir)
-            append_events(session_rows(linked), f"{self.root}/sessions", "started_at")
+            linked = stored(linked_payloads(self.spark, self.sf_dir), "linked")
+            append_sessions(session_rows(linked), f"{self.root}/sessions")
             append_events(
                 sample.event_rows(linked, sample.fx_rates(self.spark, self.sf_dir)), f"{self.root}/events"
             )
@@ -64,7 +64,7 @@ class Warehouse:
                 df = rollup.crawler_daily(rollup.crawler_hits(sample.requests(self.spark, self.sf_dir), "SiteAudit/"))
             else:
                 df = rollup.rollup(self.sessions, self.events, None, sample.TZ)[name]
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            df.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{name}")
             self._tables[name] = self._read(name)
         return self._tables[name]
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.measures import percent, ratio
-from footfall.sources.tables import scan_events
+from footfall.functions.times import plus_seconds, utc_midnight
+from footfall.operators.events import MAX_DELAY_MS
+from footfall.sources.tables import scan_events, since
 
 IMPRESSION, CLICK = "ad_impression", "ad_click"
 
@@ -23,16 +25,24 @@ def _per_session(events: DataFrame, from_, to, tz: str) -> DataFrame:
     )
 
 
+def _sessions_of(sessions: DataFrame, from_, to, tz: str) -> DataFrame:
+    """Sessions that events of the days can belong to: seen no earlier than the first event, and started before the
+    last one was received, which is at most the longest accepted delay later."""
+    end = plus_seconds(utc_midnight(to, tz, 1), MAX_DELAY_MS // 1000)
+    rows = since(sessions, "last_seen_at", utc_midnight(from_, tz)).where(F.col("started_at") <= end)
+    return rows.where(F.col("event_date") <= F.to_date(end)) if "event_date" in sessions.columns else rows
+
+
 def converting_sessions(events: DataFrame, sessions: DataFrame, from_, to, tz: str) -> DataFrame:
     """Converted sessions that have an ad click in the range."""
     clicked = _per_session(events, from_, to, tz).where((F.col("clicks") > 0) & (F.col("session_id") != 0))
-    return sessions.where(F.col("conversions") > 0).join(clicked.select("session_id"), "session_id", "left_semi")
+    return _sessions_of(sessions, from_, to, tz).where(F.col("conversions") > 0).join(clicked.select("session_id"), "session_id", "left_semi")
 
 
 def ad_visits(events: DataFrame, sessions: DataFrame, from_, to, tz: str) -> DataFrame:
     """Impressions, clicks, sessions with a click (unlinked ones count as one) and how many of those converted."""
     per = _per_session(events, from_, to, tz)
-    converted = sessions.where(F.col("conversions") > 0).select("session_id", F.lit(1).alias("_conv"))
+    converted = _sessions_of(sessions, from_, to, tz).where(F.col("conversions") > 0).select("session_id", F.lit(1).alias("_conv"))
     joined = per.join(converted, "session_id", "left")
     clicked = F.col("clicks") > 0
     out = joined.agg(
@@ -45,7 +55,7 @@ def ad_visits(events: DataFrame, sessions: DataFrame, from_, to, tz: str) -> Dat
 
 
 def ad_channels(events: DataFrame, sessions: DataFrame, from_, to, tz: str, limit: int = 20) -> DataFrame:
-    per = _per_session(events, from_, to, tz).join(sessions.select("session_id", "channel"), "session_id")
+    per = _per_session(events, from_, to, tz).join(_sessions_of(sessions, from_, to, tz).select("session_id", "channel"), "session_id")
     rows = per.groupBy("channel").agg(
         F.sum("impressions").alias("impressions"),
         F.sum("clicks").alias("clicks"),

@@ -61,25 +61,32 @@ def _drop_partitions(spark: SparkSession, path: str, column: str, values: Sequen
             fs.delete(p, True)
 
 
-def write_days(df: DataFrame, path: str, days: Sequence[date | str], column: str = "day") -> None:
+def write_days(df: DataFrame, path: str, days: Sequence[date | str], column: str = "day", second: str | None = None) -> None:
     """Replaces whole days of a day-partitioned table; running it twice changes nothing.
 
     Listed days without rows end up empty. Rows are rebalanced by day before the write, which splits a
-    day that is too big for one task and packs small ones.
+    day that is too big for one task and packs small ones. ``second`` names the inner partition column, if any.
     """
     wanted = [str(d) for d in days]
+    keys = [column] if second is None else [column, second]
     seen = Observation()
     rows = df.where(F.col(column).cast("string").isin(wanted))
-    rows = rows.observe(seen, F.collect_set(F.col(column).cast("string")).alias("days"))  # at most len(days) values
+    place = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in keys])
+    rows = rows.observe(seen, F.collect_set(place).alias("places"))  # dates of the listed days
     (
-        rows.hint("rebalance", F.col(column))
+        rows.hint("rebalance", *[F.col(c) for c in keys])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(column)
+        .partitionBy(*keys)
         .parquet(path)
     )
-    present = set(seen.get["days"])
-    _drop_partitions(df.sparkSession, path, column, [d for d in wanted if d not in present])
+    places, spark = set(seen.get["places"]), df.sparkSession
+    present = {p.split("/")[0].split("=")[1] for p in places}
+    _drop_partitions(spark, path, column, [d for d in wanted if d not in present])
+    if second is not None:
+        for d in present:
+            inner = [n.split("=")[1] for n in _children(spark, f"{path}/{column}={d}", f"{second}=")]
+            _drop_partitions(spark, f"{path}/{column}={d}", second, [n for n in inner if f"{column}={d}/{second}={n}" not in places])
 
 
 def append_events(df: DataFrame, path: str, ts: str = "occurred_at") -> None:
@@ -93,6 +100,24 @@ def append_events(df: DataFrame, path: str, ts: str = "occurred_at") -> None:
     )
 
 
+def append_sessions(df: DataFrame, path: str) -> None:
+    """Appends session rows under the dates of their start (event_date) and of their last row (seen_date)."""
+    (
+        df.withColumns({"event_date": F.to_date("started_at"), "seen_date": F.to_date("last_seen_at")})
+        .hint("rebalance", F.col("event_date"), F.col("seen_date"))
+        .write.mode("append")
+        .partitionBy("event_date", "seen_date")
+        .parquet(path)
+    )
+
+
+def since(df: DataFrame, ts: str, at: Column) -> DataFrame:
+    """Rows with ts >= at. On a stored table the date partition of that time is used too, so older ones are not read."""
+    rows = df.where(F.col(ts) >= at)
+    part = {"last_seen_at": "seen_date"}.get(ts, "event_date")
+    return rows.where(F.col(part) >= F.to_date(at)) if part in df.columns else rows
+
+
 def merge_counters(
     old: DataFrame | None, delta: DataFrame, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None
 ) -> DataFrame:

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import audit_facts, audit_site, currency, geo, rollup, windows
-from footfall.operators.retention import retain
+from footfall.operators.retention import drop_old, retain
 from footfall.operators.sessions import build_sessions, cap_session, engaged_time, merge_sessions, sessionize
-from footfall.plans import ingest, reports
+from footfall.plans import ads, ingest, realtime, reports
 from footfall.settings import Settings
 from footfall.sources import tables
 from footfall.streaming import streams
@@ -347,3 +347,48 @@ def test_pages_with_implied_tags(html, want):
         assert seen[0] == want[0] and seen[5]
     else:
         assert seen == want
+
+
+@pytest.fixture
+def stored_visits(spark, tmp_path):
+    """Ten days of events and of sessions that last three hours, stored by date."""
+    at = F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2024-01-01 00:30:00").cast("timestamp_ntz"))
+    e = spark.range(240).select(
+        F.col("id").alias("event_id"), F.col("id").alias("session_id"), at.alias("occurred_at"), F.lit("ad_click").alias("event_name"),
+        F.lit("/").alias("page_path"), F.lit("t").alias("page_title"),
+    )
+    s = spark.range(240).select(
+        F.col("id").alias("session_id"), F.lit("v").alias("visitor_key"), at.alias("started_at"), F.timestamp_add("HOUR", F.lit(3), at).alias("last_seen_at"),
+        F.lit("direct").alias("channel"), (F.col("id") % 2).alias("conversions"), F.lit("KE").alias("country"), F.lit("mobile").alias("device_type"),
+    )
+    tables.append_events(e, f"{tmp_path}/events")
+    tables.append_sessions(s, f"{tmp_path}/sessions")
+    return str(tmp_path), spark.read.parquet(f"{tmp_path}/events"), spark.read.parquet(f"{tmp_path}/sessions")
+
+
+def test_reports_prune_by_date(stored_visits):
+    _, e, s = stored_visits
+    now, days = "2024-01-05 12:00:00", ("2024-01-03", "2024-01-04", "UTC")
+    plans = [
+        realtime.realtime_active(s, now), realtime.realtime_per_minute(e, now), realtime.realtime_top_pages(e, now),
+        realtime.realtime_top_channels(s, now), realtime.realtime_feed(s, e, now), realtime.volume_24h(s, e, now),
+        ads.converting_sessions(e, s, *days), ads.ad_visits(e, s, *days), ads.ad_channels(e, s, *days),
+        *retain({"events": e, "sessions": s}, now, raw_months=1)[0].values(),
+    ]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
+        assert scans and all("_date" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans), plan
+    assert ads.ad_visits(e, s, *days).first().converting_sessions == 24
+    assert realtime.realtime_active(s, "2024-01-02 02:00:00", 60).first()[0] == 1
+
+
+def test_retention_deletes_on_disk(spark, stored_visits):
+    root, e, s = stored_visits
+    for name, df, ts in (("events", e, "occurred_at"), ("sessions", s, "started_at")):
+        kept, counts = retain({name: df}, "2024-02-04 12:00:00", raw_months=1)
+        want, gone = sorted(r[0] for r in kept[name].select(ts).collect()), counts.first()["deleted"]
+        assert drop_old(spark, f"{root}/{name}", name, "2024-02-04 12:00:00", 1) == gone > 0
+        left = spark.read.parquet(f"{root}/{name}")
+        assert sorted(r[0] for r in left.select(ts).collect()) == want and set(left.columns) == set(df.columns)
+        assert drop_old(spark, f"{root}/{name}", name, "2024-02-04 12:00:00", 1) == 0
