@@ -433,9 +433,15 @@ SELECT payload_id, {case("k % 3", ["en-GB", "de", ""])} AS language, CASE WHEN k
 EMAIL = r"[A-Z0-9._%+\-]+(?:@|%40)[A-Z0-9.\-]+\.[A-Z]{2,}"
 PHONE = r"\+?\d(?:[\s().\-]*\d){8,}"
 UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
+# Tokens by maximal runs of word characters, as the SQL's patterns cannot look around.
+SCRUBBED = f"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(c, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda x:
+  CASE WHEN length(x) >= 24 AND regexp_matches(x, '^[A-Za-z0-9_]') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') THEN '[token]' ELSE x END), '') AS c
+FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'gi'),
+  '{PHONE}', '[phone]', 'g'), '{UUID}', '[token]', 'gi') AS c FROM documents)"""
 add("C12_scrub_pii", "", f"""
-SELECT doc_id, md5(c) AS text_md5, length(c) AS chars FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'gi'),
-  '{PHONE}', '[phone]', 'g'), '{UUID}', '[token]', 'gi') AS c FROM documents)""")
+SELECT doc_id, md5(c) AS text_md5, length(c) AS chars FROM ({SCRUBBED})""")
+add("C12_scrub_table", "", f"SELECT doc_id, md5(c) AS text_md5 FROM ({SCRUBBED})")
 add("C13_pii_incidence", "", f"""
 SELECT kind, count(*) AS rows FROM (
   SELECT 'email' AS kind FROM documents WHERE regexp_matches(text, '(?i){EMAIL}')
@@ -718,6 +724,9 @@ FROM (SELECT *, CASE WHEN event_name = 'purchase' THEN CAST(value AS DECIMAL(18,
 add("J1_stream_hits", EV2, """
 SELECT CASE WHEN payload_id % 10 < 2 THEN 'malformed' ELSE 'hit' END AS outcome, count(*) AS lines, count(*) FILTER (WHERE payload_id % 10 >= 2) AS events FROM ev2 GROUP BY 1""")
 ORACLES["J2_live_sessions"] = ORACLES["E5_session_counters"]
+add("J3_stream_active", PAY, """
+SELECT CAST(start AS VARCHAR) AS start, count(DISTINCT visitor_key) AS visitors FROM (
+  SELECT date_trunc('minute', received_at) - to_minutes(CAST(unnest(range(0, 5)) AS BIGINT)) AS start, visitor_key FROM pay WHERE k % 8 <> 7) GROUP BY 1""")
 add("J4_stream_per_minute", PAY, """
 SELECT CAST(date_trunc('minute', received_at) AS VARCHAR) AS start, count(*) AS views FROM pay WHERE k % 8 <> 7 AND pvs = 1 GROUP BY 1""")
 add("J5_stream_top", PAY, """

@@ -128,9 +128,16 @@ def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
 
 
 def stream_active(payloads: DataFrame, late: str = LATE) -> DataFrame:
-    """Visitors of the last five minutes, every minute. Distinct counting in a stream is approximate."""
-    w = F.window("event_time", "5 minutes", "1 minute")
-    return _timed(payloads, "received_at", late).groupBy(w).agg(F.approx_count_distinct("visitor_key").alias("visitors"))
+    """Visitors of each minute, a row each: what ``active_of`` counts exactly. State is bounded by the watermark."""
+    minute = F.window("event_time", "1 minute")
+    return _timed(payloads, "received_at", late).groupBy(minute, "visitor_key").agg(F.count("*").alias("payloads"))
+
+
+def active_of(minutes: DataFrame, span: int = 5) -> DataFrame:
+    """Distinct visitors of every ``span`` minutes, each minute, from the rows of ``stream_active``."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda i: F.timestamp_add("MINUTE", -i, F.col("window.start")))
+    pairs = minutes.select(F.explode(starts).alias("start"), "visitor_key").distinct()
+    return pairs.groupBy("start").agg(F.count("visitor_key").alias("visitors"))
 
 
 def stream_per_minute(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -139,15 +146,16 @@ def stream_per_minute(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def stream_top(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
-    """Counts per key in the last 30 minutes, every minute; ``top_of`` picks the leaders of the newest window."""
-    w = F.window("event_time", "30 minutes", "1 minute")
-    return _timed(events, "occurred_at", late).groupBy(w, key).agg(F.count("*").alias("n"))
+    """Counts per key and minute; ``top_of`` adds up the newest of them. Each row is counted once, not once a window."""
+    return _timed(events, "occurred_at", late).groupBy(F.window("event_time", "1 minute"), key).agg(F.count("*").alias("n"))
 
 
-def top_of(windows: DataFrame, key: str, limit: int = 6) -> DataFrame:
-    newest = windows.agg(F.max("window").alias("_w"))
-    rows = windows.join(newest, F.col("window") == F.col("_w"), "left_semi")
-    return rows.orderBy(F.desc("n"), key).limit(limit).select(key, "n")
+def top_of(minutes: DataFrame, key: str, limit: int = 6, span: int = 30) -> DataFrame:
+    """The leaders of the ``span`` minutes that begin with the newest window of that length, as a sliding count has it."""
+    newest = minutes.agg(F.max("window.start").alias("_w"))
+    rows = minutes.join(newest, (F.col("window.start") >= F.col("_w")) & (F.col("window.start") < F.timestamp_add("MINUTE", F.lit(span), F.col("_w"))))
+    sums = rows.groupBy(key).agg(F.sum("n").alias("n"))
+    return sums.orderBy(F.desc("n"), key).limit(limit)
 
 
 def stream_rate_limit(payloads: DataFrame, per_minute: int = 120, late: str = LATE) -> DataFrame:
