@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.times import col
+from footfall.functions.times import col, let
 
 # What counts as an e-mail address, phone number, identifier or opaque token.
 # An address is tried only where its run of characters starts (or right after the match before), which finds
@@ -21,11 +21,21 @@ TOKEN = (
 PHONE = r"\+?(?=\d(?:[\s().\-]*+\d){8})\d[\d\s().\-]{6,}\d"
 
 
+# What a text must have for a pattern to match at all: a cheap look before the search.
+_AT = r"@|%40"
+_DIGIT = r"[0-9]"
+_GROUP = r"[0-9a-fA-F]{8}-"
+_RUN = r"[A-Za-z0-9_]{24}"
+
+
 def scrub_pii(c: str | Column) -> Column:
-    c = F.regexp_replace(col(c), EMAIL, "[email]")
-    c = F.regexp_replace(c, PHONE, "[phone]")
-    c = F.regexp_replace(c, UUID, "[token]")
-    return F.regexp_replace(c, TOKEN, "[token]")
+    def step(value: Column, needs: str, pattern: str, label: str) -> Column:
+        return let(value, lambda v: F.when(v.rlike(needs), F.regexp_replace(v, pattern, label)).otherwise(v))
+
+    c = step(col(c), _AT, EMAIL, "[email]")
+    c = step(c, _DIGIT, PHONE, "[phone]")
+    c = step(c, _GROUP, UUID, "[token]")
+    return step(c, _RUN, TOKEN, "[token]")
 
 
 def has_email(c: str | Column) -> Column:
