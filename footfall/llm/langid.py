@@ -24,7 +24,7 @@ SAMPLE = 500
 MAX_LANGUAGES = 500
 CHUNK = 1 << 16
 #: A prediction whose share is below this is flagged.
-AMBIGUOUS = 0.5
+AMBIGUOUS = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
