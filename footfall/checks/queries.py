@@ -1334,6 +1334,22 @@ def K9_link_edges(spark, d):
     return facts.link_edges(audit(spark, d))
 
 
+# Pages by their number: unrelated heading, insecure image, no links, optional tags left out, as they are.
+VARIED = """CASE page_id % 5
+  WHEN 0 THEN regexp_replace(html, '<h1[^>]*>[^<]*</h1>', '<h1>Qqzz Wwyy</h1>')
+  WHEN 1 THEN replace(html, '</body>', '<img alt="a" src="http://img.example/x.png"></body>')
+  WHEN 2 THEN regexp_replace(html, '<a href="[^"]*">', '<b>')
+  WHEN 3 THEN regexp_replace(html, '</?(head|body)>|</html>', '')
+  ELSE html END"""
+
+
+@query
+def K2_page_issues_varied(spark, d):
+    """Every page rule on pages changed so that each of them, also the rare ones, has something to find."""
+    p = sample.pages(spark, d).withColumn("html", F.expr(VARIED))
+    return site.issue_rows(facts.page_issues(facts.page_facts(p)))
+
+
 @query
 def K10_inlinks(spark, d):
     return site.inlinks(edges_of(spark, d))
