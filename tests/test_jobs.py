@@ -392,3 +392,22 @@ def test_retention_deletes_on_disk(spark, stored_visits):
         left = spark.read.parquet(f"{root}/{name}")
         assert sorted(r[0] for r in left.select(ts).collect()) == want and set(left.columns) == set(df.columns)
         assert drop_old(spark, f"{root}/{name}", name, "2024-02-04 12:00:00", 1) == 0
+
+
+def test_server_events_and_keys(spark):
+    pages = raw_hits(spark, [{"s": 0}, {"s": 30, "events": ["page_view", "cta_click"]}, {"s": 5000, "ip": "41.7.7.7"}])
+    server = raw_hits(spark, [{"s": 60, "events": ["purchase"]}, {"s": 70, "events": ["refund"], "ip": None, "ua": None}, {"s": 90, "events": ["refund"], "ip": "41.9.9.9"}])
+    server = server.withColumn("payload_id", F.col("payload_id") + 100).withColumn("u", F.lit(None).cast("string"))
+    out = ingest.collect_hits(pages, SITE, salts(spark), server_hits=server)
+    ev = {(r.payload_id, r.event_index): r for r in out.events.collect()}
+    assert {k: (r.session_id, r.origin) for k, r in ev.items()} == {
+        (1, 0): (1, 0), (2, 0): (1, 0), (2, 1): (1, 0), (3, 0): (3, 0), (101, 0): (1, 1), (102, 0): (0, 1), (103, 0): (0, 1),
+    }
+    assert ev[102, 0].visitor_key is None and len({r.event_id for r in ev.values()}) == 7
+    ses = {r.session_id: r for r in out.sessions.collect()}
+    assert set(ses) == {1, 3} and ses[1].event_count == 4 and len({r.session_key for r in ses.values()}) == 2
+    # The stored rows feed the jobs behind them.
+    linked = ingest.link_server_events(spark.createDataFrame([(ses[3].session_key,), ("none",)], "session_key string"), out.sessions)
+    assert sorted(r.session_id for r in linked.collect()) == [0, 3]
+    feed = realtime.realtime_feed(out.sessions, out.events, str(T0 + dt.timedelta(seconds=5100)))
+    assert [r.event for r in feed.collect()][:1] == ["page_view"]
