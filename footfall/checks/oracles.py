@@ -990,3 +990,10 @@ VARIED = """(SELECT page_id, url, CASE page_id % 5
   WHEN 3 THEN regexp_replace(html, '</?(head|body)>|</html>', '', 'g')
   ELSE html END AS html FROM pages)"""
 add("K2_page_issues_varied", ISS.replace("FROM pages)", f"FROM {VARIED})").replace("(?is)^.*?<body[^>]*>", "(?is)^.*?(?:<body[^>]*>|</title>)"), "SELECT page_id, code, detail FROM pi")
+# Rates of every third day, once for each stored form.
+add("A5_read_fx_rates", EV0, """
+SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_currency, rate FROM (
+  SELECT DISTINCT CAST(received_at AS DATE) AS rate_date FROM ev0 WHERE day(received_at) % 3 = 0),
+  (VALUES ('parquet'), ('csv')) f(form), LATERAL (
+  SELECT 'USD' AS base_currency, 'EUR' AS quote_currency, round(0.9 + day(rate_date) / 1000.0, 10) AS rate
+  UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")

@@ -85,6 +85,16 @@ def A4_scan_daily(spark, d):
     return tables.scan_daily(warehouse(spark, d).daily("daily_events"), FROM, TO).select("day", "event_name", "events", "sessions")
 
 
+@query
+def A5_read_fx_rates(spark, d):
+    """Rates written in both forms and read back."""
+    fx, path = sample.fx_rates(spark, d), scratch_dir(spark, "fx")
+    fx.write.parquet(f"{path}/parquet")
+    fx.write.option("header", True).csv(f"{path}/csv")
+    both = [tables.read_fx_rates(spark, f"{path}/{form}", form).withColumn("form", F.lit(form)) for form in ("parquet", "csv")]
+    return both[0].unionByName(both[1])
+
+
 @query
 def A10_write_days(spark, d):
     """Writes the traffic table twice, the second time for two days only; the result is the table itself."""

@@ -112,12 +112,12 @@ def page_path(path: str | Column, params: str | Column, names: Sequence[str] = I
     return F.left(F.concat(base, tail), F.lit(512))
 
 
-def parse_url(df: DataFrame, url: str = "u") -> DataFrame:
-    """Adds host, query_params and page_path."""
+def parse_url(df: DataFrame, url: str = "u", names: Sequence[str] = IDENTITY_PARAMS) -> DataFrame:
+    """Adds host, query_params and page_path; ``names`` are the parameters that tell pages of one path apart."""
     return (
         df.withColumn("host", F.lower(url_host(F.coalesce(F.col(url), F.lit("")))))
         .withColumn("query_params", query_map(url_query(F.coalesce(F.col(url), F.lit("")))))
-        .withColumn("page_path", page_path(url_path(F.coalesce(F.col(url), F.lit(""))), "query_params"))
+        .withColumn("page_path", page_path(url_path(F.coalesce(F.col(url), F.lit(""))), "query_params", names))
     )
 
 

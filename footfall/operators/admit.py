@@ -34,9 +34,11 @@ def exclude_paths(df: DataFrame, patterns: Sequence[str], column: str = "page_pa
 def rate_rank(hits: DataFrame, eligible: Column) -> Column:
     """Position of a payload among the visitor's eligible ones in its fixed minute.
 
-    The minute is part of the key, so even a very busy visitor is spread over as many groups as minutes.
+    The minute is part of the key, so even a very busy visitor is spread over as many groups as minutes. Rows that
+    are not eligible need no rank and are spread by their number: a flood from one address meets in no task.
     """
-    w = Window.partitionBy("visitor_key", "_minute", "_eligible").orderBy("received_at", "payload_id")
+    apart = F.when(~F.col("_eligible"), F.pmod(F.xxhash64("payload_id"), F.lit(1024)))
+    w = Window.partitionBy("visitor_key", "_minute", "_eligible", apart).orderBy("received_at", "payload_id")
     return F.row_number().over(w)
 
 

@@ -222,13 +222,15 @@ def audited_pages(
     daily_content: DataFrame | None = None,
     daily_traffic: DataFrame | None = None,
     today=None,
+    extra: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pages with inlinks and severity counts, all issue rows) from facts with page issues."""
+    """(pages with inlinks and severity counts, all issue rows) from facts with page issues. ``extra`` adds to the
+    catalogue or replaces entries of it."""
     edges = _edges(facts)
     rows = issue_rows(facts).unionByName(
         cross_page_issues(facts, edges, status_by_url(facts, checked_links), daily_content, daily_traffic, today)
     )
-    counts = severity_counts(rows, catalog(facts.sparkSession))
+    counts = severity_counts(rows, catalog(facts.sparkSession, extra))
     into = inlinks(edges).withColumnRenamed("dst_url", "self_url")
     zero = ["inlinks", "errors", "warnings", "notices"]
     pages = facts.drop("issues").join(into, "self_url", "left").join(counts, "page_id", "left").fillna(0, zero)
@@ -256,10 +258,10 @@ def crawl_buckets(pages: DataFrame) -> DataFrame:
     return pages.groupBy(bucket().alias("bucket")).agg(F.count("*").alias("pages"))
 
 
-def health(pages: DataFrame, site_issues: DataFrame) -> DataFrame:
+def health(pages: DataFrame, site_issues: DataFrame, extra: dict | None = None) -> DataFrame:
     """Site score 0..100 with the issue totals. ``site_issues`` has a ``code`` column."""
     spark = pages.sparkSession
-    site = site_issues.join(F.broadcast(catalog(spark).select("code", "severity")), "code", "left").agg(
+    site = site_issues.join(F.broadcast(catalog(spark, extra).select("code", "severity")), "code", "left").agg(
         F.lit(1).alias("_k"),
         F.coalesce(F.sum((F.col("severity") == "error").cast("int")), F.lit(0)).alias("_se"),
         F.coalesce(F.sum((F.col("severity") == "warning").cast("int")), F.lit(0)).alias("_sw"),
@@ -285,12 +287,14 @@ def health(pages: DataFrame, site_issues: DataFrame) -> DataFrame:
 
 
 def issue_frequency(issues: DataFrame, cat: DataFrame, site_issues: DataFrame | None = None) -> DataFrame:
-    """Pages per issue code with what the catalogue says about it (codes outside it are left out)."""
+    """Pages per issue code with what the catalogue says about it. A code outside it is a notice about a page without
+    category and advice, as ``severity_counts`` counts it."""
     rows = issues.groupBy("code").agg(F.count("*").alias("pages"))
     if site_issues is not None:
         rows = rows.unionByName(site_issues.select("code", F.lit(1).cast("bigint").alias("pages")))
         rows = rows.groupBy("code").agg(F.sum("pages").alias("pages"))
-    return rows.join(F.broadcast(cat), "code")
+    unknown = {"severity": "notice", "category": "", "scope": "page", "title": "", "fix": ""}
+    return rows.join(F.broadcast(cat), "code", "left").fillna(unknown)
 
 
 def ideas_by_category(frequency: DataFrame) -> DataFrame:
@@ -304,9 +308,9 @@ def severity_rank() -> Column:
     return F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
 
 
-def audit_overview(issues: DataFrame, site_issues: DataFrame | None = None) -> DataFrame:
+def audit_overview(issues: DataFrame, site_issues: DataFrame | None = None, extra: dict | None = None) -> DataFrame:
     """Issue list by severity, then pages."""
-    freq = issue_frequency(issues, catalog(issues.sparkSession), site_issues)
+    freq = issue_frequency(issues, catalog(issues.sparkSession, extra), site_issues)
     return freq.orderBy(severity_rank(), F.desc("pages"), "code")
 
 
@@ -343,10 +347,10 @@ def pages_in_bucket(pages: DataFrame, name: str, daily_content: DataFrame, today
     return page_rows(with_pageviews(rows, daily_content, today), "pageviews")
 
 
-def page_detail(pages: DataFrame, issues: DataFrame, page_id: int) -> DataFrame:
+def page_detail(pages: DataFrame, issues: DataFrame, page_id: int, extra: dict | None = None) -> DataFrame:
     """One page's issues with severity and advice, most severe first."""
     mine = issues.where(F.col("page_id") == page_id)
-    rows = mine.join(F.broadcast(catalog(pages.sparkSession)), "code")
+    rows = mine.join(F.broadcast(catalog(pages.sparkSession, extra)), "code")
     row = page_rows(pages.where(F.col("page_id") == page_id)).select("page_id", "url", "bucket", "ideas", "inlinks")
     return rows.select("page_id", "code", "severity", "category", "fix", "detail").join(row, "page_id").orderBy(
         severity_rank(), "code"
@@ -359,8 +363,8 @@ def top_pages_to_fix(pages: DataFrame, daily_content: DataFrame, today, limit: i
     return out.orderBy(F.desc("pageviews"), F.desc("errors"), F.desc("ideas"), "page_id").limit(limit)
 
 
-def common_ideas(issues: DataFrame, limit: int = 6) -> DataFrame:
-    freq = issue_frequency(issues, catalog(issues.sparkSession)).where(F.col("scope") != "site")
+def common_ideas(issues: DataFrame, limit: int = 6, extra: dict | None = None) -> DataFrame:
+    freq = issue_frequency(issues, catalog(issues.sparkSession, extra)).where(F.col("scope") != "site")
     return freq.orderBy(F.desc("pages"), severity_rank(), "code").limit(limit)
 
 

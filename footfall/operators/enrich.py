@@ -114,7 +114,7 @@ def enrich(
     zones: DataFrame | None = None,
 ) -> DataFrame:
     """All row-level columns of a payload; the only join is the salt of the day."""
-    df = parse_url(hits)
+    df = parse_url(hits) if settings.identity_params is None else parse_url(hits, names=settings.identity_params)
     df = identity_mode(df, settings)
     df = visitor_key(df, salts, settings.site_salt, settings.site)
     df = count_events(valid_events(cap_batch(df)), registry)

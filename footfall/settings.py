@@ -19,6 +19,7 @@ class Settings:
     session_timeout_minutes: int = 30
     base_currency: str = "USD"
     heatmaps: bool = True
+    identity_params: tuple[str, ...] | None = None  # query parameters that name a page; None: the built-in ones
     site: str = ""
     site_salt: str = ""
     channel_rules: dict = field(default_factory=dict)

@@ -43,10 +43,11 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
-def read_fx_rates(spark: SparkSession, path: str) -> DataFrame:
+def read_fx_rates(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Exchange rates stored as ``parquet`` or as ``csv`` with a header."""
     from footfall.schemas import FX_RATES
 
-    if path.endswith(".csv"):
+    if form == "csv":
         return spark.read.schema(FX_RATES).option("header", True).csv(path)
     return spark.read.schema(FX_RATES).parquet(path)
 

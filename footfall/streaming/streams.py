@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.functions.times import epoch_seconds, local_day
 from footfall.operators.rollup import rollup
-from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, MAX_COUNT, MAX_ENGAGED
+from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
 from footfall.sources.hits import read_hits
 from footfall.sources.tables import upsert_counters, write_days
 
@@ -67,9 +67,14 @@ def _advance(state: dict | None, p, timeout: int) -> tuple[dict | None, bool]:
     }, True
 
 
-def live_sessions(payloads: DataFrame, timeout_minutes: int = 30) -> DataFrame:
+def live_sessions(
+    payloads: DataFrame, timeout_minutes: int = 30, late: str = LATE, max_count: int | None = MAX_COUNT, max_engaged: int | None = MAX_ENGAGED
+) -> DataFrame:
     """Session rows touched by each micro-batch, with running counters (update mode).
 
+    Payloads that come more than ``late`` behind the newest are dropped by the watermark; page views and conversions
+    are held at ``max_count``, engaged seconds at ``max_engaged`` (None: not held).
+
     State is one session per visitor and is dropped once it has timed out by event time. A visitor's payloads
     are taken in arrival order within a micro-batch, whose size the source's trigger options bound.
     """
@@ -101,13 +106,13 @@ def live_sessions(payloads: DataFrame, timeout_minutes: int = 30) -> DataFrame:
         F.lower(F.concat_ws("|", "utm_source", "utm_medium", "utm_campaign")).alias("triple"),
         F.col("click_id_type").alias("click"),
     )
-    rows = slim.withWatermark("event_time", LATE).groupBy("visitor_key").applyInPandasWithState(
+    rows = slim.withWatermark("event_time", late).groupBy("visitor_key").applyInPandasWithState(
         step, LIVE_COLUMNS, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
     capped = {
-        "pageviews": F.least("pageviews", F.lit(MAX_COUNT)),
-        "engaged_seconds": F.least("engaged_seconds", F.lit(MAX_ENGAGED)),
-        "conversions": F.least("conversions", F.lit(MAX_COUNT)),
+        "pageviews": at_most(F.col("pageviews"), max_count),
+        "engaged_seconds": at_most(F.col("engaged_seconds"), max_engaged),
+        "conversions": at_most(F.col("conversions"), max_count),
     }
     engaged = (
         (F.col("engaged_seconds") > ENGAGED_SECONDS) | (F.col("pageviews") >= ENGAGED_PAGEVIEWS) | (F.col("conversions") > 0)
