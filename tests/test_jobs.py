@@ -411,3 +411,31 @@ def test_server_events_and_keys(spark):
     assert sorted(r.session_id for r in linked.collect()) == [0, 3]
     feed = realtime.realtime_feed(out.sessions, out.events, str(T0 + dt.timedelta(seconds=5100)))
     assert [r.event for r in feed.collect()][:1] == ["page_view"]
+
+
+def test_geo_equals_brute_force(spark):
+    import ipaddress
+
+    rnd = random.Random(9)
+
+    def some(v6):
+        top = 2**128 if v6 else 2**32
+        a = rnd.choice([rnd.randrange(top), rnd.randrange(50) << (112 if v6 else 20), rnd.randrange(3000) + (5 << 20)])
+        return a, min(top - 1, a + rnd.choice([0, 7, 255, 256, 65_535, 70_000, 2**24, 2 ** (100 if v6 else 28)]))
+
+    def shown(n, v6):
+        return str(ipaddress.IPv6Address(n) if v6 else ipaddress.IPv4Address(n))
+
+    ranges = [(v6, *some(v6), f"{chr(65 + i % 26)}{chr(65 + i // 26)}", f"r{i}") for i in range(120) for v6 in [i % 3 == 0]]
+    ranges.append((False, 0, 2**32 - 1, "ZZ", "all"))
+    ends = [(v6, x) for v6, lo, hi, *_ in ranges for x in (lo - 1, lo, hi, hi + 1, (lo + hi) // 2) if 0 <= x < (2**128 if v6 else 2**32)]
+    want = []
+    for v6, x in ends:
+        best = [(lo, -hi, region) for w, lo, hi, _, region in ranges if w == v6 and lo <= x <= hi]
+        want.append({r for lo, hi, r in best if (lo, hi) == max(best)[:2]} or {""})
+    table = spark.createDataFrame([(shown(lo, w), shown(hi, w), c, r, "") for w, lo, hi, c, r in ranges], "start_ip string, end_ip string, country string, region string, city string")
+    df = spark.createDataFrame([(i, shown(x, v6)) for i, (v6, x) in enumerate(ends)], "i int, ip string")
+    got = [r.region for r in geo.geo_lookup(df, table).orderBy("i").collect()]
+    assert len(got) == len(want) and all(g in w for g, w in zip(got, want, strict=True))
+    none = geo.geo_lookup(df, table.limit(0))
+    assert {r.region for r in none.collect()} == {""} and none.count() == len(ends)
