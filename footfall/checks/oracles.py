@@ -997,3 +997,4 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   (VALUES ('parquet'), ('csv')) f(form), LATERAL (
   SELECT 'USD' AS base_currency, 'EUR' AS quote_currency, round(0.9 + day(rate_date) / 1000.0, 10) AS rate
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
+ORACLES["J0_stream_collect"] = ORACLES["E0_collect"]

@@ -1132,6 +1132,23 @@ def latest(rows, keys):
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
+@query
+def J0_stream_collect(spark, d):
+    """The write path as a stream over three files, so that sessions cross micro-batches."""
+    root, hits = scratch_dir(spark, "stream-collect"), stored(sample.raw_hits(spark, d), "hits")
+    first, second = ntz(SECOND_RUN), ntz("2024-01-22 12:00:00")
+    at = F.col("received_at")
+    for part in (hits.where(at < first), hits.where((at >= first) & (at < second)), hits.where(at >= second)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = streams.stream_collect(
+        stream, SITE, salts(spark, d), f"{root}/out", f"{root}/checkpoint",
+        geo_ranges=sample.geo_ranges(spark, d), fx=sample.fx_rates(spark, d), registry=sample.SAMPLE_REGISTRY,
+    )
+    q.awaitTermination()
+    return streams.collected_sessions(spark, f"{root}/out").select(E0_COLUMNS)
+
+
 @query
 def J1_stream_hits(spark, d):
     """Payloads written as log lines, a fifth of them broken, read back as a stream."""

@@ -189,6 +189,12 @@ def _base(spark: SparkSession, path: str) -> str | None:
     return names[-1] if names else None
 
 
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete ``batch=`` folders."""
+    names = _children(spark, path, "batch=")
+    return sorted(int(n.split("=")[1]) for n in names if _complete(spark, f"{path}/{n}"))
+
+
 def _live(spark: SparkSession, path: str, schema) -> tuple[DataFrame | None, list[str]]:
     """Rows of the base and of the deltas that it does not hold, and the names of those deltas."""
     base, done = _base(spark, path), set(_compacted(spark, path))

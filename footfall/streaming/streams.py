@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-
 from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +15,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from footfall.functions.times import epoch_seconds, local_day
 from footfall.operators.rollup import rollup
 from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
+from footfall.plans.ingest import collect_hits
+from footfall.runtime import stored
+from footfall.settings import Settings
 from footfall.sources.hits import read_hits
-from footfall.sources.tables import upsert_counters, write_days
+from footfall.sources.tables import batches, upsert_counters, write_days
 
 LATE = "10 minutes"
 
@@ -26,6 +29,43 @@ def stream_hits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_hits(spark, path, streaming=True)
 
 
+# ---- the write path -----------------------------------------------------------------------------
+
+
+def collected_sessions(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The sessions that ``stream_collect`` stored, each with its latest row; None when there are none yet."""
+    folders = [f"{root}/sessions/batch={n}" for n in batches(spark, f"{root}/sessions") if before is None or n < before]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", f"{root}/sessions").parquet(*folders)
+    columns = [c for c in rows.columns if c not in ("session_id", "batch")]
+    return rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("session_id", "r.*")
+
+
+def stream_collect(
+    hits: DataFrame, settings: Settings, salts: DataFrame, root: str, checkpoint: str, late_seconds: int = 600, **how
+) -> StreamingQuery:
+    """The whole write path on a stream of hits: each micro-batch is collected with the sessions of earlier ones.
+
+    Sessions, events, heat points and rejects of a batch lie in folders of their own (``sessions/batch=3``), which a
+    redelivery replaces, so every payload counts once. A session that goes on gets a new row with its new totals;
+    ``collected_sessions`` gives the latest. Payloads received more than ``late_seconds`` before the newest stored row
+    go to ``rejects`` with the reason late. ``how`` goes to ``collect_hits``.
+    """
+
+    def collect(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prior, rows = collected_sessions(spark, root, batch_id), stored(batch, "micro-batch")
+        newest = None if prior is None else prior.agg(F.max("last_seen_at")).first()[0]
+        old = F.lit(False) if newest is None else F.col("received_at") < F.lit(newest - timedelta(seconds=late_seconds))
+        out = collect_hits(rows.where(~old), settings, salts, prior_sessions=prior, **how)
+        rejects = rows.where(old).select("payload_id", "received_at", F.lit("late").alias("reason"))
+        for name, df in (("events", out.events), ("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
+            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+    return hits.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # ---- live sessions ------------------------------------------------------------------------------
 
 SESSION_FIELDS = [

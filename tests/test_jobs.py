@@ -439,3 +439,16 @@ def test_geo_equals_brute_force(spark):
     assert len(got) == len(want) and all(g in w for g, w in zip(got, want, strict=True))
     none = geo.geo_lookup(df, table.limit(0))
     assert {r.region for r in none.collect()} == {""} and none.count() == len(ends)
+
+
+def test_stream_collect_rejects_late_rows(spark, tmp_path):
+    hits = raw_hits(spark, [{"s": 0}, {"s": 60}, {"s": 900}, {"s": 960}, {"s": 5, "ip": "41.8.8.8"}, {"s": 700, "ip": "41.8.8.8"}])
+    for ids in ((1, 2), (3,), (4, 5, 6)):
+        hits.where(F.col("payload_id").isin(*ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.stream_collect(stream, SITE, salts(spark), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {r.session_id: (r.event_count, r.duration_seconds) for r in streams.collected_sessions(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (4, 960), 6: (1, 0)}
+    assert [(r.payload_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == [(5, "late")]
+    events = spark.read.parquet(f"{tmp_path}/out/events")
+    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 2), (6, 6, 2)]
