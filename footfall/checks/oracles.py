@@ -998,3 +998,9 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   SELECT 'USD' AS base_currency, 'EUR' AS quote_currency, round(0.9 + day(rate_date) / 1000.0, 10) AS rate
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
 ORACLES["J0_stream_collect"] = ORACLES["E0_collect"]
+add("K25_site_checks_by_host", PG, """
+SELECT site, code FROM (
+  SELECT site, unnest([CASE WHEN m % 7 = 0 THEN 'search_engines_blocked' END, CASE WHEN NOT starts_with(lower(home), 'https:') THEN 'no_https' END,
+    CASE WHEN m % 6 = 0 THEN 'plain_permalinks' END, CASE WHEN m % 11 = 0 THEN 'debug_display' END, CASE WHEN m % 4 = 0 THEN 'robots_missing' END,
+    CASE WHEN m % 4 <> 0 AND m % 3 = 0 THEN 'robots_blocks_all' END, CASE WHEN m % 5 = 0 THEN 'sitemap_missing' END, CASE WHEN m % 2 = 0 THEN 'soft_404' END]) AS code
+  FROM (SELECT host AS site, min(page_id) AS m, min_by(url, page_id) AS home FROM pg GROUP BY host)) WHERE code IS NOT NULL""")

@@ -1522,6 +1522,25 @@ def K25_site_checks(spark, d):
     return _site_issues(spark, d)
 
 
+@query
+def K25_site_checks_by_host(spark, d):
+    """The checks of every host among the pages; what its special addresses answer follows from its first page's number."""
+    hosts = sample.table(spark, d, "pages").groupBy(F.lower(urls.url_host("url")).alias("site")).agg(
+        F.min("page_id").alias("m"), F.min_by("url", "page_id").alias("home_url")
+    )
+    m = F.col("m")
+    kinds = F.array(
+        F.struct(F.lit("robots").alias("kind"), F.when(m % 4 == 0, 404).otherwise(200).alias("status"),
+                 F.when(m % 3 == 0, "User-agent: *\nDisallow: /\n").otherwise("User-agent: *\nDisallow: /x").alias("body")),
+        F.struct(F.lit("sitemap").alias("kind"), F.when(m % 5 == 0, 404).otherwise(200).alias("status"), F.lit("<urlset/>").alias("body")),
+        F.struct(F.lit("missing").alias("kind"), F.when(m % 2 == 0, 200).otherwise(404).alias("status"), F.lit("").alias("body")),
+    )
+    flags = hosts.select(
+        "site", "home_url", (m % 7 == 0).alias("search_blocked"), (m % 6 == 0).alias("plain_permalinks"), (m % 11 == 0).alias("debug_display")
+    )
+    return site.site_checks(hosts.select("site", F.inline(kinds)), flags, "site")
+
+
 @query
 def K26_keep_runs(spark, d):
     runs = _runs(spark, d)

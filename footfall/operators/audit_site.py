@@ -422,18 +422,24 @@ def robots_blocks_all(robots: DataFrame) -> DataFrame:
     return rows.groupBy("site").agg(F.max(hit.cast("int")).alias("blocks_all"))
 
 
-def site_checks(site_fetches: DataFrame, site_flags: DataFrame) -> DataFrame:
-    """Site-wide issues from fetched special addresses (kind: robots, sitemap, missing) and one row of flags."""
+def site_checks(site_fetches: DataFrame, site_flags: DataFrame, by: str | None = None) -> DataFrame:
+    """Site-wide issues from fetched special addresses (kind: robots, sitemap, missing) and a row of flags.
+
+    ``by`` names the column of both inputs that tells sites apart; the result then has it too. Without it all rows are
+    one site's.
+    """
+    key = "_k" if by is None else by
+    if by is None:
+        site_fetches, site_flags = (df.withColumn("_k", F.lit(1)) for df in (site_fetches, site_flags))
     kind, status = F.col("kind"), F.col("status")
-    f = site_fetches.agg(
-        F.lit(1).alias("_k"),
+    f = site_fetches.groupBy(key).agg(
         F.max(F.when(kind == "robots", status)).alias("robots"),
         F.max(F.when((kind == "sitemap") & (status == 200) & F.col("body").contains("<"), 1)).alias("sitemap"),
         F.max(F.when((kind == "missing") & (status == 200), 1)).alias("soft"),
     )
-    text = site_fetches.where((kind == "robots") & (status == 200)).select(F.lit(1).alias("site"), "body")
-    blocked = robots_blocks_all(text).select(F.col("site").alias("_k"), "blocks_all")
-    row = site_flags.withColumn("_k", F.lit(1)).join(f, "_k").join(blocked, "_k", "left")
+    text = site_fetches.where((kind == "robots") & (status == 200)).select(F.col(key).alias("site"), "body")
+    blocked = robots_blocks_all(text).select(F.col("site").alias(key), "blocks_all")
+    row = site_flags.join(f, key).join(blocked, key, "left")
     found = {
         "search_engines_blocked": F.col("search_blocked"),
         "no_https": url_scheme("home_url") != "https",
@@ -445,7 +451,7 @@ def site_checks(site_fetches: DataFrame, site_flags: DataFrame) -> DataFrame:
         "soft_404": F.col("soft") == 1,
     }
     codes = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
-    return row.select(F.explode(codes).alias("code"))
+    return row.select(*([] if by is None else [by]), F.explode(codes).alias("code"))
 
 
 def keep_runs(runs: DataFrame, pages: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
