@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -227,24 +227,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sh
     return fps.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest id.
-
-    Of rows that repeat that id, one stays: the one with the smallest text hash. All columns are kept. A group whose
-    ids are all null keeps one row too.
-    """
+def pick_one(docs: DataFrame, key: str, text_col: str, groups_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with one row of each group: ``groups_of`` gives ``id`` and ``component_id`` of rows (``rid``, ``text``)."""
     cols = docs.columns
     path = shared_dir(docs.sparkSession, "rows")
     docs.select(F.struct(*cols).alias("row"), F.col(key).alias("id"), F.monotonically_increasing_id().alias("rid")).write.option(
         "compression", "zstd"
     ).parquet(path)
     rows = docs.sparkSession.read.parquet(path)
-    groups = near_groups(rows.select("rid", F.col(f"row.{text_col}").alias("text")), "rid", "text", shingle)
+    groups = groups_of(rows.select("rid", F.col(f"row.{text_col}").alias("text")))
     ids = groups.select(F.col("id").alias("rid"), F.col("component_id").alias("c")).join(rows.select("rid", "id"), "rid")
     best = ids.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "rid")).alias("m")).select(F.col("m.rid").alias("rid"))
     return rows.join(best, "rid", "left_semi").select("row.*")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id.
+
+    Of rows that repeat that id, one stays: the one with the smallest text hash. All columns are kept. A group whose
+    ids are all null keeps one row too.
+    """
+    return pick_one(docs, key, text_col, lambda rows: near_groups(rows, "rid", "text", shingle))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
