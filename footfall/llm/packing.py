@@ -14,41 +14,55 @@ from footfall.llm.common import stored, table
 from footfall.llm.tokens import encoder
 
 LENGTH = 1024
-#: Tokens a queue sends in one turn; divides LENGTH.
-QUANTUM = 1024
+#: Documents that are cut at once.
+ROWS = 1024
+#: Tokens a queue sends in one turn, well below LENGTH so that a sequence mixes sources; divides LENGTH.
+QUANTUM = 64
 #: Source queues that a mixture may have; the state of the round robin is one number each.
 MAX_SOURCES = 65_536
+#: Step between the phases of neighbouring queues: keeps any number of them spread evenly.
+GOLDEN = 0.6180339887498949
 
 
-def turns_before(s: int, j: np.ndarray, quanta: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """How many turns come before turn j of queue s.
+def tokens_before(s: int, j: np.ndarray, totals: np.ndarray, quantum: int, weights: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """How many tokens come before turn j of queue s.
 
-    After t turns a queue of weight w is owed t * w / sum(weights) of them, and the queue with the largest deficit is
-    served. Its turn j (from 0) is due at (2j + 1) / w, so turns are ordered by that value, then by queue; a queue that
-    has run out of ``quanta`` is skipped. Deficits are thus carried through the whole corpus, and any turn's place
-    follows from its number alone, in whatever partition it is.
+    After t tokens a queue of weight w is owed t * w / sum(weights) of them, and the queue with the largest deficit is
+    served, with ``quantum`` tokens or, in its last turn, what it has left. A turn is due when the part ``phases`` of it
+    is owed, so its turn j (from 0) of n tokens comes at (2 * j * quantum + 2 * phase * n) / w; turns are ordered by that
+    value, then by queue; a queue that has run out is skipped. Deficits are thus carried through the whole corpus, and any
+    turn's place follows from its number alone, in whatever partition it is.
     """
-    due = (2.0 * j + 1.0) / weights[s]
+
+    def due_of(k: int, c: np.ndarray) -> np.ndarray:
+        return (2.0 * c * quantum + 2.0 * phases[k] * np.minimum(quantum, totals[k] - c * quantum)) / weights[k]
+
+    due = due_of(s, j)
     out = np.zeros(len(j), dtype=np.int64)
-    for k in range(len(quanta)):
+    for k in range(len(totals)):
         if k == s:
-            out += j
+            out += j * quantum
             continue
-        w = weights[k]
+        turns = -(-totals[k] // quantum)
 
-        def earlier(c: np.ndarray, w=w, k=k) -> np.ndarray:
-            key = (2.0 * c + 1.0) / w
+        def earlier(c: np.ndarray, k=k) -> np.ndarray:
+            key = due_of(k, c)
             return (key < due) | ((key == due) & (k < s))
 
-        c = np.clip(np.floor((due * w + 1) / 2).astype(np.int64), 0, quanta[k])
-        while (up := (c < quanta[k]) & earlier(c)).any():
+        c = np.clip(np.floor(due * weights[k] / (2 * quantum) - phases[k] + 1), 0, turns).astype(np.int64)
+        while (up := (c < turns) & earlier(c)).any():
             c += up
         while (down := (c > 0) & ~earlier(c - 1)).any():
             c -= down
-        out += c
+        out += np.minimum(c * quantum, totals[k])
     return out
 
 
+def turns_before(s: int, j: np.ndarray, quanta: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How many turns come before turn j of queue s, all turns being due in their middle."""
+    return tokens_before(s, j, quanta, 1, weights, np.full(len(quanta), 0.5))
+
+
 def token_queues(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every document's ids in the queue of its source, in key order: part, source, k, at (in the part's share of the
     queue), n, ids; and for each part and source a row with null ids whose n is the share's length."""
@@ -92,11 +106,13 @@ def pack(
 
     Each source is a queue of its documents in key order, each document its ids and ``end_id``. Queues take turns by
     deficit round robin and send ``quantum`` tokens a turn, so every window of sequences holds each source's target
-    share up to one quantum, and what a source lacks in a window is made up in the next. ``targets`` gives the weight
+    share up to about one quantum (large ones two; the largest source takes up the rounding of all others too), and what
+    a source lacks in a window is made up in the next. ``targets`` gives the weight
     of sources (others weigh nothing extra: 1); by default the weight is the source's token count, which makes all
-    queues end together. A queue that ends early leaves its turns to the others. The rests of queues, shorter than a
-    quantum, follow each other at the end, so only the last sequence can be short. ``ids`` are little-endian unsigned
-    32-bit integers.
+    queues end together. A queue that ends early leaves its turns to the others. The last turn of a queue, and the only
+    one of a source with less than a quantum, is short and takes its place like any other; queues start at different
+    phases, so small sources are spread over the corpus. Turns follow each other without gaps, so only the last sequence
+    can be short. ``ids`` are little-endian unsigned 32-bit integers.
 
     Null and empty texts are the end id alone; a null source is a queue of its own; rows that repeat a key are packed
     each by itself; an empty table gives no piece. A hot source is spread over tasks by ranges of (source, key, row).
@@ -115,49 +131,49 @@ def pack(
         totals[index[s]] += n
     total = np.array(totals, dtype=np.int64)
     weights = total.astype(float) if targets is None else np.array([targets.get(s, 1.0) if known else 1.0 for known, s in names], dtype=float)
-    quanta = total // quantum
-    rest = total - quanta * quantum
-    rest_at = int(quanta.sum()) * quantum + np.cumsum(rest) - rest
+    phases = (0.5 + GOLDEN * np.arange(len(names))) % 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part, source, k, at, n, ids = (c.to_pylist() for c in b.columns)
-            pieces: dict[int, list[tuple[int, int, int, int]]] = {}  # queue: (row, start in document, length, place in queue)
-            for i in range(len(n)):
-                name = (source[i] is not None, source[i] or "")
-                s = index[name]
-                lo = base[part[i], name] + at[i]
-                done, whole = 0, int(quanta[s]) * quantum
-                while done < n[i]:
-                    p = lo + done
-                    if p < whole:
-                        size = quantum - p % quantum
-                    else:
-                        size = length - (int(rest_at[s]) + p - whole) % length
-                    size = min(size, n[i] - done)
-                    pieces.setdefault(s, []).append((i, done, size, p))
-                    done += size
-            out = []
-            for s, found in pieces.items():
-                places = np.array([f[3] for f in found], dtype=np.int64)
-                turn, full = places // quantum, int(quanta[s]) * quantum
-                uniq, back = np.unique(np.minimum(turn, max(0, int(quanta[s]) - 1)), return_inverse=True)
-                order = turns_before(s, uniq, quanta, weights)[back]
-                where = np.where(places < full, order * quantum + places % quantum, rest_at[s] + places - full)
-                out += [(i, start, size, g) for (i, start, size, _), g in zip(found, where.tolist(), strict=True)]
-            out.sort()
-            wide = {}
-            cut = []
-            for i, start, size, _ in out:
-                if i not in wide:
-                    wide = {i: np.frombuffer(ids[i], np.dtype(f"<u{len(ids[i]) // n[i]}")).astype("<u4")}
-                cut.append(wide[i][start : start + size].tobytes())
-            cols = [
-                pa.array([k[i] for i, *_ in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()),
-                pa.array(cut, pa.binary()), pa.array([n[i] for i, *_ in out], pa.int64()),
-                pa.array([g // length for *_, g in out], pa.int64()), pa.array([g % length for *_, g in out], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for whole in batches:
+            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                yield packed(b)
+
+    def packed(b: pa.RecordBatch) -> pa.RecordBatch:
+        known = [(x is not None, x or "") for x in b.column(1).to_pylist()]
+        queue = np.array([index[x] for x in known])
+        n = b.column(4).to_numpy()
+        lo = b.column(3).to_numpy() + np.array([base[part, x] for part, x in zip(b.column(0).to_pylist(), known, strict=True)], dtype=np.int64)
+        # One piece a document and turn: its row, turn, place in the queue and length.
+        count = (lo + n - 1) // quantum - lo // quantum + 1
+        row = np.repeat(np.arange(len(n)), count)
+        turn = (lo // quantum)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        place = np.maximum(turn * quantum, lo[row])
+        size = np.minimum((turn + 1) * quantum, (lo + n)[row]) - place
+        where = place - turn * quantum
+        for s in np.unique(queue):
+            own = queue[row] == s
+            uniq, back = np.unique(turn[own], return_inverse=True)
+            where[own] += tokens_before(int(s), uniq, total, quantum, weights, phases)[back]
+        # A piece over the end of a sequence is cut there; one that goes on where the piece before ends is joined to it.
+        head = np.minimum(size, length - where % length)
+        twice = np.repeat(np.arange(len(row)), 1 + (head < size))
+        second = np.concatenate(([False], twice[1:] == twice[:-1]))
+        row, where = row[twice], where[twice] + np.where(second, head[twice], 0)
+        size = np.where(second, (size - head)[twice], head[twice])
+        first = np.concatenate(([True], (row[1:] != row[:-1]) | (where[1:] != where[:-1] + size[:-1]) | (where[1:] % length == 0)))
+        at = np.flatnonzero(first)
+        row, where, size = row[at], where[at], np.add.reduceat(size, at)
+        before = np.cumsum(size) - size
+        start = before - (np.cumsum(n) - n)[row]
+        raw = b.column(5).to_pylist()
+        ids = np.frombuffer(b"".join(raw), np.dtype(f"<u{len(raw[0]) // n[0]}")).astype("<u4")
+        ends = np.concatenate((before, [len(ids)])) * 4
+        cols = [
+            b.column(2).take(pa.array(row)), pa.array(start), pa.array(size),
+            pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+            pa.array(n[row]), pa.array(where // length), pa.array(where % length),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return queues.filter("ids is not null").mapInArrow(
         run, "k long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
