@@ -180,12 +180,13 @@ def pack(
     )
 
 
-def packed_pieces(docs: DataFrame) -> DataFrame:
+def packed_pieces(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Pieces in digest form, with_ids with the token ids too."""
     import public_tokenizers
 
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select(
-        F.col("k").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        F.col("k").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids
     )
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
 
-from footfall.llm import packing
+import corpus_pipeline as cp
+from footfall.llm import packing, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -53,3 +55,14 @@ def test_tokens_before_is_a_weighted_merge():
         assert packing.tokens_before(s, np.array([j]), totals, 8, weights, phases).tolist() == [at]
         at += n
     assert at == totals.sum()
+
+
+def test_last_stage_holds_the_ids(spark):
+    docs = mixed(spark).selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars")
+    rows = sorted(cp.packing(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start))
+    enc, got = tokens.encoder(BPE), {}
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    for r in docs.collect():
+        assert np.frombuffer(got[r.doc_id], "<u4").tolist() == [*np.frombuffer(enc.encode(r.text), enc.dtype).tolist(), 0]
