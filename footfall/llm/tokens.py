@@ -38,10 +38,11 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Texts to ids in little-endian bytes of ``dtype``.
+    """Texts to ids in little-endian bytes of ``dtype``, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level model never merges across the pieces of its pattern, so the library's ids of a piece are remembered
-    and joined. Texts with characters outside common ranges, and other kinds of models, are encoded whole.
+    and joined. Texts with the name of an added token, which the library takes out first, texts with characters outside
+    common ranges, and other kinds of models are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,12 +50,13 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         )
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.memo = _Memo(self._whole)
 
@@ -64,7 +66,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or _PLAIN.fullmatch(text) is None:
+        if not self.by_piece or _PLAIN.fullmatch(text) is None or (self.added and self.added.search(text)):
             return self._whole(text)
         return b"".join(map(self.memo.__getitem__, _PIECES.findall(text)))
 

@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from footfall.llm import packing, tokens
+from footfall.llm import packing
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,17 +22,18 @@ def mixed(spark):
     rng = random.Random(21)
     rows = [(i, "word " * rng.randint(20, 900), "abc"[min(2, int(rng.random() ** 2 * 4))]) for i in range(300)]
     rows += [(1000 + i, "word " * rng.randint(10, 700), f"small{i}") for i in range(90)]
+    rows.append((2000, "a <|endoftext|> b", "a"))
     return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
 
 
 @pytest.mark.parametrize("targets", [None, {"a": 5000.0, "b": 3000.0, "c": 2000.0, **{f"small{i}": 20.0 for i in range(90)}}])
 def test_each_sequence_holds_the_target_shares(spark, targets):
-    docs = mixed(spark)
+    docs, plain = mixed(spark), Tokenizer.from_file(BPE)
     out = packing.pack(docs, BPE, targets).toPandas().merge(docs.select("doc_id", "source").toPandas(), left_on="k", right_on="doc_id")
     out = out.sort_values(["sequence_id", "offset"])
     per = out.groupby("sequence_id").length
     assert (out.offset == per.cumsum() - out.length).all() and set(per.sum()[:-1]) == {packing.LENGTH}
-    assert out.length.sum() == docs.count() + sum(len(r.text.split()) + 1 for r in docs.collect())  # the last space is a token, the end id another
+    assert out.length.sum() == sum(len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
     tokens = pd.pivot_table(out, index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
     total = tokens.sum()
     weight = total.astype(float) if targets is None else pd.Series(targets)[total.index]
@@ -60,9 +62,9 @@ def test_tokens_before_is_a_weighted_merge():
 def test_last_stage_holds_the_ids(spark):
     docs = mixed(spark).selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars")
     rows = sorted(cp.packing(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start))
-    enc, got = tokens.encoder(BPE), {}
+    tok, got = Tokenizer.from_file(BPE), {}
     for r in rows:
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
         got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
     for r in docs.collect():
-        assert np.frombuffer(got[r.doc_id], "<u4").tolist() == [*np.frombuffer(enc.encode(r.text), enc.dtype).tolist(), 0]
+        assert np.frombuffer(got[r.doc_id], "<u4").tolist() == [*tok.encode(r.text, add_special_tokens=False).ids, 0]

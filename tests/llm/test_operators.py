@@ -22,6 +22,7 @@ LONG = "a shared line of more than twenty characters"
 ODD = [
     (1, None), (2, ""), (3, "  \n\t"), (4, LONG + "\nown line one of four"), (5, LONG.upper() + " \nown line two"), (6, LONG),
     (6, LONG), (7, "x " * 30_000 + "end"), (8, "é日本語 ŁŁ 😀 " + LONG), (None, LONG + "\nno id"), (None, None), (-9, "short"),
+    (9, "before <|endoftext|> after<|endoftext|>"),
 ]
 
 
@@ -138,7 +139,6 @@ def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     want = sorted((i is not None, i or 0, tuple(tok.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in rows)
     got = sorted((r.start + r.offset, r.k, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in back)
     assert sorted((k is not None, k or 0, ids) for _, k, ids in got) == want
@@ -165,10 +165,9 @@ def test_piecewise_ids_are_the_librarys():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     enc, rng = tokens.Encoder(BPE), random.Random(4)
     pool = "ab c'sd 12²\t\n\r\x0b\x85\xa0 .,!?-—’“éßñÄşЖж_@日 　😀\x1c\x00"
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> it's I'LL"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> it's I'LL", "a <|endoftext|> b", "<|endoftext|", " <|endoftext|><|endoftext|>\n"]
     for t in texts:
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
