@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from footfall.llm.best_fit import op11_best_fit
 from footfall.llm.decontaminate import OP4_SQL, op4_decontaminate
 from footfall.llm.langid import op8_language
 from footfall.llm.lines import OP7_SQL, op7_line_dedup
+from footfall.llm.merkle import OP13_SQL, op13_merkle
 from footfall.llm.packing import op6_packing
 from footfall.llm.shards import op10_shards
 from footfall.llm.simhash import op9_simhash
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
+    "op11_best_fit": op11_best_fit,
+    "op13_merkle": op13_merkle,
 }
-ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_merkle": OP13_SQL}
