@@ -63,7 +63,7 @@ def best_fit(counts: dict[int, int], length: int) -> dict[int, list[Move]]:
     Items come in descending size; each goes to the tightest open bin that has room, else to a new one. Items of a
     size are alike, and a bin that has taken one and has room for the next is the tightest for it, so a bin
     takes as many as fit, and bins that look alike are served together: work and result depend on the number of sizes,
-    not of items, and the bins are those that the item-by-item rule gives.
+    not of items, and bins get as full as by the item-by-item rule (of two bins with equal room either may be the tightest).
     """
     tree, groups, bins = CapacityTree(length), {}, 0
     moves: dict[int, list[Move]] = {}

@@ -211,7 +211,7 @@ def _op13_sql(levels: int = 8) -> str:
         "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"
     )
     out = [
-        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN coalesce({crc} % 5 = 0, false) THEN {leaf(low)} ELSE {leaf('text')} END AS changed FROM documents)",
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS changed FROM documents)",
         "o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d)",
         "l0 AS (SELECT coalesce('s' || source, 'n') AS g, idx, n, leaf AS h FROM o)",
     ]

@@ -8,6 +8,7 @@ from footfall.llm.langid import op8_language
 from footfall.llm.lines import OP7_SQL, op7_line_dedup
 from footfall.llm.merkle import OP13_SQL, op13_merkle
 from footfall.llm.packing import op6_packing
+from footfall.llm.periodic import op12_runs
 from footfall.llm.shards import op10_shards
 from footfall.llm.simhash import op9_simhash
 from footfall.llm.token_files import op3_token_files
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
     "op11_best_fit": op11_best_fit,
+    "op12_runs": op12_runs,
     "op13_merkle": op13_merkle,
 }
 ORACLES = {"op1_topk": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_merkle": OP13_SQL}
