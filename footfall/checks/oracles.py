@@ -724,6 +724,7 @@ FROM (SELECT *, CASE WHEN event_name = 'purchase' THEN CAST(value AS DECIMAL(18,
 add("J1_stream_hits", EV2, """
 SELECT CASE WHEN payload_id % 10 < 2 THEN 'malformed' ELSE 'hit' END AS outcome, count(*) AS lines, count(*) FILTER (WHERE payload_id % 10 >= 2) AS events FROM ev2 GROUP BY 1""")
 ORACLES["J2_live_sessions"] = ORACLES["E5_session_counters"]
+ORACLES["J2_stream_returning"] = ORACLES["E7_returning"]
 add("J3_stream_active", PAY, """
 SELECT CAST(start AS VARCHAR) AS start, count(DISTINCT visitor_key) AS visitors FROM (
   SELECT date_trunc('minute', received_at) - to_minutes(CAST(unnest(range(0, 5)) AS BIGINT)) AS start, visitor_key FROM pay WHERE k % 8 <> 7) GROUP BY 1""")
@@ -997,7 +998,14 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   (VALUES ('parquet'), ('csv')) f(form), LATERAL (
   SELECT 'USD' AS base_currency, 'EUR' AS quote_currency, round(0.9 + day(rate_date) / 1000.0, 10) AS rate
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
-ORACLES["J0_stream_collect"] = ORACLES["E0_collect"]
+ORACLES["J0_stream_collect"] = ORACLES["E0_collect_late"] = ORACLES["E0_collect"]
+ORACLES["J0_stream_events"] = ORACLES["E0_collect_events"]
+add("J0_stream_heat", UA + ADMIT, """
+SELECT page_path, device_type AS device, CAST(k AS BIGINT) AS x, CAST(floor(value) AS BIGINT) AS y, count(*) AS points, CAST(max(received_at) AS VARCHAR) AS last
+FROM adm JOIN ua ON k % 8 = ua_i WHERE reason IS NULL AND heat = 1 GROUP BY 1, 2, 3, 4""")
+add("J0_stream_rejects", COLLECT, """
+SELECT a.payload_id, coalesce(a.reason, 'no_session') AS reason FROM adm a LEFT JOIN col c USING (payload_id)
+WHERE a.reason IS NOT NULL OR (c.payload_id IS NOT NULL AND c.session_id IS NULL)""")
 add("K25_site_checks_by_host", PG, """
 SELECT site, code FROM (
   SELECT site, unnest([CASE WHEN m % 7 = 0 THEN 'search_engines_blocked' END, CASE WHEN NOT starts_with(lower(home), 'https:') THEN 'no_https' END,

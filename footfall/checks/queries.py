@@ -18,7 +18,7 @@ from footfall.operators import audit_site as site
 from footfall.operators import currency, enrich, geo, retention, rollup, windows
 from footfall.operators import events as evs
 from footfall.operators import sessions as ses
-from footfall.plans import ads, ingest, realtime, reports
+from footfall.plans import ads, ingest, realtime, reports, runs
 from footfall.runtime import scratch_dir, stored
 from footfall.settings import Settings
 from footfall.sources import sample, tables
@@ -739,6 +739,9 @@ def E0_collect(spark, d):
 
 # A whole minute inside visits: the second run has to go on with sessions of the first.
 SECOND_RUN = "2024-01-15 12:00:00"
+THIRD_RUN = "2024-01-22 12:00:00"
+#: Files of a micro-batch.
+STREAM_FILES = 4
 
 
 @query
@@ -753,6 +756,32 @@ def E0_collect_two_batches(spark, d):
     return s.select(E0_COLUMNS)
 
 
+def came_in_run():
+    """Which of three runs a payload came to: up to ten minutes after it was received, as its number has it."""
+    came = plus_seconds("received_at", F.pmod(F.xxhash64("payload_id"), F.lit(600)))
+    return F.when(came < ntz(SECOND_RUN), 0).when(came < ntz(THIRD_RUN), 1).otherwise(2)
+
+
+def collected_late(spark, d):
+    """The write path in three runs over rows out of order: sessions, events and rejects of all of them."""
+    raw, shared = stored(sample.raw_hits(spark, d), "hits"), (sample.geo_ranges(spark, d), sample.fx_rates(spark, d), sample.SAMPLE_REGISTRY)
+    carry, parts = None, []
+    for run in range(3):
+        names = dict(zip(("geo_ranges", "fx", "registry"), shared, strict=True))
+        out, late, carry = runs.collect_run(raw.where(came_in_run() == run), SITE, salts(spark, d), carry, last=run == 2, **names)
+        parts.append((out.sessions, out.events, out.hits.where("reason IS NOT NULL").select("payload_id", "reason").unionByName(late.select("payload_id", "reason"))))
+    return parts
+
+
+@query
+def E0_collect_late(spark, d):
+    """Three runs over rows out of order, against one run over all."""
+    rows = None
+    for sessions, _, _ in collected_late(spark, d):
+        rows = sessions if rows is None else sessions.unionByName(rows.join(sessions, "session_id", "left_anti"))
+    return rows.select(E0_COLUMNS)
+
+
 @query
 def E7_returning_two_batches(spark, d):
     """As E7_returning, with the visitors of the first run known to the second."""
@@ -768,14 +797,16 @@ def E7_returning_two_batches(spark, d):
     return both.groupBy("is_returning").agg(F.count("*").alias("sessions"))
 
 
+E0_EVENT_COLUMNS = [
+    "payload_id", "session_id", "occurred_at", "event_name", "category", "module", "entity_type", "entity_id",
+    "page_path", "page_title", "event_value", "currency", "event_value_base", "is_conversion",
+]
+
+
 @query
 def E0_collect_events(spark, d):
     """The write path from raw payloads to event rows."""
-    e = collected(spark, d).events
-    return e.select(
-        "payload_id", "session_id", "occurred_at", "event_name", "category", "module", "entity_type", "entity_id",
-        "page_path", "page_title", "event_value", "currency", "event_value_base", "is_conversion",
-    )
+    return collected(spark, d).events.select(E0_EVENT_COLUMNS)
 
 
 # ---- rollups ------------------------------------------------------------------------------------
@@ -1132,21 +1163,44 @@ def latest(rows, keys):
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
+_streamed: dict[tuple[str, str], str] = {}
+
+
+def streamed(spark, d):
+    """Folder of the write path run as a stream over three batches of files, to which rows come up to ten minutes late."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _streamed:
+        root, hits = scratch_dir(spark, "stream-collect"), stored(sample.raw_hits(spark, d), "hits")
+        for run in range(3):
+            hits.where(came_in_run() == run).repartition(STREAM_FILES).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{root}/in")
+        how = {"geo_ranges": sample.geo_ranges(spark, d), "fx": sample.fx_rates(spark, d), "registry": sample.SAMPLE_REGISTRY}
+        streams.stream_collect(stream, SITE, salts(spark, d), f"{root}/out", f"{root}/checkpoint", **how).awaitTermination()
+        streams.finish_collect(spark, SITE, salts(spark, d), f"{root}/out", **how)
+        _streamed[key] = f"{root}/out"
+    return _streamed[key]
+
+
 @query
 def J0_stream_collect(spark, d):
-    """The write path as a stream over three files, so that sessions cross micro-batches."""
-    root, hits = scratch_dir(spark, "stream-collect"), stored(sample.raw_hits(spark, d), "hits")
-    first, second = ntz(SECOND_RUN), ntz("2024-01-22 12:00:00")
-    at = F.col("received_at")
-    for part in (hits.where(at < first), hits.where((at >= first) & (at < second)), hits.where(at >= second)):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = streams.stream_collect(
-        stream, SITE, salts(spark, d), f"{root}/out", f"{root}/checkpoint",
-        geo_ranges=sample.geo_ranges(spark, d), fx=sample.fx_rates(spark, d), registry=sample.SAMPLE_REGISTRY,
-    )
-    q.awaitTermination()
-    return streams.collected_sessions(spark, f"{root}/out").select(E0_COLUMNS)
+    """The write path as a stream out of order; sessions cross micro-batches and come out as in one run."""
+    return streams.collected_sessions(spark, streamed(spark, d)).select(E0_COLUMNS)
+
+
+@query
+def J0_stream_events(spark, d):
+    return spark.read.parquet(f"{streamed(spark, d)}/events").select(E0_EVENT_COLUMNS)
+
+
+@query
+def J0_stream_heat(spark, d):
+    heat = spark.read.parquet(f"{streamed(spark, d)}/heat")
+    return heat.groupBy("page_path", "device", "x", "y").agg(F.count("*").alias("points"), F.max("received_at").alias("last"))
+
+
+@query
+def J0_stream_rejects(spark, d):
+    return spark.read.parquet(f"{streamed(spark, d)}/rejects").select("payload_id", "reason")
 
 
 @query
@@ -1168,14 +1222,41 @@ def J1_stream_hits(spark, d):
     return out.groupBy("outcome").agg(F.count("*").alias("lines"), F.sum("n").alias("events"))
 
 
+def late_payloads(spark, d):
+    """Payloads as a stream over three batches of files, to which rows come up to ten minutes late, and a row of the next day
+    that lets the watermark pass them all."""
+    root = scratch_dir(spark, "late-payloads")
+    p = sample.payloads(spark, d)
+    p = stored(p.where(~agents.is_bot("user_agent")), "payloads")
+    for run in range(3):
+        p.where(came_in_run() == run).repartition(STREAM_FILES).write.mode("append").parquet(f"{root}/in")
+    end = p.agg(F.max("received_at").alias("_end")).select(plus_seconds("_end", F.lit(86400)).alias("_end"))
+    tick = p.limit(1).drop("received_at", "visitor_key").join(end).withColumnRenamed("_end", "received_at").withColumn("visitor_key", F.lit("tick"))
+    tick.select(p.columns).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{root}/in")
+
+
 @query
 def J2_live_sessions(spark, d):
-    s = latest(run_to_table(streams.live_sessions(payload_stream(spark, d), sample.TIMEOUT), "live", "update"), ["session_id"])
+    rows = run_to_table(streams.live_sessions(late_payloads(spark, d), sample.TIMEOUT), "live", "update")
+    s = latest(rows.where("session_id IS NOT NULL"), ["session_id"])
     s = s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_seen_at")})
     cols = ["started_at", "last_seen_at", "duration_seconds", "pageviews", "event_count", "engaged_seconds", "conversions", "exit_path"]
     return s.select("session_id", *cols)
 
 
+@query
+def J2_stream_returning(spark, d):
+    """Returning visitors told as sessions come, against the flag from all sessions at once."""
+    root = scratch_dir(spark, "sessions-in")
+    s = warehouse(spark, d).sessions.select("visitor_key", "session_id", "started_at", "id_mode")
+    for part in (F.col("started_at") < ntz(SECOND_RUN), F.col("started_at") >= ntz(SECOND_RUN)):
+        s.where(part).repartition(STREAM_FILES).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{root}/in")
+    flags = run_to_table(streams.stream_returning(stream), "returning", "append")
+    return flags.groupBy("is_returning").agg(F.count("*").alias("sessions"))
+
+
 @query
 def J3_stream_active(spark, d):
     rows = latest(run_to_table(streams.stream_active(payload_stream(spark, d)), "active", "update"), ["window", "visitor_key"])

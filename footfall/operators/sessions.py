@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ MAX_COUNT = 65535
 MAX_ENGAGED = 86400
 SESSION_EVENT_CAP = 2000
 SLICE_SECONDS = 3600
+#: How long before the start of a stored session a row may have been received that joins it.
+LATE_SECONDS = 600
 
 FIRST_TOUCH = [
     "landing_path", "landing_post_id", "referrer_domain", "referrer_url", "channel", "utm_source", "utm_medium",
@@ -41,16 +45,31 @@ def _stretches(hits: DataFrame, timeout_seconds: int, slice_seconds: int) -> Dat
     return sliced.join(numbered, same).drop("_v", "_s", SLICE)
 
 
-def _as_openers(prior: DataFrame, hits: DataFrame) -> DataFrame:
-    """The last stored session of each visitor as a row of hits that opened it and was its last."""
-    last = prior.groupBy("visitor_key").agg(
-        F.max_by(F.struct("session_id", "last_seen_at", "utm_source", "utm_medium", "utm_campaign", "click_id_type"), F.struct("last_seen_at", "session_id")).alias("s")
-    )
+def _markers(prior: DataFrame, hits: DataFrame, timeout_seconds: int, late_seconds: int) -> DataFrame:
+    """Stored sessions as rows of hits: an opener (``_opener``), and rows that keep the session alive up to its last moment.
+
+    A stored session is the interval from its start to ``last_seen_at``; it gets a row at both ends and one each timeout
+    between, so that whatever is received inside finds it less than a timeout back. The opener stands ``late_seconds``
+    early, but not before the visitor's session before it has ended: rows that come late belong to the session that was stored.
+    Only sessions that the earliest row of hits can still join are taken.
+    """
+    first = hits.agg(F.min("received_at")).first()[0]
+    if first is None:
+        first = datetime.max
+    recent = prior.where(F.col("last_seen_at") >= F.lit(first) - F.make_dt_interval(secs=F.lit(timeout_seconds)))
+    w = Window.partitionBy("visitor_key").orderBy("started_at", "session_id")
+    early = F.greatest(F.col("started_at") - F.make_dt_interval(secs=F.lit(late_seconds)), F.lag("last_seen_at").over(w))
+    step = F.make_dt_interval(secs=F.lit(timeout_seconds))
+    points = recent.withColumn("_at", F.explode(F.array_union(
+        F.sequence(F.col("started_at"), F.greatest("started_at", "last_seen_at"), step), F.array("last_seen_at"),
+    )))
+    points = points.unionByName(recent.withColumn("_at", F.least(early, F.col("started_at"))).withColumn("_first", F.lit(True)), allowMissingColumns=True)
     have = {
-        "visitor_key": F.col("visitor_key"), "payload_id": F.col("s.session_id"), "received_at": F.col("s.last_seen_at"), "origin": F.lit(0),
-        "n_events": F.lit(1), "has_pageview": F.lit(True), **{c: F.col(f"s.{c}") for c in ("utm_source", "utm_medium", "utm_campaign", "click_id_type")},
+        "payload_id": F.col("session_id"), "received_at": F.col("_at"), "origin": F.lit(0), "n_events": F.lit(1),
+        "has_pageview": F.coalesce("_first", F.lit(False)), **{c: F.col(c) for c in ("visitor_key", "utm_source", "utm_medium", "utm_campaign", "click_id_type")},
     }
-    return last.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in hits.schema.fields])
+    rows = points.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in hits.schema.fields], F.coalesce("_first", F.lit(False)).alias("_opener"))
+    return rows.withColumn("_stored", F.lit(True))
 
 
 def sessionize(
@@ -59,6 +78,7 @@ def sessionize(
     split_campaign: bool = True,
     slice_seconds: int = SLICE_SECONDS,
     prior: DataFrame | None = None,
+    late_seconds: int = LATE_SECONDS,
 ) -> DataFrame:
     """Adds session_id to payload rows: the payload_id of the payload that opened the session.
 
@@ -68,15 +88,16 @@ def sessionize(
     events and server rows never open one: they extend what is there, else browser rows get NULL and
     server rows 0.
 
-    ``prior`` has sessions of earlier runs (visitor_key, session_id, last_seen_at, the three utm columns and
-    click_id_type); rows that come within the timeout go on with the visitor's last one. Hits are read twice and dealt
+    ``prior`` has sessions of earlier runs (visitor_key, session_id, started_at, last_seen_at, the three utm columns and
+    click_id_type). A row joins the one that covers it: received between its start, or ``late_seconds`` before, and the
+    timeout after its last moment, be it later than what is stored or earlier. Hits are read twice and dealt
     by visitor and stretch, so a busy visitor is split wherever they pause.
     """
     if "origin" not in hits.columns:
         hits = hits.withColumn("origin", F.lit(0))
-    rows = hits.withColumn("_stored", F.lit(False))
+    rows = hits.withColumns({"_stored": F.lit(False), "_opener": F.lit(False)})
     if prior is not None:
-        rows = rows.unionByName(_as_openers(prior, hits).withColumn("_stored", F.lit(True)))
+        rows = rows.unionByName(_markers(prior, hits, timeout_minutes * 60, late_seconds))
     df = _stretches(rows, timeout_minutes * 60, slice_seconds)
     key = Window.partitionBy("visitor_key", "_stretch").orderBy("received_at", "payload_id")
     before, upto = key.rowsBetween(Window.unboundedPreceding, -1), key.rowsBetween(Window.unboundedPreceding, 0)
@@ -91,7 +112,7 @@ def sessionize(
     gap = F.col("_prev").isNull() | (seconds_between("_prev", "received_at") > timeout_minutes * 60)
     df = df.withColumn("_run", last(F.when(gap, seq), upto))
     known = F.col("_prev_opener").isNotNull() & (F.col("_prev_opener") >= F.col("_run"))
-    df = df.withColumn("_base", opens & ~known).withColumn("_live", known | opens)
+    df = df.withColumn("_base", (opens & ~known) | F.col("_opener")).withColumn("_live", known | opens)
 
     if split_campaign:
         triple = F.lower(F.concat_ws("|", "utm_source", "utm_medium", "utm_campaign"))
@@ -180,10 +201,11 @@ def build_sessions(hits: DataFrame, max_count: int | None = MAX_COUNT, max_engag
     )
 
 
-def merge_sessions(new: DataFrame, prior: DataFrame) -> DataFrame:
+def merge_sessions(new: DataFrame, prior: DataFrame, max_count: int | None = MAX_COUNT, max_engaged: int | None = MAX_ENGAGED) -> DataFrame:
     """Sessions of this run added to what earlier runs stored of the same ones; one row per session of ``new``.
 
-    A session that goes on has no opener in this run: its start and first touch come from ``prior``.
+    A session that goes on has no opener in this run: its start and first touch come from ``prior``. Counters are added up
+    and then held at ``max_count`` and ``max_engaged``, as ``build_sessions`` holds them.
     """
     sums = ["engaged_seconds", "pageviews", "event_count", "conversions"]
     totals = ["session_id", "visitor_key", "started_at", "last_seen_at", "exit_path", *sums]
@@ -201,6 +223,9 @@ def merge_sessions(new: DataFrame, prior: DataFrame) -> DataFrame:
     return flat.withColumns({
         "duration_seconds": seconds_between("started_at", "last_seen_at"),
         "is_engaged": engaged_flag(F.col("engaged_seconds"), F.col("pageviews"), F.col("conversions")),
+        "engaged_seconds": at_most(F.col("engaged_seconds"), max_engaged),
+        "pageviews": at_most(F.col("pageviews"), max_count),
+        "conversions": at_most(F.col("conversions"), max_count),
     }).select(new.columns)
 
 
@@ -213,7 +238,7 @@ def describe_sessions(sessions: DataFrame, rules: dict | None = None) -> DataFra
 def flag_returning(sessions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Adds is_returning: 1 when the visitor has an earlier session, 0 when not, NULL without consented ids.
 
-    ``prior`` has the sessions of earlier runs. A minimum per visitor joined back, not a window, so one heavy visitor
+    ``prior`` has ``visitor_key`` and ``started_at`` of earlier runs' sessions, or of each visitor's first one. A minimum per visitor joined back, not a window, so one heavy visitor
     does not become one task.
     """
     starts = sessions.select("visitor_key", "started_at")

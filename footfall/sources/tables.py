@@ -189,10 +189,14 @@ def _base(spark: SparkSession, path: str) -> str | None:
     return names[-1] if names else None
 
 
-def batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete ``batch=`` folders."""
+def batches(spark: SparkSession, path: str, inner: str = "") -> list[int]:
+    """Numbers of the ``batch=`` folders that are complete, or whose folder ``inner`` is."""
     names = _children(spark, path, "batch=")
-    return sorted(int(n.split("=")[1]) for n in names if _complete(spark, f"{path}/{n}"))
+    return sorted(int(n.split("=")[1]) for n in names if _complete(spark, f"{path}/{n}/{inner}".rstrip("/")))
+
+
+def drop_batches(spark: SparkSession, path: str, numbers: Sequence[int]) -> None:
+    _drop_partitions(spark, path, "batch", [str(n) for n in numbers])
 
 
 def _live(spark: SparkSession, path: str, schema) -> tuple[DataFrame | None, list[str]]:

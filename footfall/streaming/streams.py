@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
-from datetime import timedelta
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.functions.times import epoch_seconds, local_day
 from footfall.operators.rollup import rollup
-from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
-from footfall.plans.ingest import collect_hits
-from footfall.runtime import stored
+from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, LATE_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
+from footfall.plans.runs import collect_run, read_carry, write_carry
 from footfall.settings import Settings
 from footfall.sources.hits import read_hits
-from footfall.sources.tables import batches, upsert_counters, write_days
+from footfall.sources.tables import batches, drop_batches, upsert_counters, write_days
+from footfall.streaming.processors import ROCKSDB, FirstSession, LiveSessions, MinuteLimit
 
 LATE = "10 minutes"
 
@@ -32,9 +29,9 @@ def stream_hits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 # ---- the write path -----------------------------------------------------------------------------
 
 
-def collected_sessions(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+def collected_sessions(spark: SparkSession, root: str) -> DataFrame | None:
     """The sessions that ``stream_collect`` stored, each with its latest row; None when there are none yet."""
-    folders = [f"{root}/sessions/batch={n}" for n in batches(spark, f"{root}/sessions") if before is None or n < before]
+    folders = [f"{root}/sessions/batch={n}" for n in batches(spark, f"{root}/sessions")]
     if not folders:
         return None
     rows = spark.read.option("basePath", f"{root}/sessions").parquet(*folders)
@@ -42,69 +39,60 @@ def collected_sessions(spark: SparkSession, root: str, before: int | None = None
     return rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("session_id", "r.*")
 
 
+def _collect_batch(
+    hits: DataFrame, batch_id: int, settings: Settings, salts: DataFrame, root: str, late_seconds: int, last: bool = False, **how
+) -> None:
+    """One micro-batch: reads what the one before handed on and nothing else that is stored."""
+    spark = hits.sparkSession
+    done = [n for n in batches(spark, f"{root}/carry", "cut") if n < batch_id]
+    carry = read_carry(spark, f"{root}/carry/batch={done[-1]}") if done else None
+    out, late, after = collect_run(hits, settings, salts, carry, late_seconds, last, **how)
+    rejects = out.hits.where(F.col("reason").isNotNull()).select("payload_id", "received_at", "reason").unionByName(late)
+    for name, df in (("events", out.events), ("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
+        df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    write_carry(after, f"{root}/carry/batch={batch_id}")
+    drop_batches(spark, f"{root}/carry", done[:-1])  # the one before stays, should this batch come again
+
+
 def stream_collect(
-    hits: DataFrame, settings: Settings, salts: DataFrame, root: str, checkpoint: str, late_seconds: int = 600, **how
+    hits: DataFrame, settings: Settings, salts: DataFrame, root: str, checkpoint: str, late_seconds: int = LATE_SECONDS, **how
 ) -> StreamingQuery:
-    """The whole write path on a stream of hits: each micro-batch is collected with the sessions of earlier ones.
+    """The whole write path on a stream of hits, with the results of one run over all of them (``plans.runs``).
 
+    A payload is settled when rows ``late_seconds`` younger have come; until then it is handed from micro-batch to micro-batch
+    together with the sessions that can still go on, so what a micro-batch reads does not grow with the history.
     Sessions, events, heat points and rejects of a batch lie in folders of their own (``sessions/batch=3``), which a
     redelivery replaces, so every payload counts once. A session that goes on gets a new row with its new totals;
-    ``collected_sessions`` gives the latest. Payloads received more than ``late_seconds`` before the newest stored row
-    go to ``rejects`` with the reason late. ``how`` goes to ``collect_hits``.
+    ``collected_sessions`` gives the latest, ``stream_returning`` tells returning visitors. Payloads received before what is
+    settled go to ``rejects`` with the reason late, beside those that are not admitted. ``finish_collect`` settles
+    the rest when the source has ended. ``how`` goes to ``collect_hits``.
     """
 
     def collect(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prior, rows = collected_sessions(spark, root, batch_id), stored(batch, "micro-batch")
-        newest = None if prior is None else prior.agg(F.max("last_seen_at")).first()[0]
-        old = F.lit(False) if newest is None else F.col("received_at") < F.lit(newest - timedelta(seconds=late_seconds))
-        out = collect_hits(rows.where(~old), settings, salts, prior_sessions=prior, **how)
-        rejects = rows.where(old).select("payload_id", "received_at", F.lit("late").alias("reason"))
-        for name, df in (("events", out.events), ("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        _collect_batch(batch, batch_id, settings, salts, root, late_seconds, **how)
 
     return hits.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finish_collect(spark: SparkSession, settings: Settings, salts: DataFrame, root: str, late_seconds: int = LATE_SECONDS, **how) -> None:
+    """Settles what a stopped ``stream_collect`` still holds, as a batch of its own; the stream cannot be continued after."""
+    done = batches(spark, f"{root}/carry", "cut")
+    if done:
+        none = read_carry(spark, f"{root}/carry/batch={done[-1]}").pending.limit(0)
+        _collect_batch(none, done[-1] + 1, settings, salts, root, late_seconds, last=True, **how)
+
+
 # ---- live sessions ------------------------------------------------------------------------------
 
-SESSION_FIELDS = [
-    "session_id", "started_at", "last_seen_at", "pageviews", "event_count", "engaged_seconds", "conversions",
-    "landing_path", "exit_path", "triple", "click",
-]
-SESSION_STATE = (
-    "session_id bigint, started_at bigint, last_seen_at bigint, pageviews bigint, event_count bigint, "
-    "engaged_seconds bigint, conversions bigint, landing_path string, exit_path string, triple string, click string"
-)
 LIVE_COLUMNS = (
     "visitor_key string, session_id bigint, started_at bigint, last_seen_at bigint, pageviews bigint, "
-    "event_count bigint, engaged_seconds bigint, conversions bigint, landing_path string, exit_path string"
+    "event_count bigint, engaged_seconds bigint, conversions bigint, landing_path string, exit_path string, late_payloads bigint"
 )
 
 
-def _advance(state: dict | None, p, timeout: int) -> tuple[dict | None, bool]:
-    """The visitor's session after one payload, and whether the payload counted."""
-    live = state if state and p.at - state["last_seen_at"] <= timeout else None
-    tagged = p.has_pageview and (p.triple != "||" or p.click != "")
-    if live and tagged and (p.triple != live["triple"] or (p.click != "" and p.click != live["click"])):
-        live = None
-    if live is None:
-        if p.n_events == 0:
-            return state, False
-        live = dict.fromkeys(SESSION_FIELDS, 0)
-        live.update(
-            session_id=p.payload_id, started_at=p.at, landing_path=p.page_path, exit_path=p.page_path,
-            triple=p.triple, click=p.click,
-        )
-    return {
-        **live,
-        "last_seen_at": max(live["last_seen_at"], p.at),
-        "pageviews": live["pageviews"] + p.n_pageviews,
-        "event_count": live["event_count"] + p.n_events,
-        "engaged_seconds": live["engaged_seconds"] + p.heartbeat,
-        "conversions": live["conversions"] + p.n_conversions,
-        "exit_path": p.page_path if p.n_pageviews else live["exit_path"],
-    }, True
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that keyed processors need, for streams started after."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def live_sessions(
@@ -112,42 +100,25 @@ def live_sessions(
 ) -> DataFrame:
     """Session rows touched by each micro-batch, with running counters (update mode).
 
-    Payloads that come more than ``late`` behind the newest are dropped by the watermark; page views and conversions
+    Payloads wait until those ``late`` younger have come and are taken in the order of their time, so sessions are those of one
+    run over all of them. Payloads that come later still take no part: a row with null ``session_id`` has their number in
+    ``late_payloads``, and what Spark drops itself, a batch later, is counted by ``late_rows``. Server rows
+    (``origin`` 1) and rows without events extend a live session and never open one. Page views and conversions
     are held at ``max_count``, engaged seconds at ``max_engaged`` (None: not held).
 
-    State is one session per visitor and is dropped once it has timed out by event time. A visitor's payloads
-    are taken in arrival order within a micro-batch, whose size the source's trigger options bound.
+    State is one session per visitor, dropped once it has timed out by event time, and the payloads that wait.
     """
-    timeout = timeout_minutes * 60
-    columns = [c.split()[0] for c in LIVE_COLUMNS.split(", ")]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = dict(zip(SESSION_FIELDS, state.get)) if state.exists else None
-        touched: dict[int, dict] = {}
-        rows = pd.concat(list(batches)).sort_values(["at", "payload_id"])
-        for p in rows.itertuples(index=False):
-            held, counted = _advance(held, p, timeout)
-            if counted:
-                touched[held["session_id"]] = held
-        if held:
-            state.update(tuple(held[f] for f in SESSION_FIELDS))
-            due = (held["last_seen_at"] + timeout + 1) * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if touched:
-            out = pd.DataFrame(list(touched.values())).assign(visitor_key=key[0])
-            yield out[columns]
-
+    use_rocksdb(payloads.sparkSession)
+    origin = F.coalesce("origin", F.lit(0)) if "origin" in payloads.columns else F.lit(0)
     slim = payloads.select(
-        "visitor_key", "payload_id", "page_path", "n_events", "n_pageviews", "n_conversions", "heartbeat", "has_pageview",
-        epoch_seconds("received_at").alias("at"), F.col("received_at").cast("timestamp").alias("event_time"),
+        "visitor_key", F.col("payload_id").cast("bigint").alias("payload_id"), "page_path", "n_events", "n_pageviews", "n_conversions", "heartbeat",
+        F.col("has_pageview").cast("int").alias("has_pageview"), origin.alias("origin"),
+        epoch_seconds("received_at").cast("bigint").alias("at"), F.col("received_at").cast("timestamp").alias("event_time"),
         F.lower(F.concat_ws("|", "utm_source", "utm_medium", "utm_campaign")).alias("triple"),
         F.col("click_id_type").alias("click"),
     )
-    rows = slim.withWatermark("event_time", late).groupBy("visitor_key").applyInPandasWithState(
-        step, LIVE_COLUMNS, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout
+    rows = slim.withWatermark("event_time", late).groupBy("visitor_key").transformWithStateInPandas(
+        LiveSessions(timeout_minutes * 60), LIVE_COLUMNS, "update", "EventTime"
     )
     capped = {
         "pageviews": at_most(F.col("pageviews"), max_count),
@@ -205,18 +176,7 @@ def top_of(minutes: DataFrame, key: str, limit: int = 6, span: int = 30) -> Data
 
 def stream_rate_limit(payloads: DataFrame, per_minute: int = 120, late: str = LATE) -> DataFrame:
     """Payloads that pass the limit of their visitor's fixed minute; the count per minute is the state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["received_at", "payload_id"])
-        kept = rows.head(max(0, per_minute - used))
-        state.update((used + len(rows),))
-        state.setTimeoutTimestamp(max((int(key[1]) + 1) * 60000, state.getCurrentWatermarkMs() + 1))
-        yield kept[["payload_id", "visitor_key"]]
-
+    use_rocksdb(payloads.sparkSession)
     slim = payloads.select(
         "payload_id", "visitor_key", "received_at", F.floor(epoch_seconds("received_at") / 60).alias("minute")
     )
@@ -224,12 +184,26 @@ def stream_rate_limit(payloads: DataFrame, per_minute: int = 120, late: str = LA
     return (
         _timed(slim, "received_at", late)
         .groupBy("visitor_key", "minute")
-        .applyInPandasWithState(
-            step, f"payload_id {kind}, visitor_key string", "used bigint", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(MinuteLimit(per_minute), f"payload_id {kind}, visitor_key string", "append", "EventTime")
     )
 
 
+def stream_returning(sessions: DataFrame) -> DataFrame:
+    """(session_id, is_returning) of new sessions as they come: 1 when the visitor had an earlier one, NULL without consent.
+
+    ``sessions`` is a stream of session rows in the order of their start, such as those that ``stream_collect`` stores. The state
+    is the first start of every visitor in the key-value store: a micro-batch touches the visitors in it, not the history.
+    """
+    use_rocksdb(sessions.sparkSession)
+    slim = sessions.select("visitor_key", "session_id", epoch_seconds("started_at").cast("bigint").alias("at"), "id_mode")
+    return slim.groupBy("visitor_key").transformWithStateInPandas(FirstSession(), "session_id bigint, is_returning int", "append", "None")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark of a query has dropped so far, of the progress that the query still holds."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 # ---- sinks --------------------------------------------------------------------------------------
 
 

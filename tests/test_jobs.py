@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from footfall.operators import audit_facts, audit_site, currency, geo, rollup, windows
 from footfall.operators.retention import drop_old, retain
 from footfall.operators.sessions import build_sessions, cap_session, engaged_time, merge_sessions, sessionize
-from footfall.plans import ads, ingest, realtime, reports
+from footfall.plans import ads, ingest, realtime, reports, runs
 from footfall.settings import Settings
 from footfall.sources import tables
 from footfall.streaming import streams
@@ -96,11 +96,21 @@ def test_gap_boundary(spark):
     assert dict(map(tuple, got)) == {1: None, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4}
 
 
+def delayed(rows, seed, at=2, late=599):
+    """Rows in the order in which they come in: up to ``late`` seconds after their time."""
+    rnd = random.Random(seed)
+    return [r for _, _, r in sorted((r[at] + dt.timedelta(seconds=rnd.randrange(late)), i, r) for i, r in enumerate(rows))]
+
+
 def test_live_sessions_equal_batch(spark, tmp_path):
-    rows = [r for r in random_hits(600, 7) if not r[3]]
-    df = spark.createDataFrame(rows, HIT).orderBy("received_at", "payload_id")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    """Out of order over many micro-batches, with server rows: the sessions of one run."""
+    rows = delayed(random_hits(600, 7), 7)
+    df = spark.createDataFrame(rows, HIT)
+    tick = ("tick", 0, T0 + dt.timedelta(days=9), 0, 1, False, "", "", "", "", 0, 0, 0, "/")
+    for i in range(0, 601, 100):
+        part = rows[i : i + 100] or [tick]
+        spark.createDataFrame(part, HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     def write(batch, i):
         batch.withColumn("b", F.lit(i)).write.mode("append").parquet(str(tmp_path / "out"))
@@ -109,9 +119,41 @@ def test_live_sessions_equal_batch(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")
     ).trigger(availableNow=True).start()
     q.awaitTermination()
-    live = spark.read.parquet(str(tmp_path / "out")).groupBy("session_id").agg(F.max_by("event_count", "b").alias("n"))
-    batch = sessionize(df, 30).where("session_id IS NOT NULL").groupBy("session_id").agg(F.sum("n_events").alias("n"))
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
+    assert streams.late_rows(q) == 0
+    got = spark.read.parquet(str(tmp_path / "out")).where("session_id IS NOT NULL").groupBy("session_id").agg(F.max_by(F.struct("event_count", "engaged_seconds", "pageviews", "exit_path"), "b").alias("r"))
+    batch = build_sessions(sessionize(df, 30)).select("session_id", "event_count", "engaged_seconds", "pageviews", "exit_path")
+    assert sorted(map(tuple, got.select("session_id", "r.*").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_rows_of_live_sessions_are_counted(spark, tmp_path):
+    rows = [r for r in sorted(random_hits(300, 3), key=lambda r: r[2]) if not r[3]]
+    for part in (rows[150:], rows[:100], rows[100:150]):  # the older half comes last
+        spark.createDataFrame(part, HIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame(rows, HIT).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def write(batch, i):
+        batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+    q = streams.live_sessions(stream, 30).writeStream.foreachBatch(write).outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    seen = out.agg(F.sum("late_payloads")).first()[0]
+    border = rows[-1][2] - dt.timedelta(minutes=10)
+    assert streams.late_rows(q) + seen == sum(r[2] < border for r in rows[:150]) == 150 and seen >= 100
+    assert out.where("started_at < '%s'" % rows[150][2]).count() == 0
+
+
+def test_a_late_row_joins_the_stored_session_that_covers_it(spark):
+    def hit(pid, seconds, events=1, who="v"):
+        return (who, pid, T0 + dt.timedelta(seconds=seconds), 0, events, events > 0, "", "", "", "", events, 0, 5, "/")
+
+    first = sessionize(spark.createDataFrame([hit(1, 0), hit(2, 1000), hit(3, 2500), hit(4, 4000), hit(9, 0, who="w"), hit(10, 9000, who="w")], HIT), 30)
+    prior = build_sessions(first)
+    later = [hit(20, 900), hit(21, 2000, 0), hit(22, 3900), hit(23, 4000), hit(24, 5800), hit(25, -500), hit(26, -2000), hit(27, 100, 0, "w"), hit(28, 8700, who="w"), hit(29, 4500, who="w")]
+    got = dict(map(tuple, sessionize(spark.createDataFrame(later, HIT), 30, prior=prior).select("payload_id", "session_id").collect()))
+    assert got == {20: 1, 21: 1, 22: 1, 23: 1, 24: 1, 25: 1, 26: 26, 27: 9, 28: 10, 29: 29}
 
 
 IPHONE = "Mozilla/5.0 (iPhone; CPU iPhone OS 18_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/18.1 Mobile/15E148 Safari/604.1"
@@ -447,8 +489,65 @@ def test_stream_collect_rejects_late_rows(spark, tmp_path):
         hits.where(F.col("payload_id").isin(*ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.stream_collect(stream, SITE, salts(spark), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    events = spark.read.parquet(f"{tmp_path}/out/events")
+    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 1), (2, 1, 1)]  # younger ones wait
+    streams.finish_collect(spark, SITE, salts(spark), f"{tmp_path}/out")
     got = {r.session_id: (r.event_count, r.duration_seconds) for r in streams.collected_sessions(spark, f"{tmp_path}/out").collect()}
     assert got == {1: (4, 960), 6: (1, 0)}
     assert [(r.payload_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == [(5, "late")]
     events = spark.read.parquet(f"{tmp_path}/out/events")
-    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 2), (6, 6, 2)]
+    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (6, 6, 3)]
+
+
+def busy_hits(spark, seed):
+    """Payloads of few visitors, in the order in which they come in: many a minute, long sessions, new campaigns, pauses."""
+    rnd, rows, s = random.Random(seed), [], 0
+    for _ in range(260):
+        s += rnd.choice([1, 1, 2, 5, 20, 60, 400, 2500])
+        tag = rnd.choice(["", "", "", "?utm_source=a", "?utm_source=b&gclid=x1"])
+        rows.append({"s": s, "ip": f"41.7.7.{rnd.randrange(3)}", "u": URL + tag, "events": ["page_view"] * rnd.choice([0, 1, 1, 2, 3]), "hb": str(rnd.randrange(9))})
+    at = [r["s"] + rnd.randrange(599) for r in rows]
+    return raw_hits(spark, rows).cache(), [i + 1 for i in sorted(range(len(rows)), key=lambda i: (at[i], i))]
+
+
+LIMITS = {"per_minute": 4, "event_cap": 7}
+SESSION_SHOWN = ["session_id", "started_at", "last_seen_at", "event_count", "pageviews", "engaged_seconds", "exit_path", "utm_source", "click_id_type", "is_engaged"]
+
+
+@pytest.mark.parametrize("seed,cuts", [(2, 4)])
+def test_runs_out_of_order_equal_one_run(spark, seed, cuts):
+    hits, order = busy_hits(spark, seed)
+    whole = ingest.collect_hits(hits, SITE, salts(spark), **LIMITS)
+    step, carry, events, reasons, sessions = -(-len(order) // cuts), None, [], [], {}
+    for n in range(cuts):
+        mine = hits.where(F.col("payload_id").isin(*order[n * step : (n + 1) * step]))
+        out, late, carry = runs.collect_run(mine, SITE, salts(spark), carry, last=n == cuts - 1, **LIMITS)
+        events += [tuple(r) for r in out.events.select("payload_id", "session_id", "event_index").collect()]
+        reasons += [tuple(r) for r in out.hits.select("payload_id", "reason").collect()] + [tuple(r) for r in late.select("payload_id", "reason").collect()]
+        sessions |= {r.session_id: tuple(r) for r in out.sessions.select(SESSION_SHOWN).collect()}
+    assert sorted(reasons, key=repr) == sorted(map(tuple, whole.hits.select("payload_id", "reason").collect()), key=repr)
+    assert {"rate_limited", None} <= {r for _, r in reasons}
+    assert sorted(events) == sorted(map(tuple, whole.events.select("payload_id", "session_id", "event_index").collect()))
+    want = {r.session_id: tuple(r) for r in whole.sessions.select(SESSION_SHOWN).collect()}
+    assert sessions == want and max(x[3] for x in want.values()) == LIMITS["event_cap"] and len(want) > 20
+
+
+def test_a_micro_batch_reads_nothing_but_what_the_one_before_handed_on(spark, tmp_path):
+    """All results of earlier batches are made unreadable while the stream goes on; a batch is delivered twice."""
+    hits, order = busy_hits(spark, 3)
+    whole = ingest.collect_hits(hits, SITE, salts(spark), **LIMITS)
+    got, root = {}, f"{tmp_path}/out"
+    for n, i in enumerate(range(0, len(order), 90)):
+        mine = hits.where(F.col("payload_id").isin(*order[i : i + 90]))
+        for _ in range(2 if n == 1 else 1):
+            streams._collect_batch(mine, n, SITE, salts(spark), root, 600, **LIMITS)
+        got |= {r.session_id: tuple(r) for r in spark.read.parquet(f"{root}/sessions/batch={n}").select(SESSION_SHOWN).collect()}
+        for part in [p for name in ("sessions", "events", "heat", "rejects") for p in (tmp_path / "out" / name / f"batch={n}").glob("part-*")]:
+            part.write_bytes(b"")
+        assert len(list((tmp_path / "out/carry").glob("batch=*"))) <= 2
+    carry = streams.read_carry(spark, f"{root}/carry/batch={n}")
+    out, _, _ = runs.collect_run(hits.limit(0), SITE, salts(spark), carry, last=True, **LIMITS)
+    got |= {r.session_id: tuple(r) for r in out.sessions.select(SESSION_SHOWN).collect()}
+    assert got == {r.session_id: tuple(r) for r in whole.sessions.select(SESSION_SHOWN).collect()}
+    quiet, late, after = runs.collect_run(hits.limit(0), SITE, salts(spark), None)
+    assert quiet.sessions.count() == late.count() == after.pending.count() == 0
