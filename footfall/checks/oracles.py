@@ -1000,6 +1000,18 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
 ORACLES["J0_stream_collect"] = ORACLES["E0_collect_late"] = ORACLES["E0_collect"]
 ORACLES["J0_stream_events"] = ORACLES["E0_collect_events"]
+ORACLES["E7_first_seen_store"] = ORACLES["E7_returning"]
+ORACLES["A10_replace_days"] = ORACLES["A10_write_days"]
+ORACLES["A12_counters_in_batches"] = ORACLES["F9_crawler_daily"]
+add("J0_stream_returning", COLLECT, """
+SELECT CAST(CASE WHEN id_mode = 1 THEN CASE WHEN low < opened THEN 1 ELSE 0 END END AS BIGINT) AS is_returning, count(*) AS sessions FROM (
+  SELECT *, min(opened) OVER (PARTITION BY vk) AS low FROM (
+    SELECT session_id, max(vk) AS vk, max(id_mode) FILTER (WHERE payload_id = session_id) AS id_mode, max(received_at) FILTER (WHERE payload_id = session_id) AS opened
+    FROM col WHERE session_id IS NOT NULL GROUP BY session_id)) GROUP BY 1""")
+add("J0_stream_days", COLLECT + REG, """
+SELECT CAST(CAST(received_at - to_seconds(k) AS DATE) AS VARCHAR) AS event_date, event_name, count(*) AS events, count(DISTINCT session_id) AS sessions
+FROM col JOIN reg USING (event_name) WHERE session_id IS NOT NULL AND n_events = 1
+  AND CAST(received_at - to_seconds(k) AS DATE) BETWEEN DATE '2024-01-14' AND DATE '2024-01-16' GROUP BY 1, 2""")
 add("J0_stream_heat", UA + ADMIT, """
 SELECT page_path, device_type AS device, CAST(k AS BIGINT) AS x, CAST(floor(value) AS BIGINT) AS y, count(*) AS points, CAST(max(received_at) AS VARCHAR) AS last
 FROM adm JOIN ua ON k % 8 = ua_i WHERE reason IS NULL AND heat = 1 GROUP BY 1, 2, 3, 4""")

@@ -23,6 +23,8 @@ from footfall.runtime import scratch_dir, stored
 from footfall.settings import Settings
 from footfall.sources import sample, tables
 from footfall.sources.hits import split_bodies
+from footfall.sources.parts import PartTable
+from footfall.sources.visitors import FirstSeen
 from footfall.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +109,36 @@ def A10_write_days(spark, d):
     return spark.read.parquet(path).select("day", "sessions", "events", "revenue")
 
 
+@query
+def A10_replace_days(spark, d):
+    """The traffic table in parts: days written, some written again, one by a writer that fails before it is done."""
+    dt = warehouse(spark, d).daily("daily_traffic")
+    table = PartTable(spark, scratch_dir(spark, "replace-days"))
+    days = [r[0] for r in dt.select("day").collect()]  # one row per day
+    table.replace(dt.withColumn("sessions", F.col("sessions") * 2), days)
+    table._write(dt.withColumn("sessions", F.lit(0).cast("bigint")))  # files that no manifest names
+    table.replace(dt, days[::2])
+    table.replace(dt, days[1::2])
+    table.vacuum(keep=1, seconds=0)
+    return table.read().select("day", "sessions", "events", "revenue")
+
+
+@query
+def A12_counters_in_batches(spark, d):
+    """Crawler counters added day by day in twelve batches, some of them twice, merged now and then."""
+    path = scratch_dir(spark, "counters")
+    hits = stored(rollup.crawler_hits(sample.requests(spark, d), "SiteAudit/"), "crawler-hits")
+    schema, *how = CRAWLER_COUNTERS
+    for batch in range(12):
+        part = rollup.crawler_daily(hits.where(F.pmod(F.dayofmonth("ts"), F.lit(12)) == batch))
+        for _ in range(1 + batch % 2):
+            tables.upsert_counters(part, path, *how, batch_id=batch, query_id="days")
+        if batch % 5 == 4:
+            tables.compact_counters(spark, path, schema, *how)
+    rows = tables.read_counters(spark, path, schema, *how)
+    return rows.select("day", "crawler", "path", "crawler_type", "status_code", "hits", "last_seen_at")
+
+
 @query
 def A11_append_events(spark, d):
     w = warehouse(spark, d)
@@ -803,6 +835,22 @@ E0_EVENT_COLUMNS = [
 ]
 
 
+@query
+def E7_first_seen_store(spark, d):
+    """Returning visitors over four runs that know of earlier ones by the store of visitors alone."""
+    seen, rows = FirstSeen(spark, scratch_dir(spark, "visitors"), buckets=16), None
+    all_sessions = warehouse(spark, d).sessions.drop("is_returning", "event_date", "seen_date")
+    for run in range(4):
+        mine = all_sessions.where(F.least(F.floor((F.dayofmonth("started_at") - 1) / 8), F.lit(3)) == run)
+        for _ in range(1 + run % 2):  # a run that is repeated finds its own visitors
+            flags = stored(ses.flag_returning(mine, seen.lookup(mine)).select("session_id", "is_returning"), "flags")
+            seen.add(mine, run=run)
+        if run == 2:
+            seen.compact(1)
+        rows = flags if rows is None else rows.unionByName(flags)
+    return rows.groupBy("is_returning").agg(F.count("*").alias("sessions"))
+
+
 @query
 def E0_collect_events(spark, d):
     """The write path from raw payloads to event rows."""
@@ -1189,7 +1237,20 @@ def J0_stream_collect(spark, d):
 
 @query
 def J0_stream_events(spark, d):
-    return spark.read.parquet(f"{streamed(spark, d)}/events").select(E0_EVENT_COLUMNS)
+    return streams.collected_events(spark, streamed(spark, d)).select(E0_EVENT_COLUMNS)
+
+
+@query
+def J0_stream_returning(spark, d):
+    s = streams.collected_sessions(spark, streamed(spark, d))
+    return s.groupBy("is_returning").agg(F.count("*").alias("sessions"))
+
+
+@query
+def J0_stream_days(spark, d):
+    """Events that the stream stored for three days, read from the files of these days alone."""
+    e = streams.collected_events(spark, streamed(spark, d), "2024-01-14", "2024-01-16")
+    return e.groupBy("event_date", "event_name").agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"))
 
 
 @query
@@ -1306,7 +1367,7 @@ def J9_stream_rollup(spark, d):
     new = payload_stream(spark, d).select(F.col("received_at").alias("occurred_at"))
     q = streams.stream_rollup(new, lambda: w.sessions, lambda: w.events, root, f"{root}/checkpoint", TZ)
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/daily_traffic").select("day", "sessions", "events", "pageviews", "revenue")
+    return PartTable(spark, f"{root}/daily_traffic").read().select("day", "sessions", "events", "pageviews", "revenue")
 
 
 # ---- windows ------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.text import csv_safe
 from footfall.functions.times import day_lit, utc_midnight
+from footfall.sources.parts import PartTable
 
 
 def between_instants(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
@@ -153,30 +154,17 @@ def upsert_counters(
     last: dict[str, str] | None = None,
     batch_id: int | None = None,
     query_id: str = "batch",
+    partition: str = "day",
 ) -> None:
-    """Inserts or increments counters: stores what this batch adds as a delta of its own.
+    """Inserts or increments counters: adds to the days of this batch what it counts.
 
-    With ``batch_id`` the delta's folder is named after the query and the batch, and writing it again replaces it, so a
-    batch that is delivered again, after success or after a failure at any point, counts once. ``query_id`` tells
-    queries apart; a stream that starts with a fresh checkpoint numbers its batches anew and needs a new one. Without
-    ``batch_id`` every call adds. ``read_counters`` sums the deltas and ``compact_counters`` merges them.
+    With ``batch_id`` a batch that is delivered again, after success or after a failure at any point, counts once: the table
+    keeps the number of the last batch of each query. ``query_id`` tells queries apart; a stream that starts with a fresh
+    checkpoint numbers its batches anew and needs a new one. Without ``batch_id`` every call adds. ``read_counters`` sums
+    what was added and ``compact_counters`` merges it.
     """
-    import uuid
-
-    name = f"{query_id}-{batch_id}" if batch_id is not None else f"{query_id}-{uuid.uuid4().hex}"
     rows = merge_counters(None, batch_df, keys, sums, last)
-    if name in set(_compacted(batch_df.sparkSession, path)):
-        return
-    # The delta is complete when Spark has committed it: a half-written folder has no success file and is not read.
-    rows.write.mode("overwrite").parquet(f"{path}/deltas/{name}")
-
-
-def _compacted(spark: SparkSession, path: str) -> list[str]:
-    """Deltas that the newest complete base holds."""
-    base = _base(spark, path)
-    if base is None:
-        return []
-    return [r.name for r in spark.read.schema("name string").parquet(f"{path}/merged/{base}").collect()]
+    PartTable(batch_df.sparkSession, path, partition).append(rows, query_id, batch_id)
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -184,11 +172,6 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _base(spark: SparkSession, path: str) -> str | None:
-    names = [n for n in _children(spark, f"{path}/merged", "base-") if _complete(spark, f"{path}/merged/{n}")]
-    return names[-1] if names else None
-
-
 def batches(spark: SparkSession, path: str, inner: str = "") -> list[int]:
     """Numbers of the ``batch=`` folders that are complete, or whose folder ``inner`` is."""
     names = _children(spark, path, "batch=")
@@ -199,40 +182,23 @@ def drop_batches(spark: SparkSession, path: str, numbers: Sequence[int]) -> None
     _drop_partitions(spark, path, "batch", [str(n) for n in numbers])
 
 
-def _live(spark: SparkSession, path: str, schema) -> tuple[DataFrame | None, list[str]]:
-    """Rows of the base and of the deltas that it does not hold, and the names of those deltas."""
-    base, done = _base(spark, path), set(_compacted(spark, path))
-    fresh = [n for n in _children(spark, f"{path}/deltas", "") if n not in done and _complete(spark, f"{path}/deltas/{n}")]
-    rows = spark.read.schema(schema).parquet(f"{path}/base/{base}") if base else None
-    if fresh:
-        new = spark.read.schema(schema).parquet(*[f"{path}/deltas/{n}" for n in fresh])
-        rows = new if rows is None else rows.select(new.columns).unionByName(new)
-    return rows, fresh
-
-
 def read_counters(
-    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None
+    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None, partition: str = "day"
 ) -> DataFrame:
     """The counters as they stand; an empty table when nothing was written."""
-    rows, _ = _live(spark, path, schema)
-    return spark.createDataFrame([], schema) if rows is None else merge_counters(None, rows, keys, sums, last)
+    return merge_counters(None, PartTable(spark, path, partition).read(schema=schema), keys, sums, last)
 
 
 def compact_counters(
-    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None, partition: str = "day"
-) -> None:
-    """Merges base and deltas into a new base, partitioned by day. Run it where no writer is at work.
-
-    The list of merged deltas, written last, makes the new base valid; until then readers see the old one.
-    """
-    rows, fresh = _live(spark, path, schema)
-    if not fresh:
-        return
-    name = f"base-{len(_children(spark, f'{path}/merged', 'base-')):09d}"
-    merged = merge_counters(None, rows, keys, sums, last)
-    merged.hint("rebalance", F.col(partition)).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/base/{name}")
-    names = [(n,) for n in [*_compacted(spark, path), *fresh]]
-    spark.createDataFrame(names, "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/merged/{name}")
+    spark: SparkSession, path: str, schema, keys: Sequence[str], sums: Sequence[str], last: dict[str, str] | None = None, partition: str = "day",
+    most: int = 1, seconds: float = 3600,
+) -> list[str]:
+    """Merges the days that more than ``most`` batches have added to, and returns them; other days keep their files. Files that
+    are no longer part of the table are deleted when they are ``seconds`` old."""
+    table = PartTable(spark, path, partition)
+    days = table.compact(lambda rows: merge_counters(None, rows, keys, sums, last), most)
+    table.vacuum(seconds=seconds)
+    return days
 
 
 # Columns of the exported reports, in order.

@@ -15,7 +15,9 @@ from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, LATE
 from footfall.plans.runs import collect_run, read_carry, write_carry
 from footfall.settings import Settings
 from footfall.sources.hits import read_hits
-from footfall.sources.tables import batches, drop_batches, upsert_counters, write_days
+from footfall.sources.parts import PartTable
+from footfall.sources.tables import batches, drop_batches, upsert_counters
+from footfall.sources.visitors import FirstSeen
 from footfall.streaming.processors import ROCKSDB, FirstSession, LiveSessions, MinuteLimit
 
 LATE = "10 minutes"
@@ -39,6 +41,12 @@ def collected_sessions(spark: SparkSession, root: str) -> DataFrame | None:
     return rows.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("session_id", "r.*")
 
 
+def collected_events(spark: SparkSession, root: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The events that ``stream_collect`` stored, of all days or of those from ``first`` to ``last``: only their files are read."""
+    table = PartTable(spark, f"{root}/events", "event_date")
+    return table.read(between=None if first is None and last is None else (first or "", last or "9999"))
+
+
 def _collect_batch(
     hits: DataFrame, batch_id: int, settings: Settings, salts: DataFrame, root: str, late_seconds: int, last: bool = False, **how
 ) -> None:
@@ -46,10 +54,13 @@ def _collect_batch(
     spark = hits.sparkSession
     done = [n for n in batches(spark, f"{root}/carry", "cut") if n < batch_id]
     carry = read_carry(spark, f"{root}/carry/batch={done[-1]}") if done else None
-    out, late, after = collect_run(hits, settings, salts, carry, late_seconds, last, **how)
+    visitors = FirstSeen(spark, f"{root}/visitors")
+    out, late, after = collect_run(hits, settings, salts, carry, late_seconds, last, visitors, batch_id, **how)
     rejects = out.hits.where(F.col("reason").isNotNull()).select("payload_id", "received_at", "reason").unionByName(late)
-    for name, df in (("events", out.events), ("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
+    for name, df in (("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    PartTable(spark, f"{root}/events", "event_date").append(out.events.withColumn("event_date", F.to_date("occurred_at")), "collect", batch_id)
+    visitors.compact()
     write_carry(after, f"{root}/carry/batch={batch_id}")
     drop_batches(spark, f"{root}/carry", done[:-1])  # the one before stays, should this batch come again
 
@@ -61,9 +72,10 @@ def stream_collect(
 
     A payload is settled when rows ``late_seconds`` younger have come; until then it is handed from micro-batch to micro-batch
     together with the sessions that can still go on, so what a micro-batch reads does not grow with the history.
-    Sessions, events, heat points and rejects of a batch lie in folders of their own (``sessions/batch=3``), which a
-    redelivery replaces, so every payload counts once. A session that goes on gets a new row with its new totals;
-    ``collected_sessions`` gives the latest, ``stream_returning`` tells returning visitors. Payloads received before what is
+    Sessions, heat points and rejects of a batch lie in folders of their own (``sessions/batch=3``), which a redelivery
+    replaces; events go to a table by date that takes a batch once (``collected_events``); so every payload counts once. A
+    session that goes on gets a new row with its new totals; ``collected_sessions`` gives the latest. A store of visitors tells
+    who has been here before. Payloads received before what is
     settled go to ``rejects`` with the reason late, beside those that are not admitted. ``finish_collect`` settles
     the rest when the source has ended. ``how`` goes to ``collect_hits``.
     """
@@ -239,7 +251,7 @@ def stream_rollup(
     checkpoint: str,
     tz: str,
 ) -> StreamingQuery:
-    """Rebuilds the days that new events touch (and the day before, whose revenue window is still open)."""
+    """Rebuilds the days that new events touch (and the day before, whose revenue window is still open) in tables by day."""
 
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
         day = local_day("occurred_at", tz)
@@ -248,7 +260,7 @@ def stream_rollup(
         if not days:
             return
         for name, table in rollup(read_sessions(), read_events(), days, tz).items():
-            write_days(table, f"{root}/{name}", days)
+            PartTable(batch.sparkSession, f"{root}/{name}").replace(table, days)
 
     return (
         new_events.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -358,10 +358,8 @@ def test_counters_survive_redelivery(spark, tmp_path):
     tables.upsert_counters(batch((1, 1, 5)), path, *how, batch_id=0, query_id="a")
     tables.upsert_counters(batch((1, 1, 7)), path, *how, batch_id=0, query_id="b")  # a fresh checkpoint counts from 0 again
     assert total() == {(1, 1): 12}
-    # A delivery that died half-way leaves a folder without its success file: not read, then replaced.
-    (tmp_path / "counters/deltas/a-1").mkdir()
-    batch((1, 1, 100)).write.parquet(f"file://{tmp_path}/other")
-    next((tmp_path / "other").glob("part-*.parquet")).rename(tmp_path / "counters/deltas/a-1/part-0.parquet")
+    # A delivery that died before its manifest leaves files that nothing names.
+    batch((1, 1, 100)).write.partitionBy("day").parquet(f"{path}/data/v=dead")
     assert total() == {(1, 1): 12}
     for _ in range(2):
         tables.upsert_counters(batch((1, 1, 11), (2, 3, 1)), path, *how, batch_id=1, query_id="a")
@@ -489,14 +487,15 @@ def test_stream_collect_rejects_late_rows(spark, tmp_path):
         hits.where(F.col("payload_id").isin(*ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.stream_collect(stream, SITE, salts(spark), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    events = spark.read.parquet(f"{tmp_path}/out/events")
-    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 1), (2, 1, 1)]  # younger ones wait
+    events = streams.collected_events(spark, f"{tmp_path}/out")
+    assert sorted((r.payload_id, r.session_id) for r in events.collect()) == [(1, 1), (2, 1)]  # younger ones wait
     streams.finish_collect(spark, SITE, salts(spark), f"{tmp_path}/out")
     got = {r.session_id: (r.event_count, r.duration_seconds) for r in streams.collected_sessions(spark, f"{tmp_path}/out").collect()}
     assert got == {1: (4, 960), 6: (1, 0)}
     assert [(r.payload_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == [(5, "late")]
-    events = spark.read.parquet(f"{tmp_path}/out/events")
-    assert sorted((r.payload_id, r.session_id, r.batch) for r in events.collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (6, 6, 3)]
+    events = streams.collected_events(spark, f"{tmp_path}/out", "2024-01-10", "2024-01-10")
+    assert sorted((r.payload_id, r.session_id) for r in events.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (6, 6)]
+    assert streams.collected_events(spark, f"{tmp_path}/out", "2024-01-11").count() == 0
 
 
 def busy_hits(spark, seed):
@@ -542,12 +541,14 @@ def test_a_micro_batch_reads_nothing_but_what_the_one_before_handed_on(spark, tm
         for _ in range(2 if n == 1 else 1):
             streams._collect_batch(mine, n, SITE, salts(spark), root, 600, **LIMITS)
         got |= {r.session_id: tuple(r) for r in spark.read.parquet(f"{root}/sessions/batch={n}").select(SESSION_SHOWN).collect()}
-        for part in [p for name in ("sessions", "events", "heat", "rejects") for p in (tmp_path / "out" / name / f"batch={n}").glob("part-*")]:
+        for part in [p for name in ("sessions", "heat", "rejects") for p in (tmp_path / "out" / name / f"batch={n}").glob("part-*")]:
             part.write_bytes(b"")
         assert len(list((tmp_path / "out/carry").glob("batch=*"))) <= 2
     carry = streams.read_carry(spark, f"{root}/carry/batch={n}")
     out, _, _ = runs.collect_run(hits.limit(0), SITE, salts(spark), carry, last=True, **LIMITS)
     got |= {r.session_id: tuple(r) for r in out.sessions.select(SESSION_SHOWN).collect()}
     assert got == {r.session_id: tuple(r) for r in whole.sessions.select(SESSION_SHOWN).collect()}
+    stored = [tuple(r) for r in streams.collected_events(spark, root).unionByName(out.events.withColumn("event_date", F.to_date("occurred_at"))).select("payload_id", "session_id", "event_index").collect()]
+    assert sorted(stored) == sorted(map(tuple, whole.events.select("payload_id", "session_id", "event_index").collect()))
     quiet, late, after = runs.collect_run(hits.limit(0), SITE, salts(spark), None)
     assert quiet.sessions.count() == late.count() == after.pending.count() == 0
