@@ -1000,6 +1000,9 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
 ORACLES["J0_stream_collect"] = ORACLES["E0_collect_late"] = ORACLES["E0_collect"]
 ORACLES["J0_stream_events"] = ORACLES["E0_collect_events"]
+ORACLES["D12_uncrawled_all"] = ORACLES["D12_uncrawled_links"].replace(" LIMIT 300", "")
+ORACLES["K11_broken_all"] = ORACLES["K11_broken_links"].replace("[1:20]", "")
+ORACLES["H3_rage_clicks_stream"] = ORACLES["H3_rage_clicks"]
 ORACLES["E7_first_seen_store"] = ORACLES["E7_returning"]
 ORACLES["A10_replace_days"] = ORACLES["A10_write_days"]
 ORACLES["A12_counters_in_batches"] = ORACLES["F9_crawler_daily"]

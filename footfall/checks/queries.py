@@ -669,6 +669,12 @@ def D12_uncrawled_links(spark, d):
     return site.uncrawled_links(edges_of(spark, d), audit(spark, d), 300)
 
 
+@query
+def D12_uncrawled_all(spark, d):
+    """As D12_uncrawled_links, all of them."""
+    return site.uncrawled_links(edges_of(spark, d), audit(spark, d))
+
+
 @query
 def D13_link_status(spark, d):
     e = edges_of(spark, d)
@@ -1388,6 +1394,19 @@ def H3_rage_clicks(spark, d):
     return windows.rage_clicks(_clicks(spark, d)).select("click_id", "element", "x", "y")
 
 
+@query
+def H3_rage_clicks_stream(spark, d):
+    """The same clicks as a stream in three files, and a click of the next day that lets the watermark pass them."""
+    root, c = scratch_dir(spark, "clicks"), stored(_clicks(spark, d), "clicks")
+    tick = c.limit(1).withColumn("ts", plus_seconds(ntz("2025-01-01 00:00:00"), F.lit(0))).withColumn("click_id", F.lit(-1).cast(c.schema["click_id"].dataType))
+    for part in [c.where(F.pmod(F.floor((F.unix_millis(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("click_id"), F.lit(500_000))) / 500_000), F.lit(10**6)) % 3 == i) for i in range(3)]:
+        part.repartition(STREAM_FILES).write.mode("append").parquet(f"{root}/in")
+    tick.select(c.columns).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 3 * STREAM_FILES).parquet(f"{root}/in")
+    rows = run_to_table(streams.stream_rage_clicks(stream), "rage", "append")
+    return rows.select("click_id", "element", "x", "y")
+
+
 @query
 def H5_duplicates(spark, d):
     return site.duplicate_text(audit(spark, d), "title").select("page_id", "pages")
@@ -1530,6 +1549,13 @@ def K11_broken_links(spark, d):
     return b.select("page_id", "broken", F.array_join("listed", " ").alias("listed"))
 
 
+@query
+def K11_broken_all(spark, d):
+    """As K11_broken_links, with every link listed."""
+    b = site.broken_links(edges_of(spark, d), site.status_by_url(audit(spark, d)))
+    return b.select("page_id", "broken", F.array_join("listed", " ").alias("listed"))
+
+
 @query
 def K12_duplicate_text(spark, d):
     return site.duplicate_text(audit(spark, d), "title")

@@ -14,31 +14,32 @@ CLICK_SLICE_MS = 60_000
 def rage_clicks(clicks: DataFrame, ms: int = 800, px: int = 30, n: int = 3) -> DataFrame:
     """Clicks that are the n-th on one element within ``ms`` and ``px`` of themselves.
 
-    Needs session_id, pv, element, ts, x, y, click_id. Clicks are windowed per element and minute; those in the
-    last ``ms`` of a minute are shown to the next minute as well, so no pair is missed and no element, however
-    busy, is one group. Rows sharing a time are taken in click_id order.
+    Needs session_id, pv, element, ts, x, y, click_id. Rows sharing a time are taken in click_id order. The page is cut into
+    cells of ``px``: clicks of one cell are all near each other, so one that has n or more behind it in its cell
+    within ``ms`` is no n-th. Few are left of a burst (n a cell and ``ms``); they alone look into their nine cells and the
+    last two stretches of ``ms`` and count. Windows go by element, cell and minute, with those of the last ``ms`` of a minute shown
+    to the next minute as well.
     """
-    t = epoch_millis("ts")
-    rows = clicks.withColumn("_t", t).withColumn("_m", F.floor(F.col("_t") / CLICK_SLICE_MS))
+    spot, names = ["session_id", "pv", "element"], clicks.columns
+    rows = clicks.withColumns({
+        "_t": epoch_millis("ts"), "_cx": F.floor(F.col("x") / px), "_cy": F.floor(F.col("y") / px),
+        "_spot": F.struct(*[F.col(c) for c in spot]),
+    }).withColumns({"_m": F.floor(F.col("_t") / CLICK_SLICE_MS), "_b": F.floor(F.col("_t") / ms)})
     late = F.col("_t") >= (F.col("_m") + 1) * CLICK_SLICE_MS - ms
-    rows = rows.withColumn(
-        "_s", F.explode(F.when(late, F.array(F.col("_m"), F.col("_m") + 1)).otherwise(F.array(F.col("_m"))))
-    )
-    w = (
-        Window.partitionBy("session_id", "pv", "element", "_s")
-        .orderBy("_t")
-        .rangeBetween(-(ms - 1), Window.currentRow)
-    )
-    rows = rows.withColumn("_near", F.collect_list(F.struct("x", "y", "_t", "click_id")).over(w))
-    upto = F.filter(
-        "_near",
-        lambda r: (F.abs(r["x"] - F.col("x")) < px)
-        & (F.abs(r["y"] - F.col("y")) < px)
-        & ((r["_t"] < F.col("_t")) | (r["click_id"] <= F.col("click_id"))),
-    )
-    return (
-        rows.where(F.col("_s") == F.col("_m")).where(F.size(upto) == n).drop("_t", "_m", "_s", "_near")
-    )
+    shown = rows.withColumn("_s", F.explode(F.when(late, F.array(F.col("_m"), F.col("_m") + 1)).otherwise(F.array(F.col("_m")))))
+    w = Window.partitionBy("_spot", "_cx", "_cy", "_s").orderBy("_t", "click_id")
+    behind = F.lag("_t", n).over(w)
+    few = shown.withColumn("_far", behind.isNull() | (F.col("_t") - behind >= ms)).where((F.col("_s") == F.col("_m")) & F.col("_far"))
+    around = F.array(*[F.struct((F.col("_cx") + i).alias("cx"), (F.col("_cy") + j).alias("cy"), (F.col("_b") - k).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (0, 1)])
+    probes = few.select(F.struct(*names).alias("_row"), "_spot", "_t", "x", "y", "click_id", F.explode(around).alias("_a"))
+    probes = probes.select("*", F.col("_a.cx").alias("_cx"), F.col("_a.cy").alias("_cy"), F.col("_a.b").alias("_b")).drop("_a")
+    near = rows.select("_spot", "_cx", "_cy", "_b", F.col("_t").alias("_u"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("click_id").alias("_id"))
+    null_safe = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_spot", "_cx", "_cy", "_b")]
+    before = (F.col("_u") < F.col("_t")) | ((F.col("_u") == F.col("_t")) & (F.col("_id") <= F.col("p.click_id")))
+    close = (F.abs(F.col("_x") - F.col("p.x")) < px) & (F.abs(F.col("_y") - F.col("p.y")) < px) & (F.col("_t") - F.col("_u") < ms) & before
+    pairs = probes.alias("p").join(near.alias("r"), [*null_safe, close])
+    counted = pairs.groupBy("p._spot", "p.click_id").agg(F.count("*").alias("_n"), F.first("p._row").alias("_row"))
+    return counted.where(F.col("_n") == n).select("_row.*")
 
 
 def run_deltas(runs: DataFrame, keep: int = 10) -> DataFrame:

@@ -171,3 +171,72 @@ class FirstSession(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+CLICK = [("t", int), ("click_id", int), ("x", int), ("y", int)]
+
+
+class RageClicks(StatefulProcessor):
+    """The n-th click on one element within ``ms`` and ``px``. State: clicks that wait for the watermark, and of the last
+    ``ms`` the newest n + 1 of each pixel, which are enough to tell the n-th from later ones."""
+
+    def __init__(self, ms: int, px: int, n: int) -> None:
+        self.ms, self.px, self.n = ms, px, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", _schema(CLICK))
+        self.waiting = handle.getListState("waiting", _schema(CLICK))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        came = [tuple(map(int, r)) for part in rows for r in part[[n for n, _ in CLICK]].itertuples(index=False)]
+        if new := [r for r in came if r[0] >= passed]:
+            self.waiting.appendList(new)
+        yield from self._settle(key, passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, passed: int) -> Iterator[pd.DataFrame]:
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, left = [r for r in waiting if r[0] < passed], [r for r in waiting if r[0] >= passed]
+        pixels: dict[tuple[int, int], list[tuple]] = {}
+        for r in sorted(tuple(r) for r in self.recent.get()) if self.recent.exists() else []:
+            pixels.setdefault((r[2], r[3]), []).append(r)
+        found = []
+        for r in ready:
+            t, _, x, y = r
+            pixels[x, y] = [*pixels.get((x, y), ())[-self.n :], r]
+            near = 0
+            for (px, py), clicks in list(pixels.items()):
+                live = [c for c in clicks if t - c[0] < self.ms]
+                if not live:
+                    del pixels[px, py]
+                elif abs(px - x) < self.px and abs(py - y) < self.px:
+                    near += len(live)
+            if near == self.n:
+                found.append(r)
+        if ready:
+            self._store(self.waiting, left)
+            self._store(self.recent, [c for clicks in pixels.values() for c in clicks if passed - c[0] < self.ms])
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if left:
+            self.handle.registerTimer(left[0][0] + 1)
+        elif pixels and (newest := max(c[0] for clicks in pixels.values() for c in clicks)) + self.ms > passed:
+            self.handle.registerTimer(newest + self.ms)
+        else:
+            self.recent.clear()
+        if found:
+            yield pd.DataFrame([{**dict(zip(("session_id", "pv", "element"), key, strict=True)), "click_id": i, "x": x, "y": y} for _, i, x, y in found])
+
+    @staticmethod
+    def _store(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
+    def close(self) -> None:
+        pass

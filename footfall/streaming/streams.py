@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from footfall.functions.times import epoch_seconds, local_day
+from footfall.functions.times import epoch_millis, epoch_seconds, local_day
 from footfall.operators.rollup import rollup
 from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, LATE_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
 from footfall.plans.runs import collect_run, read_carry, write_carry
@@ -18,7 +18,7 @@ from footfall.sources.hits import read_hits
 from footfall.sources.parts import PartTable
 from footfall.sources.tables import batches, drop_batches, upsert_counters
 from footfall.sources.visitors import FirstSeen
-from footfall.streaming.processors import ROCKSDB, FirstSession, LiveSessions, MinuteLimit
+from footfall.streaming.processors import ROCKSDB, FirstSession, LiveSessions, MinuteLimit, RageClicks
 
 LATE = "10 minutes"
 
@@ -211,6 +211,18 @@ def stream_returning(sessions: DataFrame) -> DataFrame:
     return slim.groupBy("visitor_key").transformWithStateInPandas(FirstSession(), "session_id bigint, is_returning int", "append", "None")
 
 
+def stream_rage_clicks(clicks: DataFrame, ms: int = 800, px: int = 30, n: int = 3, late: str = LATE) -> DataFrame:
+    """``windows.rage_clicks`` on a stream: session_id, pv, element, click_id, x and y, taken in order ``late`` behind the newest."""
+    use_rocksdb(clicks.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in clicks.schema.fields}
+    slim = clicks.select("session_id", "pv", "element", epoch_millis("ts").alias("t"), F.col("click_id").cast("bigint").alias("click_id"),
+                         F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.col("ts").cast("timestamp").alias("event_time"))
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ("session_id", "pv", "element")) + ", click_id bigint, x bigint, y bigint"
+    return slim.withWatermark("event_time", late).groupBy("session_id", "pv", "element").transformWithStateInPandas(
+        RageClicks(ms, px, n), shape, "append", "EventTime"
+    )
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the watermark of a query has dropped so far, of the progress that the query still holds."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
