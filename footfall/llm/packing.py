@@ -18,8 +18,8 @@ LENGTH = 1024
 ROWS = 1024
 #: Tokens a queue sends in one turn, well below LENGTH so that a sequence mixes sources; divides LENGTH.
 QUANTUM = 64
-#: Source queues that a mixture may have; the state of the round robin is one number each.
-MAX_SOURCES = 65_536
+#: The largest sources, and those with a target, have a queue each; the others share this many queues by ranges of name.
+OWN, POOLS = 512, 512
 #: Step between the phases of neighbouring queues: keeps any number of them spread evenly.
 GOLDEN = 0.6180339887498949
 
@@ -98,6 +98,33 @@ def token_queues(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "d
     return stored(ordered.mapInArrow(run, "part int, source string, k long, at long, n long, ids binary"), "queues")
 
 
+def source_queues(queues: DataFrame, targets: dict[str, float] | None, own: int = OWN, pools: int = POOLS) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(part, source, queue, base) of what each part holds of a source, and every queue's length and weight.
+
+    ``base`` is where that share begins in its queue. The ``own`` sources with most tokens and those with a target have queues
+    of their own; of the others, those in neighbouring parts (ranges of source and key) follow each other in one of
+    ``pools`` queues, whose weight is the sum of theirs. So the state of the round robin does not grow with the sources.
+    """
+    shares = queues.filter("at is null").select("part", "source", "n")
+    largest = shares.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(own)
+    named = sorted({(r.source is not None, r.source or "") for r in largest.collect()} | {(True, s) for s in targets or {}})
+    parts = (shares.agg(F.max("part")).first()[0] or 0) + 1
+    number = F.create_map(*[x for i, (known, s) in enumerate(named) if known for x in (F.lit(s), F.lit(i))]) if any(k for k, _ in named) else F.create_map().cast("map<string,int>")
+    alone = F.try_element_at(number, F.coalesce("source", F.lit("")))
+    alone = F.when(F.col("source").isNull(), F.lit(0 if (False, "") in named else None).cast("int")).otherwise(alone)
+    pooled = (F.lit(len(named)) + F.floor(F.col("part").cast("long") * pools / parts)).cast("int")
+    dealt = shares.withColumn("queue", F.coalesce(alone, pooled))
+    base = "sum(n) OVER (PARTITION BY queue ORDER BY source, part) - n AS base"
+    dealt = stored(dealt.selectExpr("part", "source", "queue", "n", base), "bases")
+    sums = {r.queue: r for r in dealt.groupBy("queue").agg(F.sum("n").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("s")).collect()}
+    out = []
+    for i in range(len(named) + pools):
+        n, many = (sums[i].n, sums[i].s) if i in sums else (0, 0)
+        weight = float(n) if targets is None else targets.get(named[i][1], 1.0) if i < len(named) and named[i][0] else 1.0 if i < len(named) else float(many)
+        out.append((n, weight))
+    return dealt.select("part", "source", "queue", "base"), out
+
+
 def pack(
     docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, end_id: int = 0, length: int = LENGTH, quantum: int = QUANTUM,
     key: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -111,7 +138,8 @@ def pack(
     of sources (others weigh nothing extra: 1); by default the weight is the source's token count, which makes all
     queues end together. A queue that ends early leaves its turns to the others. The last turn of a queue, and the only
     one of a source with less than a quantum, is short and takes its place like any other; queues start at different
-    phases, so small sources are spread over the corpus. Turns follow each other without gaps, so only the last sequence
+    phases, so small sources are spread over the corpus. Beyond some hundred sources the smallest share queues
+    (``source_queues``), each with the sum of its sources' shares; their number has no limit. Turns follow each other without gaps, so only the last sequence
     can be short. ``ids`` are little-endian unsigned 32-bit integers.
 
     Null and empty texts are the end id alone; a null source is a queue of its own; rows that repeat a key are packed
@@ -120,18 +148,13 @@ def pack(
     if length % quantum:
         raise ValueError("quantum must divide length")
     queues = token_queues(docs, tokenizer, end_id, key, text_col, source_col)
-    # One row per part and source in it; parts are ranges of (source, key), so that is parts + sources rows at most.
-    shares = sorted(((r.source is not None, r.source or ""), r.part, r.n) for r in queues.filter("ids is null").select("part", "source", "n").collect())
-    names = sorted({s for s, _, _ in shares})
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"{len(names)} sources; at most {MAX_SOURCES} can be mixed")
-    index, totals, base = {s: i for i, s in enumerate(names)}, [0] * len(names), {}
-    for s, part, n in shares:
-        base[part, s] = totals[index[s]]
-        totals[index[s]] += n
-    total = np.array(totals, dtype=np.int64)
-    weights = total.astype(float) if targets is None else np.array([targets.get(s, 1.0) if known else 1.0 for known, s in names], dtype=float)
-    phases = (0.5 + GOLDEN * np.arange(len(names))) % 1.0
+    bases, dealt = source_queues(queues, targets)
+    total, weights = np.array([n for n, _ in dealt], dtype=np.int64), np.array([w for _, w in dealt], dtype=float)
+    live = np.flatnonzero(total)  # empty queues take no turn
+    place_of = np.full(len(total), -1)
+    place_of[live] = np.arange(len(live))
+    total, weights = total[live], weights[live]
+    phases = (0.5 + GOLDEN * np.arange(len(live))) % 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,10 +162,7 @@ def pack(
                 yield packed(b)
 
     def packed(b: pa.RecordBatch) -> pa.RecordBatch:
-        known = [(x is not None, x or "") for x in b.column(1).to_pylist()]
-        queue = np.array([index[x] for x in known])
-        n = b.column(4).to_numpy()
-        lo = b.column(3).to_numpy() + np.array([base[part, x] for part, x in zip(b.column(0).to_pylist(), known, strict=True)], dtype=np.int64)
+        queue, lo, n = place_of[b.column(0).to_numpy()], b.column(2).to_numpy(), b.column(3).to_numpy()
         # One piece a document and turn: its row, turn, place in the queue and length.
         count = (lo + n - 1) // quantum - lo // quantum + 1
         row = np.repeat(np.arange(len(n)), count)
@@ -165,17 +185,18 @@ def pack(
         row, where, size = row[at], where[at], np.add.reduceat(size, at)
         before = np.cumsum(size) - size
         start = before - (np.cumsum(n) - n)[row]
-        raw = b.column(5).to_pylist()
+        raw = b.column(4).to_pylist()
         ids = np.frombuffer(b"".join(raw), np.dtype(f"<u{len(raw[0]) // n[0]}")).astype("<u4")
         ends = np.concatenate((before, [len(ids)])) * 4
         cols = [
-            b.column(2).take(pa.array(row)), pa.array(start), pa.array(size),
+            b.column(1).take(pa.array(row)), pa.array(start), pa.array(size),
             pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
             pa.array(n[row]), pa.array(where // length), pa.array(where % length),
         ]
         return pa.RecordBatch.from_arrays(cols, ["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return queues.filter("ids is not null").mapInArrow(
+    mine = queues.filter("at is not null").alias("q").join(bases.alias("b"), (F.col("q.part") == F.col("b.part")) & F.col("q.source").eqNullSafe(F.col("b.source")))
+    return mine.select("queue", "k", (F.col("at") + F.col("base")).alias("lo"), "n", "ids").mapInArrow(
         run, "k long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 

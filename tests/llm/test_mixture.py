@@ -68,3 +68,24 @@ def test_last_stage_holds_the_ids(spark):
         got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
     for r in docs.collect():
         assert np.frombuffer(got[r.doc_id], "<u4").tolist() == [*tok.encode(r.text, add_special_tokens=False).ids, 0]
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """More sources than queues: the large ones keep their shares, the others follow each other, no token is lost."""
+    few = packing.source_queues
+    monkeypatch.setattr(packing, "source_queues", lambda q, t, own=3, pools=4: few(q, t, own, pools))
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randint(200, 900), "abc"[i % 3]) for i in range(90)]
+    rows += [(1000 + i, "word " * rng.randint(0, 9), f"host{i}" if i % 50 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    queues = packing.token_queues(docs, BPE)
+    bases, dealt = packing.source_queues(queues, None, 3, 4)
+    assert bases.count() >= 2900 and len(dealt) == 7 and sum(n for n, _ in dealt) == queues.filter("at is null").agg({"n": "sum"}).first()[0]
+    out = packing.pack(docs, BPE).toPandas()
+    per = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length
+    assert set(per.sum()[:-1]) == {packing.LENGTH} and (out.groupby("k").length.sum() == out.groupby("k").doc_tokens.first()).all()
+    assert len(out.k.unique()) == len(rows)
+    spans = out.sort_values(["sequence_id", "offset"])
+    assert (spans.offset == spans.groupby("sequence_id").length.cumsum() - spans.length).all()
+    shares = packing.source_queues(queues, {"host7": 9.0, "none": 3.0}, 1, 2)[1]
+    assert 9.0 in [w for _, w in shares] and sum(n for n, _ in shares) == sum(n for n, _ in dealt)
