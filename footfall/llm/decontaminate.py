@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from footfall.llm.common import ascii_lower, row_key, table
 
 WINDOW = 10
-#: Windows of a benchmark that may be broadcast: about 100 bytes each.
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of benchmark windows (their words, and some for each) that may be broadcast; more of them are joined by hash.
+BROADCAST_BYTES = 128 << 20
 #: A word is a run of these, after lower-casing A-Z.
 NON_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 WORD = f"[^{NON_WORD}]+"
@@ -26,34 +26,33 @@ def _at(ws: str, i: Column, n: int) -> list[Column]:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The distinct windows of all items: ``n`` words, ``h`` hash, ``gram`` words, ``items`` sorted ids as text.
+    """The windows of all items: ``n`` words, ``h`` hash, ``gram`` words and ``item`` (id as text), a row for each item.
 
     An item of fewer words than a window is one window. Null texts and texts without words have none; an item whose
-    id is null has windows, but no id in ``items``.
+    id is null has windows, with a null ``item``.
     """
     ws = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
     n = F.least(F.size("ws"), F.lit(window))
     grams = ws.select("item", "ws", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("ws") - n)).alias("i")).select(
         "item", "n", F.slice("ws", F.col("i") + 1, F.col("n")).alias("gram")
     )
-    distinct = grams.groupBy("n", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
     # The hash takes the words one by one, as find_windows does; a short window hashes as many as it has.
     h = reduce(lambda rest, k: F.when(F.col("n") == k, F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)])).otherwise(rest), range(1, window + 1), F.lit(None).cast("long"))
-    return distinct.withColumn("h", h)
+    return grams.distinct().withColumn("h", h)
 
 
 def find_windows(docs: DataFrame, grams: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each occurrence of a benchmark window in a document, and one with null ``gram`` for each document.
 
-    Columns: ``key`` (row_key of the document), ``n_words``, ``i`` (word the window begins at), ``n``, ``gram``,
-    ``items``. Every word position of every text is looked up; a hit counts only when the words are equal, not just
-    their hashes.
+    Columns: ``key`` (row_key of the document), ``n_words``, ``i`` (word the window begins at), ``n``, ``gram``. Every word
+    position of every text is looked up; a hit counts only when the words are equal, not just their hashes. Windows of
+    up to ``BROADCAST_BYTES`` are sent to all tasks; of more, the hash of every position is shuffled, and the texts
+    once, to compare the words where a hash was found: both in proportion to the words.
     """
-    facts = grams.groupBy("n").agg(F.count("*").alias("c")).collect()  # at most one row per window length
-    lengths, total = sorted(r.n for r in facts), sum(r.c for r in facts)
-    side = grams.select(F.col("n").alias("g_n"), F.col("h").alias("g_h"), "gram", "items")
-    if total <= BROADCAST_WINDOWS:
-        side = F.broadcast(side)
+    side = grams.select(F.col("n").alias("g_n"), F.col("h").alias("g_h"), "gram").distinct()
+    size = F.sum(F.aggregate("gram", F.lit(0).cast("long"), lambda acc, w: acc + F.octet_length(w) + 8) + 64)
+    facts = side.groupBy("g_n").agg(size.alias("bytes")).collect()  # at most one row per window length
+    lengths, total = sorted(r.g_n for r in facts), sum(r.bytes for r in facts)
     base = docs.select(row_key(key, text_col).alias("key"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("ws"))
     # Position -1 stands for the document itself, so that one pass gives both its word count and its hits.
     at = base.select("key", "ws", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("ws") - 1, F.lit(-1)))).alias("i"))
@@ -67,21 +66,36 @@ def find_windows(docs: DataFrame, grams: DataFrame, text_col: str = "text", key:
         probes = at.select("key", "ws", "i", F.lit(n).alias("n"), h.alias("h"))
     # The hash alone is the join key, one long; the words are compared only where it matches.
     equal = (F.col("n") == F.col("g_n")) & (F.slice("ws", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("n")) == F.col("gram"))
-    found = probes.join(side, F.col("h") == F.col("g_h"), "left").filter(F.coalesce(equal, F.lit(False)) | (F.col("i") < 0))
-    return found.select("key", F.size("ws").alias("n_words"), "i", "n", "gram", "items")
+    if total <= BROADCAST_BYTES:
+        found = probes.join(F.broadcast(side), F.col("h") == F.col("g_h"), "left").filter(F.coalesce(equal, F.lit(False)) | (F.col("i") < 0))
+        return found.select("key", F.size("ws").alias("n_words"), "i", "n", "gram")
+    likely = probes.filter("h IS NOT NULL").select("key", "i", "n", "h").join(side.select(F.col("g_h").alias("h")).distinct(), "h", "left_semi")
+    places = likely.distinct().groupBy("key").agg(F.collect_list(F.struct("i", "n", "h")).alias("p")).withColumnRenamed("key", "_key")
+    whole = base.join(places, F.col("key").eqNullSafe(F.col("_key"))).select("key", "ws", F.explode("p").alias("p"))
+    hits = whole.select("key", "ws", F.col("p.i").alias("i"), F.col("p.n").alias("n"), F.col("p.h").alias("h")).join(side, F.col("h") == F.col("g_h")).filter(equal)
+    alone = base.select("key", F.size("ws").alias("n_words"), F.lit(-1).alias("i"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("gram"))
+    return hits.select("key", F.size("ws").alias("n_words"), "i", "n", "gram").unionByName(alone)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """One row per distinct document (``key``): ``n_words``, ``n_hit`` words inside a window's occurrence, ``items``
     with occurring windows (ids as text, sorted), ``hits`` (ordinals of the hit words, ascending)."""
-    found = find_windows(docs, benchmark_windows(benchmark, window=window), text_col, key)
-    # A document's hits are told apart by word before they meet, so repeated passages are merged before the shuffle.
+    grams = benchmark_windows(benchmark, window=window)
+    found = find_windows(docs, grams, text_col, key)
+    # A document's hits are told apart by word before they meet, so repeated passages are merged before the shuffle. The window
+    # that begins at a word stands with it.
     words_hit = F.when(F.col("gram").isNotNull(), F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).otherwise(F.array(F.lit(-1)))
-    spread = found.select("key", "n_words", "items", F.explode(words_hit).alias("w"))
-    by_word = spread.groupBy("key", "w").agg(F.max("n_words").alias("n_words"), F.collect_set("items").alias("lists"))
-    per_doc = by_word.groupBy("key").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.when(F.col("w") >= 0, F.col("w")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("lists"))))).alias("items"),
+    spread = found.select("key", "n_words", "i", "gram", F.explode(words_hit).alias("w"))
+    by_word = spread.groupBy("key", "w").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("w") == F.col("i"), F.col("gram"))).alias("grams"))
+    # Items come in last, by window, so that one that many items share is not a long list in every step before. Words without
+    # a window have a key of their document's, which finds nothing.
+    starts = by_word.select("key", "n_words", "w", F.explode_outer("grams").alias("gram"))
+    starts = starts.withColumn("g", F.when(F.col("gram").isNull(), F.xxhash64("key", "w")).otherwise(F.xxhash64("gram")))
+    named = grams.select(F.col("gram").alias("g_gram"), F.xxhash64("gram").alias("g_g"), "item")
+    rows = starts.join(named, (F.col("g") == F.col("g_g")) & (F.col("gram") == F.col("g_gram")), "left")
+    per_doc = rows.groupBy("key").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("w") >= 0, F.col("w")))).alias("hits"),
+        F.array_sort(F.collect_set("item")).alias("items"),
     )
     return per_doc.select("key", "n_words", F.size("hits").alias("n_hit"), "items", "hits")
 

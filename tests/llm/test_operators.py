@@ -198,6 +198,51 @@ def test_overlaps_equal_brute_force(spark):
     assert decontaminate.overlaps(empty_docs(spark), b).count() == 0
 
 
+@pytest.mark.parametrize("bytes_", [0, 1 << 20])
+def test_both_ways_of_looking_up_windows_give_the_same(spark, monkeypatch, bytes_):
+    rng = random.Random(12)
+    items = [(i, words(rng, n, "ab")) for i, n in enumerate([40, 15, 10, 6, 2])] + [(9, None), (None, "one two")]
+    docs = [(i, words(rng, 60, "ab")) for i in range(50)] + [(i + 100, f"{words(rng, 5)} {items[i % 3][1]} {words(rng, 5)}") for i in range(9)] + ODD + [(100, "one two")] * 2
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bytes_)
+    got = {(r.key.k, r.key.h): (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.overlaps(d, b).collect()}
+    for r in d.select("doc_id", "text", decontaminate.row_key("doc_id", "text").alias("o")).collect():
+        n, hit, found = brute.overlap(r.text, items)
+        assert got[r.o.k, r.o.h] == (n, hit, [x for x in found if x != "None"])
+    plan = decontaminate.decontaminate(d, b)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_shuffle_beyond_the_broadcast_grows_with_the_words(spark, monkeypatch, tmp_path):
+    """Texts of 1,000 to 4,000 words, as many bytes a word for each."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    rng, sizes = random.Random(3), []
+    b = spark.createDataFrame([(1, words(rng, 30))], "item_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (1000, 4000):
+            d = spark.createDataFrame([(1, words(rng, n))], "doc_id long, text string")
+            out = decontaminate.find_windows(d, decontaminate.benchmark_windows(b))
+            rows = out.collect()
+            assert [r.n_words for r in rows] == [n]
+            plan, total = out._jdf.queryExecution().executedPlan(), 0
+            todo = [plan]
+            while todo:
+                node = todo.pop()
+                if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                    todo.append(node.executedPlan())
+                elif (name := node.getClass().getSimpleName()).endswith("QueryStageExec"):
+                    total += node.shuffle().metrics().apply("shuffleBytesWritten").value() if name[0] == "S" else 0
+                    todo.append(node.plan())
+                children = node.children()
+                todo += [children.apply(i) for i in range(children.size())]
+            sizes.append(total)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < sizes[1] < 8 * sizes[0], sizes
+
+
 def test_decontamination_is_native(spark):
     d, b = odd_docs(spark), spark.createDataFrame([(1, LONG)], "item_id long, text string")
     plan = decontaminate.decontaminate(d, b)._jdf.queryExecution().toString()
