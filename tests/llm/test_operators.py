@@ -218,28 +218,25 @@ def test_shuffle_beyond_the_broadcast_grows_with_the_words(spark, monkeypatch, t
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     rng, sizes = random.Random(3), []
     b = spark.createDataFrame([(1, words(rng, 30))], "item_id long, text string")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    set_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in set_}
     try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
         for n in (1000, 4000):
             d = spark.createDataFrame([(1, words(rng, n))], "doc_id long, text string")
             out = decontaminate.find_windows(d, decontaminate.benchmark_windows(b))
-            rows = out.collect()
-            assert [r.n_words for r in rows] == [n]
-            plan, total = out._jdf.queryExecution().executedPlan(), 0
-            todo = [plan]
+            assert [r.n_words for r in out.collect()] == [n]
+            todo, total = [out._jdf.queryExecution().executedPlan()], 0
             while todo:
                 node = todo.pop()
-                if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-                    todo.append(node.executedPlan())
-                elif (name := node.getClass().getSimpleName()).endswith("QueryStageExec"):
-                    total += node.shuffle().metrics().apply("shuffleBytesWritten").value() if name[0] == "S" else 0
-                    todo.append(node.plan())
-                children = node.children()
-                todo += [children.apply(i) for i in range(children.size())]
+                if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+                    total += node.metrics().apply("shuffleBytesWritten").value()
+                todo += [node.children().apply(i) for i in range(node.children().size())]
             sizes.append(total)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     assert 0 < sizes[1] < 8 * sizes[0], sizes
 
 
