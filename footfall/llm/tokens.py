@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import re
+import struct
 import uuid
 
 import numpy as np
@@ -18,6 +19,13 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-ɏЀ-ҁҊ-ӿ‐-‧]*")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level model: printable ones for themselves, the others from U+0100 on."""
+    shown = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+    hidden = [b for b in range(256) if b not in shown]
+    return shown | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Memo(dict):
     """Ids of pieces. When full it keeps what it has, and starts anew after as many misses as it has places."""
 
@@ -58,7 +66,14 @@ class Encoder:
         added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
         self.added = re.compile("|".join(added)) if added else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.memo = _Memo(self._whole)
+        self.letters, self.split = byte_letters(), self.tok.model.tokenize
+        self.form = "H" if self.dtype.itemsize == 2 else "I"
+        self.memo = _Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """What the library does with a piece of its pattern: its bytes as letters go to the model."""
+        ids = [t.id for t in self.split(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
