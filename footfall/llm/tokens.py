@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 
 #: Pieces remembered by a worker, about 150 bytes each; one more step of the table that holds them would double it.
-MEMO = 690_000
+MEMO = 345_000
 # The character classes of the byte-level pattern, over the ranges of ``_PLAIN`` only.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
