@@ -1000,6 +1000,18 @@ SELECT form, CAST(rate_date AS VARCHAR) AS rate_date, base_currency, quote_curre
   UNION ALL SELECT 'KES', 'USD', round(0.007 + day(rate_date) / 100000.0, 10))""")
 ORACLES["J0_stream_collect"] = ORACLES["E0_collect_late"] = ORACLES["E0_collect"]
 ORACLES["J0_stream_events"] = ORACLES["E0_collect_events"]
+for _name, _full in (("traffic", "F2_daily_traffic"), ("dimensions", "F3_daily_dimensions"), ("content", "F4_daily_content"), ("events", "F6_daily_events"), ("searches", "F7_daily_searches")):
+    ORACLES[f"J9_grown_{_name}"] = ORACLES[_full]
+ORACLES["J9_collect_traffic"] = f"""
+WITH s0 AS ({ORACLES["E0_collect"]}),
+e0 AS ({ORACLES["E0_collect_events"]}),
+s AS (SELECT CAST(CAST(started_at AS TIMESTAMP) + INTERVAL 3 HOUR AS DATE) AS day, count(*) AS sessions, CAST(sum(engaged_seconds) AS BIGINT) AS engaged_seconds,
+  CAST(sum(duration_seconds) AS BIGINT) AS duration_seconds, count(*) FILTER (WHERE pageviews <= 1 AND engaged_seconds <= 10 AND conversions = 0) AS bounces FROM s0 GROUP BY 1),
+e AS (SELECT CAST(CAST(occurred_at AS TIMESTAMP) + INTERVAL 3 HOUR AS DATE) AS day, count(*) AS events, count(*) FILTER (WHERE event_name = 'page_view') AS pageviews,
+  CAST(sum(is_conversion) AS BIGINT) AS conversions, CAST(coalesce(sum(CAST(event_value_base AS DECIMAL(18,4))) FILTER (WHERE is_conversion = 1), 0) AS DOUBLE) AS revenue FROM e0 GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, """ + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in ("sessions", "bounces", "engaged_seconds", "duration_seconds", "events", "pageviews", "conversions", "revenue")
+) + " FROM s FULL JOIN e USING (day)"
 ORACLES["D12_uncrawled_all"] = ORACLES["D12_uncrawled_links"].replace(" LIMIT 300", "")
 ORACLES["K11_broken_all"] = ORACLES["K11_broken_links"].replace("[1:20]", "")
 ORACLES["H3_rage_clicks_stream"] = ORACLES["H3_rage_clicks"]

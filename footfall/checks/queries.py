@@ -19,6 +19,7 @@ from footfall.operators import currency, enrich, geo, retention, rollup, windows
 from footfall.operators import events as evs
 from footfall.operators import sessions as ses
 from footfall.plans import ads, ingest, realtime, reports, runs
+from footfall.plans.increments import DailyRollup
 from footfall.runtime import scratch_dir, stored
 from footfall.settings import Settings
 from footfall.sources import sample, tables
@@ -1228,7 +1229,7 @@ def streamed(spark, d):
         for run in range(3):
             hits.where(came_in_run() == run).repartition(STREAM_FILES).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{root}/in")
-        how = {"geo_ranges": sample.geo_ranges(spark, d), "fx": sample.fx_rates(spark, d), "registry": sample.SAMPLE_REGISTRY}
+        how = {"geo_ranges": sample.geo_ranges(spark, d), "fx": sample.fx_rates(spark, d), "registry": sample.SAMPLE_REGISTRY, "daily_tz": TZ}
         streams.stream_collect(stream, SITE, salts(spark, d), f"{root}/out", f"{root}/checkpoint", **how).awaitTermination()
         streams.finish_collect(spark, SITE, salts(spark, d), f"{root}/out", **how)
         _streamed[key] = f"{root}/out"
@@ -1376,6 +1377,59 @@ def J9_stream_rollup(spark, d):
     return PartTable(spark, f"{root}/daily_traffic").read().select("day", "sessions", "events", "pageviews", "revenue")
 
 
+@query
+def J9_collect_traffic(spark, d):
+    """Daily traffic that the write path keeps up to date as a stream out of order, from its micro-batches alone."""
+    daily = streams.collected_daily(spark, streamed(spark, d), TZ).read("daily_traffic")
+    return daily.select("day", "sessions", "bounces", "engaged_seconds", "duration_seconds", "events", "pageviews", "conversions", "revenue")
+
+
+_grown: dict[tuple[str, str], DailyRollup] = {}
+
+
+def grown(spark, d):
+    """Daily tables of three runs that end within sessions; the second comes twice, the parts of a day are merged once it has two."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _grown:
+        linked = stored(linked_payloads(spark, d), "linked")
+        run = F.when(F.col("received_at") < ntz(SECOND_RUN), 0).when(F.col("received_at") < ntz(THIRD_RUN), 1).otherwise(2)
+        daily, before = DailyRollup(spark, scratch_dir(spark, "grown"), TZ, folders=1), None
+        for n in range(3):
+            mine = linked.where(run == n)
+            now = session_rows(linked.where(run <= n)).join(mine.select("session_id").distinct(), "session_id", "left_semi")
+            now, events = stored(now, "now"), stored(sample.event_rows(mine, sample.fx_rates(spark, d)), "events")
+            for _ in range(2 if n == 1 else 1):
+                daily.add(now, before, events, n)
+            before = now if before is None else now.unionByName(before.join(now, "session_id", "left_anti"))
+        _grown[key] = daily
+    return _grown[key]
+
+
+@query
+def J9_grown_traffic(spark, d):
+    return grown(spark, d).read("daily_traffic")
+
+
+@query
+def J9_grown_dimensions(spark, d):
+    return grown(spark, d).read("daily_dimensions")
+
+
+@query
+def J9_grown_content(spark, d):
+    return grown(spark, d).read("daily_content")
+
+
+@query
+def J9_grown_events(spark, d):
+    return grown(spark, d).read("daily_events")
+
+
+@query
+def J9_grown_searches(spark, d):
+    return grown(spark, d).read("daily_searches")
+
+
 # ---- windows ------------------------------------------------------------------------------------
 
 

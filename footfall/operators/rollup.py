@@ -1,8 +1,15 @@
-"""Daily rollups. Every function covers all days of its input in one job keyed by day; there is no loop."""
+"""Daily rollups. Every function covers all days of its input in one job keyed by day; there is no loop.
+
+A rollup has two steps. The first groups by day, key and whatever is counted once (visitor, session, page view); such rows can be
+added up over several inputs (``PARTS``, ``merge_part``). The second turns them into the table. Sessions may have a column
+``sign``: 1 for a row as it is now, -1 for what earlier parts hold of the same session, so that a session that goes on is
+counted with its new totals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +23,7 @@ DAY = 86400
 ENGAGED_CAP = 1800
 
 MONEY = "decimal(18,4)"
+SIGN = "sign"
 
 
 def _money(c: Column) -> Column:
@@ -26,30 +34,51 @@ def _on_days(df: DataFrame, days: Sequence | None) -> DataFrame:
     return df if days is None else df.where(F.col("day").cast("string").isin([str(d) for d in days]))
 
 
-def traffic_sessions(sessions: DataFrame, tz: str) -> DataFrame:
-    """Session half. Grouping by visitor first gives the three distinct counts without expanding rows."""
-    per_visitor = (
+def _signed(df: DataFrame, value: str | Column) -> Column:
+    c = F.col(value) if isinstance(value, str) else value
+    return c * F.col(SIGN) if SIGN in df.columns else c
+
+
+def _visitors(having: str = "sessions") -> Column:
+    """Visitors of the group, those that ``having`` counts."""
+    return F.count(F.when(F.col(having) > 0, F.col("visitor_key")))
+
+
+def visitor_days(sessions: DataFrame, tz: str) -> DataFrame:
+    """Sessions by day and visitor: grouping by visitor first gives the three distinct counts without expanding rows."""
+
+    def total(value: str | Column, name: str) -> Column:
+        return F.sum(_signed(sessions, value)).cast("bigint").alias(name)
+
+    return (
         sessions.withColumn("day", local_day("started_at", tz))
         .groupBy("day", "visitor_key")
         .agg(
-            F.count("*").alias("sessions"),
-            F.sum("is_engaged").alias("engaged_sessions"),
-            F.sum(((F.col("pageviews") <= 1) & (F.col("is_engaged") == 0)).cast("int")).alias("bounces"),
-            F.sum("engaged_seconds").alias("engaged_seconds"),
-            F.sum("duration_seconds").alias("duration_seconds"),
-            F.max(F.when(F.col("is_returning") == 0, 1)).alias("_new"),
-            F.max(F.when(F.col("is_returning") == 1, 1)).alias("_back"),
+            total(F.lit(1), "sessions"),
+            total("is_engaged", "engaged_sessions"),
+            total(((F.col("pageviews") <= 1) & (F.col("is_engaged") == 0)).cast("int"), "bounces"),
+            total("engaged_seconds", "engaged_seconds"),
+            total("duration_seconds", "duration_seconds"),
+            total(F.when(F.col("is_returning") == 0, 1), "new_sessions"),
+            total(F.when(F.col("is_returning") == 1, 1), "returning_sessions"),
         )
     )
-    known = F.col("visitor_key").isNotNull()
+
+
+def traffic_of_visitors(per_visitor: DataFrame) -> DataFrame:
     return per_visitor.groupBy("day").agg(
-        F.count("visitor_key").alias("visitors"),
+        _visitors().alias("visitors"),
         *[F.sum(c).alias(c) for c in ("sessions", "engaged_sessions", "bounces", "engaged_seconds", "duration_seconds")],
-        F.coalesce(F.sum(F.when(known, F.col("_new"))), F.lit(0)).alias("new_visitors"),
-        F.coalesce(F.sum(F.when(known, F.col("_back"))), F.lit(0)).alias("returning_visitors"),
+        _visitors("new_sessions").alias("new_visitors"),
+        _visitors("returning_sessions").alias("returning_visitors"),
     )
 
 
+def traffic_sessions(sessions: DataFrame, tz: str) -> DataFrame:
+    """Session half of the daily traffic."""
+    return traffic_of_visitors(visitor_days(sessions, tz))
+
+
 def traffic_events(events: DataFrame, tz: str) -> DataFrame:
     """Event half: counts by the event's own day."""
     return (
@@ -66,8 +95,11 @@ def traffic_events(events: DataFrame, tz: str) -> DataFrame:
 
 def daily_traffic(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
     """A day appears when it has a session or an event. Both halves are a row per day, so the join is tiny."""
-    s, e = traffic_sessions(sessions, tz), traffic_events(events, tz)
-    out = s.join(e, "day", "full")
+    return traffic_of(visitor_days(sessions, tz), traffic_events(events, tz))
+
+
+def traffic_of(per_visitor: DataFrame, per_day: DataFrame) -> DataFrame:
+    out = traffic_of_visitors(per_visitor).join(per_day, "day", "full")
     zero = [c for c in out.columns if c not in ("day", "revenue")]
     return out.select(
         "day",
@@ -104,7 +136,11 @@ def session_revenue(sessions: DataFrame, events: DataFrame, tz: str) -> DataFram
 
 
 def with_revenue(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
-    return sessions.join(session_revenue(sessions, events, tz), "session_id", "left")
+    if SIGN not in sessions.columns:
+        return sessions.join(session_revenue(sessions, events, tz), "session_id", "left")
+    now = F.col(SIGN) > 0  # the events belong to sessions as they are now
+    rows = sessions.join(session_revenue(sessions.where(now), events, tz), "session_id", "left")
+    return rows.withColumn("revenue", F.when(now, F.col("revenue")))
 
 
 DOT = " · "
@@ -164,24 +200,32 @@ def explode_dimensions(sessions: DataFrame) -> DataFrame:
 SESSION_SUMS = ["sessions", "engaged_sessions", "pageviews", "engaged_seconds", "conversions"]
 
 
-def daily_dimensions(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
-    """Sessions by day, dimension and value. The visitor is part of the first grouping key, which both
-    spreads a value that most sessions share and makes the distinct count a plain count afterwards."""
+def dimension_visitors(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
+    """Sessions by day, dimension, value and visitor. The visitor in the key both spreads a value that most sessions
+    share and makes the distinct count a plain count afterwards."""
     rows = with_revenue(sessions, events, tz).withColumn("day", local_day("started_at", tz))
-    need = {"day", "visitor_key", "is_engaged", "pageviews", "engaged_seconds", "conversions", "revenue"}
+    need = {"day", "visitor_key", "is_engaged", "pageviews", "engaged_seconds", "conversions", "revenue"} | {SIGN} & set(rows.columns)
     long = explode_dimensions(rows).select(*sorted(need), "dimension", "value")
-    per_visitor = long.groupBy("day", "dimension", "value", "visitor_key").agg(
-        F.count("*").alias("sessions"),
-        F.sum("is_engaged").alias("engaged_sessions"),
-        F.sum("pageviews").alias("pageviews"),
-        F.sum("engaged_seconds").alias("engaged_seconds"),
-        F.sum("conversions").alias("conversions"),
+    return long.groupBy("day", "dimension", "value", "visitor_key").agg(
+        F.sum(_signed(long, F.lit(1))).alias("sessions"),
+        F.sum(_signed(long, "is_engaged")).alias("engaged_sessions"),
+        F.sum(_signed(long, "pageviews")).alias("pageviews"),
+        F.sum(_signed(long, "engaged_seconds")).alias("engaged_seconds"),
+        F.sum(_signed(long, "conversions")).alias("conversions"),
         F.sum("revenue").alias("revenue"),
     )
+
+
+def daily_dimensions(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
+    """Sessions by day, dimension and value."""
+    return dimensions_of(dimension_visitors(sessions, events, tz))
+
+
+def dimensions_of(per_visitor: DataFrame) -> DataFrame:
     return (
         per_visitor.groupBy("day", "dimension", "value")
         .agg(
-            F.count("visitor_key").alias("visitors"),
+            _visitors().alias("visitors"),
             *[F.sum(c).cast("bigint").alias(c) for c in SESSION_SUMS],
             _money(F.col("revenue")).alias("revenue"),
         )
@@ -190,10 +234,10 @@ def daily_dimensions(sessions: DataFrame, events: DataFrame, tz: str) -> DataFra
     )
 
 
-def page_engagement(events: DataFrame, tz: str, cap: int | None = ENGAGED_CAP) -> DataFrame:
-    """Engaged seconds per day and path: the highest value of each page view, at most ``cap`` (None: any), then summed."""
+def page_reads(events: DataFrame, tz: str) -> DataFrame:
+    """The highest engaged seconds of each page view."""
     seconds = F.get_json_object("attributes", "$.engaged_seconds").try_cast("double")
-    per_view = (
+    return (
         events.where(F.col("event_name") == "page_engagement")
         .select(
             local_day("occurred_at", tz).alias("day"),
@@ -205,15 +249,24 @@ def page_engagement(events: DataFrame, tz: str, cap: int | None = ENGAGED_CAP) -
         .groupBy("day", "path", "session_id", "pv")
         .agg(F.max("secs").alias("top"))
     )
+
+
+def page_engagement(events: DataFrame, tz: str, cap: int | None = ENGAGED_CAP) -> DataFrame:
+    """Engaged seconds per day and path: the highest value of each page view, at most ``cap`` (None: any), then summed."""
+    return engagement_of(page_reads(events, tz), cap)
+
+
+def engagement_of(per_view: DataFrame, cap: int | None = ENGAGED_CAP) -> DataFrame:
     capped = F.when(F.col("top").isNotNull(), F.col("top") if cap is None else F.least("top", F.lit(cap)))
     return per_view.groupBy("day", "path").agg(
         F.coalesce(F.sum(capped), F.lit(0)).alias("engaged_seconds"), F.count("*").alias("engaged_views")
     )
 
 
-def _page_views(events: DataFrame, tz: str) -> DataFrame:
+def page_visitors(events: DataFrame, tz: str) -> DataFrame:
+    """Page views and conversions by day, path and visitor."""
     view = F.col("event_name") == "page_view"
-    per_visitor = (
+    return (
         events.where(view | (F.col("is_conversion") == 1))
         .withColumn("day", local_day("occurred_at", tz))
         .groupBy("day", F.col("page_path").alias("path"), "visitor_key")
@@ -225,6 +278,9 @@ def _page_views(events: DataFrame, tz: str) -> DataFrame:
             F.max(F.when(view, F.col("page_title"))).alias("title"),
         )
     )
+
+
+def _page_views(per_visitor: DataFrame) -> DataFrame:
     seen = (F.col("pageviews") > 0) & F.col("visitor_key").isNotNull()
     return per_visitor.groupBy("day", "path").agg(
         F.sum("pageviews").alias("pageviews"),
@@ -236,9 +292,11 @@ def _page_views(events: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def daily_content(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
-    """Metrics per day and path. Pre-aggregated inputs are stacked and merged by one grouping."""
+def page_ends(sessions: DataFrame, tz: str) -> DataFrame:
+    """Sessions that begin and end on a path, by their day."""
+    sign = [SIGN] if SIGN in sessions.columns else []
     starts = sessions.select(
+        *sign,
         local_day("started_at", tz).alias("day"),
         F.explode(
             F.array(
@@ -247,11 +305,22 @@ def daily_content(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
             )
         ).alias("p"),
     )
-    ends = starts.groupBy("day", "p.path").agg(F.sum("p.i").alias("entrances"), F.sum("p.o").alias("exits"))
+    return starts.groupBy("day", "p.path").agg(
+        F.sum(_signed(starts, "p.i")).alias("entrances"), F.sum(_signed(starts, "p.o")).alias("exits")
+    )
+
+
+def daily_content(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
+    """Metrics per day and path."""
+    return content_of(page_visitors(events, tz), page_ends(sessions, tz), page_reads(events, tz))
+
+
+def content_of(per_visitor: DataFrame, ends: DataFrame, per_view: DataFrame) -> DataFrame:
+    """Pre-aggregated inputs are stacked and merged by one grouping. A path that sessions only ended on for a while has no row."""
     rows = (
-        _page_views(events, tz)
-        .unionByName(ends, allowMissingColumns=True)
-        .unionByName(page_engagement(events, tz), allowMissingColumns=True)
+        _page_views(per_visitor)
+        .unionByName(ends.where((F.col("entrances") != 0) | (F.col("exits") != 0)), allowMissingColumns=True)
+        .unionByName(engagement_of(per_view), allowMissingColumns=True)
     )
     sums = ["pageviews", "visitors", "entrances", "exits", "engaged_seconds", "engaged_views", "conversions"]
     return rows.groupBy("day", "path").agg(
@@ -262,9 +331,9 @@ def daily_content(sessions: DataFrame, events: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def daily_events(events: DataFrame, tz: str) -> DataFrame:
-    """Totals per day and event name; unlinked events count as one session."""
-    per_session = (
+def event_sessions(events: DataFrame, tz: str) -> DataFrame:
+    """Events by day, name and session."""
+    return (
         events.withColumn("day", local_day("occurred_at", tz))
         .groupBy("day", "event_name", "session_id")
         .agg(
@@ -275,6 +344,14 @@ def daily_events(events: DataFrame, tz: str) -> DataFrame:
             F.max("is_conversion").alias("is_conversion"),
         )
     )
+
+
+def daily_events(events: DataFrame, tz: str) -> DataFrame:
+    """Totals per day and event name; unlinked events count as one session."""
+    return events_of(event_sessions(events, tz))
+
+
+def events_of(per_session: DataFrame) -> DataFrame:
     return per_session.groupBy("day", "event_name").agg(
         F.max("category").alias("category"),
         F.max("module").alias("module"),
@@ -312,11 +389,18 @@ def search_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def daily_searches(events: DataFrame, tz: str) -> DataFrame:
+SEARCH_SUMS = [
+    "searches", "zero_results", "results_total", "results_counted", "source_results_page", "source_form", "source_live",
+]
+
+
+def search_sessions(events: DataFrame, tz: str) -> DataFrame:
+    """Searches by day, term and session."""
+
     def of(name):
         return F.sum((F.col("source") == name).cast("int")).alias(f"source_{name}")
 
-    per_session = (
+    return (
         search_rows(events)
         .withColumn("day", local_day("occurred_at", tz))
         .groupBy("day", "term", "session_id")
@@ -328,12 +412,15 @@ def daily_searches(events: DataFrame, tz: str) -> DataFrame:
             of("results_page"), of("form"), of("live"),
         )
     )
-    sums = [
-        "searches", "zero_results", "results_total", "results_counted", "source_results_page", "source_form",
-        "source_live",
-    ]
+
+
+def daily_searches(events: DataFrame, tz: str) -> DataFrame:
+    return searches_of(search_sessions(events, tz))
+
+
+def searches_of(per_session: DataFrame) -> DataFrame:
     return per_session.groupBy("day", "term").agg(
-        F.count("session_id").alias("sessions"), *[F.sum(c).alias(c) for c in sums]
+        F.count("session_id").alias("sessions"), *[F.sum(c).alias(c) for c in SEARCH_SUMS]
     )
 
 
@@ -446,3 +533,63 @@ def rollup(sessions: DataFrame, events: DataFrame, days: Sequence | None, tz: st
         "daily_searches": daily_searches(e, tz),
     }
     return {k: _on_days(v, days) for k, v in tables.items()}
+
+
+# ---- rollups in parts ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Part:
+    """What rows of the first step are added up by: sums, and columns of which the greatest stays."""
+
+    keys: tuple[str, ...]
+    sums: tuple[str, ...]
+    tops: tuple[str, ...] = ()
+
+
+PARTS = {
+    "visitor_days": Part(
+        ("day", "visitor_key"),
+        ("sessions", "engaged_sessions", "bounces", "engaged_seconds", "duration_seconds", "new_sessions", "returning_sessions"),
+    ),
+    "event_days": Part(("day",), ("events", "pageviews", "conversions", "revenue")),
+    "dimension_visitors": Part(("day", "dimension", "value", "visitor_key"), (*SESSION_SUMS, "revenue")),
+    "page_visitors": Part(("day", "path", "visitor_key"), ("pageviews", "conversions"), ("post_id", "post_type", "title")),
+    "page_ends": Part(("day", "path"), ("entrances", "exits")),
+    "page_reads": Part(("day", "path", "session_id", "pv"), (), ("top",)),
+    "event_sessions": Part(("day", "event_name", "session_id"), ("events", "value"), ("category", "module", "is_conversion")),
+    "search_sessions": Part(("day", "term", "session_id"), tuple(SEARCH_SUMS)),
+}
+
+
+def rollup_parts(sessions: DataFrame, events: DataFrame, tz: str) -> dict[str, DataFrame]:
+    """The first step of all rollups. ``sessions`` has every session that a conversion of ``events`` belongs to, and may be signed."""
+    return {
+        "visitor_days": visitor_days(sessions, tz),
+        "event_days": traffic_events(events, tz),
+        "dimension_visitors": dimension_visitors(sessions, events, tz),
+        "page_visitors": page_visitors(events, tz),
+        "page_ends": page_ends(sessions, tz),
+        "page_reads": page_reads(events, tz),
+        "event_sessions": event_sessions(events, tz),
+        "search_sessions": search_sessions(events, tz),
+    }
+
+
+def merge_part(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of several inputs added up, with the types they have."""
+    part, kinds = PARTS[name], {f.name: f.dataType for f in rows.schema.fields}
+    return rows.groupBy(*part.keys).agg(
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in part.sums], *[F.max(c).alias(c) for c in part.tops]
+    ).select(rows.columns)
+
+
+def rollup_of(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All rollups from rows of the first step that are added up."""
+    return {
+        "daily_traffic": traffic_of(parts["visitor_days"], parts["event_days"]),
+        "daily_dimensions": dimensions_of(parts["dimension_visitors"]),
+        "daily_content": content_of(parts["page_visitors"], parts["page_ends"], parts["page_reads"]),
+        "daily_events": events_of(parts["event_sessions"]),
+        "daily_searches": searches_of(parts["search_sessions"]),
+    }

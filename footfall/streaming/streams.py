@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from footfall.functions.times import epoch_millis, epoch_seconds, local_day
 from footfall.operators.rollup import rollup
 from footfall.operators.sessions import ENGAGED_PAGEVIEWS, ENGAGED_SECONDS, LATE_SECONDS, MAX_COUNT, MAX_ENGAGED, at_most
+from footfall.plans.increments import DailyRollup
 from footfall.plans.runs import collect_run, read_carry, write_carry
+from footfall.runtime import stored
 from footfall.settings import Settings
 from footfall.sources.hits import read_hits
 from footfall.sources.parts import PartTable
@@ -47,8 +49,14 @@ def collected_events(spark: SparkSession, root: str, first: str | None = None, l
     return table.read(between=None if first is None and last is None else (first or "", last or "9999"))
 
 
+def collected_daily(spark: SparkSession, root: str, tz: str) -> DailyRollup:
+    """The daily tables that ``stream_collect`` keeps when it is told a time zone for their days."""
+    return DailyRollup(spark, f"{root}/daily", tz)
+
+
 def _collect_batch(
-    hits: DataFrame, batch_id: int, settings: Settings, salts: DataFrame, root: str, late_seconds: int, last: bool = False, **how
+    hits: DataFrame, batch_id: int, settings: Settings, salts: DataFrame, root: str, late_seconds: int, last: bool = False,
+    daily_tz: str | None = None, **how
 ) -> None:
     """One micro-batch: reads what the one before handed on and nothing else that is stored."""
     spark = hits.sparkSession
@@ -59,14 +67,19 @@ def _collect_batch(
     rejects = out.hits.where(F.col("reason").isNotNull()).select("payload_id", "received_at", "reason").unionByName(late)
     for name, df in (("heat", out.heat), ("rejects", rejects), ("sessions", out.sessions)):
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-    PartTable(spark, f"{root}/events", "event_date").append(out.events.withColumn("event_date", F.to_date("occurred_at")), "collect", batch_id)
+    events = out.events
+    if daily_tz is not None:
+        events = stored(events, "run-events")
+        collected_daily(spark, root, daily_tz).add(out.sessions, None if carry is None else carry.sessions, events, batch_id)
+    PartTable(spark, f"{root}/events", "event_date").append(events.withColumn("event_date", F.to_date("occurred_at")), "collect", batch_id)
     visitors.compact()
     write_carry(after, f"{root}/carry/batch={batch_id}")
     drop_batches(spark, f"{root}/carry", done[:-1])  # the one before stays, should this batch come again
 
 
 def stream_collect(
-    hits: DataFrame, settings: Settings, salts: DataFrame, root: str, checkpoint: str, late_seconds: int = LATE_SECONDS, **how
+    hits: DataFrame, settings: Settings, salts: DataFrame, root: str, checkpoint: str, late_seconds: int = LATE_SECONDS,
+    daily_tz: str | None = None, **how
 ) -> StreamingQuery:
     """The whole write path on a stream of hits, with the results of one run over all of them (``plans.runs``).
 
@@ -77,21 +90,24 @@ def stream_collect(
     session that goes on gets a new row with its new totals; ``collected_sessions`` gives the latest. A store of visitors tells
     who has been here before. Payloads received before what is
     settled go to ``rejects`` with the reason late, beside those that are not admitted. ``finish_collect`` settles
-    the rest when the source has ended. ``how`` goes to ``collect_hits``.
+    the rest when the source has ended. With ``daily_tz`` the daily tables of that time zone's days are kept up to date too, from
+    the rows of the micro-batch and the parts of the days they fall on (``collected_daily``). ``how`` goes to ``collect_hits``.
     """
 
     def collect(batch: DataFrame, batch_id: int) -> None:
-        _collect_batch(batch, batch_id, settings, salts, root, late_seconds, **how)
+        _collect_batch(batch, batch_id, settings, salts, root, late_seconds, daily_tz=daily_tz, **how)
 
     return hits.writeStream.foreachBatch(collect).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finish_collect(spark: SparkSession, settings: Settings, salts: DataFrame, root: str, late_seconds: int = LATE_SECONDS, **how) -> None:
+def finish_collect(
+    spark: SparkSession, settings: Settings, salts: DataFrame, root: str, late_seconds: int = LATE_SECONDS, daily_tz: str | None = None, **how
+) -> None:
     """Settles what a stopped ``stream_collect`` still holds, as a batch of its own; the stream cannot be continued after."""
     done = batches(spark, f"{root}/carry", "cut")
     if done:
         none = read_carry(spark, f"{root}/carry/batch={done[-1]}").pending.limit(0)
-        _collect_batch(none, done[-1] + 1, settings, salts, root, late_seconds, last=True, **how)
+        _collect_batch(none, done[-1] + 1, settings, salts, root, late_seconds, last=True, daily_tz=daily_tz, **how)
 
 
 # ---- live sessions ------------------------------------------------------------------------------
