@@ -385,6 +385,12 @@ add("B3_is_bot", REQ + REQ_AGENTS, "SELECT user_agent, CAST(agent IN (0, 1, 2, 3
 add("B4_crawler", REQ, "SELECT crawler, crawler_type, count(*) AS requests FROM crall GROUP BY 1, 2")
 add("B5_exclude_ips", PAY, """
 SELECT payload_id, ip FROM pay WHERE NOT (user_id % 256 = 3 OR user_id % 256 BETWEEN 16 AND 31 OR ip = '41.90.12.9')""")
+add("B5_exclude_table", PAY + """
+bl AS (SELECT DISTINCT ((41 * 256 + 90) * 256 + s_suppkey * 37 % 256) * 256 + s_suppkey * 11 % 256 AS net, 7 - s_suppkey % 8 AS host FROM supplier),
+ad AS (SELECT DISTINCT ip, ((TRY_CAST(split_part(ip, '.', 1) AS BIGINT) * 256 + TRY_CAST(split_part(ip, '.', 2) AS BIGINT)) * 256
+  + TRY_CAST(split_part(ip, '.', 3) AS BIGINT)) * 256 + TRY_CAST(split_part(ip, '.', 4) AS BIGINT) AS num FROM pay),
+hit AS (SELECT DISTINCT ip FROM ad JOIN bl ON num >> CAST(host AS BIGINT) = net >> CAST(host AS BIGINT))
+""", "SELECT payload_id, ip FROM pay WHERE ip IS NULL OR ip NOT IN (SELECT ip FROM hit)")
 URL = r"regexp_extract({0}, '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', {1})"
 
 
@@ -728,6 +734,7 @@ ORACLES["J2_stream_returning"] = ORACLES["E7_returning"]
 add("J3_stream_active", PAY, """
 SELECT CAST(start AS VARCHAR) AS start, count(DISTINCT visitor_key) AS visitors FROM (
   SELECT date_trunc('minute', received_at) - to_minutes(CAST(unnest(range(0, 5)) AS BIGINT)) AS start, visitor_key FROM pay WHERE k % 8 <> 7) GROUP BY 1""")
+ORACLES["J3_active_sketch"] = f"SELECT *, CAST(1 AS BIGINT) AS close FROM ({ORACLES['J3_stream_active']})"
 add("J4_stream_per_minute", PAY, """
 SELECT CAST(date_trunc('minute', received_at) AS VARCHAR) AS start, count(*) AS views FROM pay WHERE k % 8 <> 7 AND pvs = 1 GROUP BY 1""")
 add("J5_stream_top", PAY, """

@@ -247,6 +247,15 @@ def B5_exclude_ips(spark, d):
     return network.exclude_ips(p, ["41.90.3.0/24", "41.90.16.0/20", "41.90.12.9", "10.0.0.0/8", "2001:db8::/32"])
 
 
+@query
+def B5_exclude_table(spark, d):
+    """Addresses in no block of a table: a block of 25 to 32 bits for every supplier."""
+    k = F.col("s_suppkey")
+    octets = [F.lit("41"), F.lit("90"), (k * 37 % 256).cast("string"), (k * 11 % 256).cast("string")]
+    blocks = sample.table(spark, d, "supplier").select(F.concat(F.concat_ws(".", *octets), F.lit("/"), (25 + k % 8).cast("string")).alias("block"))
+    return geo.exclude_blocks(sample.payloads(spark, d).select("payload_id", "ip"), blocks)
+
+
 @query
 def B6_own_hosts(spark, d):
     p = sample.table(spark, d, "pages").select("page_id", F.lower(urls.url_host("url")).alias("host"))
@@ -1331,6 +1340,17 @@ def J3_stream_active(spark, d):
     return streams.active_of(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "visitors")
 
 
+@query
+def J3_active_sketch(spark, d):
+    """Visitors of all five minutes by the exact rows, and whether the sketches come within five per cent or one of them."""
+    p = payload_stream(spark, d)
+    exact = streams.active_of(latest(run_to_table(streams.stream_active(p), "active", "update"), ["window", "visitor_key"]))
+    near = streams.active_of_sketches(latest(run_to_table(streams.stream_active_sketch(p), "sketches", "update"), ["window"]))
+    off = F.abs(F.coalesce("estimate", F.lit(0)) - F.coalesce("visitors", F.lit(0)))
+    both = exact.join(near.withColumnRenamed("visitors", "estimate"), "start", "full")
+    return both.select(F.col("start").cast("timestamp_ntz").alias("start"), "visitors", (off <= F.greatest(F.lit(1), F.col("visitors") * 0.05)).alias("close"))
+
+
 @query
 def J4_stream_per_minute(spark, d):
     e = payload_stream(spark, d).withColumn("occurred_at", F.col("received_at"))

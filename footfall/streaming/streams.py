@@ -184,6 +184,22 @@ def active_of(minutes: DataFrame, span: int = 5) -> DataFrame:
     return pairs.groupBy("start").agg(F.count("visitor_key").alias("visitors"))
 
 
+def stream_active_sketch(payloads: DataFrame, late: str = LATE, lg_k: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of the visitors of each minute: the state is at most 2^lg_k bytes a minute, whatever their number."""
+    minute = F.window("event_time", "1 minute")
+    return _timed(payloads, "received_at", late).groupBy(minute).agg(F.hll_sketch_agg("visitor_key", lg_k).alias("sketch"))
+
+
+def active_of_sketches(minutes: DataFrame, span: int = 5) -> DataFrame:
+    """As ``active_of``, estimated from the rows of ``stream_active_sketch``: sketches of any span are merged, one row a minute.
+
+    The standard error is 1.04 / sqrt(2^lg_k) of the number, 1.6 % by default; few visitors are counted almost exactly.
+    """
+    starts = F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda i: F.timestamp_add("MINUTE", -i, F.col("window.start")))
+    rows = minutes.select(F.explode(starts).alias("start"), "sketch")
+    return rows.groupBy("start").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"))
+
+
 def stream_per_minute(events: DataFrame, late: str = LATE) -> DataFrame:
     views = _timed(events.where(F.col("event_name") == "page_view"), "occurred_at", late)
     return views.groupBy(F.window("event_time", "1 minute")).agg(F.count("*").alias("views"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from footfall.functions import agents, measures, network, privacy, text, urls
 from footfall.functions.channels import channel_of, domain_matches
 from footfall.functions.times import shift_months, utc_midnight
+from footfall.operators import geo
 from footfall.operators.events import clean_attributes_of
 from footfall.sources.sample import AGENTS
+from footfall.streaming import streams
 
 
 def column(spark, values, expr, kind="string"):
@@ -199,3 +201,29 @@ def test_attributes(spark):
     assert got[0] == '{"plan":"Gold","n":2.0,"f":1.234568,"t":true,"list":["a",1]}'
     assert got[1:5] == ["{}", "{}", "{}", "{}"]
     assert got[5] == "{" + ",".join(f'"k{i}":{i}' for i in range(25)) + "}"
+
+
+def test_blocks_of_a_table(spark):
+    """The table form excludes what the list form does; broken blocks and addresses are passed over."""
+    blocks = ["10.0.0.0/8", "41.90.16.0/21", "41.90.12.9", " 192.0.2.77/30", "198.51.100.7/32", "2001:db8::/33", "2001:db9::1", "0.0.0.0/33", "x/8", "1.2.3.4/", "1.2.3.4/8/8", "", None]
+    ips = [f"41.90.{i}.{i}" for i in range(8, 34)] + ["10.255.0.1", "11.0.0.0", "41.90.12.9", "192.0.2.75", "192.0.2.76", "192.0.2.79", "192.0.2.80"]
+    ips += ["198.51.100.7", "198.51.100.6", "2001:DB8:7fff::1", "2001:db8:8000::1", "2001:db9::1", "2001:db9::2", "1.2.3.4", "nonsense", "", None, None]
+    df = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "i int, ip string")
+    table = spark.createDataFrame([(b,) for b in blocks], "block string")
+    kept = {r.i for r in geo.exclude_blocks(df, table).collect()}
+    assert kept == {r.i for r in network.exclude_ips(df, [b for b in blocks if b]).collect()} and 10 < len(kept) < len(ips)
+    assert geo.exclude_blocks(df, table.limit(0)).count() == len(ips)
+    everything = spark.createDataFrame([("0.0.0.0/0",)], "block string")
+    assert {r.ip for r in geo.exclude_blocks(df, everything).collect()} == {ip for ip in ips if ip is None or ":" in ip or ip in ("", "nonsense")}
+
+
+def test_sketches_of_active_visitors(spark):
+    """Thirty minutes of 2000 visitors each, a part of whom come again: within three standard errors of the exact number."""
+    rows = spark.range(60000).select(
+        F.timestamp_seconds(1704067200 + F.col("id") % 1800).alias("event_time"), F.concat(F.lit("v"), F.pmod(F.xxhash64("id"), F.lit(40000))).alias("visitor_key")
+    )
+    minute = F.window("event_time", "1 minute")
+    exact = {r.start: r.visitors for r in streams.active_of(rows.groupBy(minute, "visitor_key").agg(F.count("*").alias("payloads"))).collect()}
+    near = {r.start: r.visitors for r in streams.active_of_sketches(rows.groupBy(minute).agg(F.hll_sketch_agg("visitor_key", 12).alias("sketch"))).collect()}
+    assert near.keys() == exact.keys() and max(exact.values()) > 8000
+    assert all(abs(near[t] - n) <= 3 * 1.04 / 64 * n for t, n in exact.items())
