@@ -35,9 +35,12 @@ def keyed_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text", mi
 class LineRuns:
     """Which line hashes were seen, in how many documents, and the largest id that has them.
 
-    A batch adds one sorted run at level 0; ``fanout`` runs of a level are merged into one of the next, so a hash is
-    rewritten once a level and a look-up merges with few runs. Runs are Parquet folders below ``root`` and never
-    change once written; the list of live runs is ``paths``, which may be handed to a later object.
+    A batch is merged with the live runs by hash: hashes that no run holds (the anti-join) start their count, the
+    others carry it on, and what the batch holds becomes one sorted run of level 0. ``fanout`` runs of a level are merged
+    into one of the next, so a hash is rewritten once a level and a batch merges with few runs. As counts and largest
+    ids only grow, the greatest entry of a hash is its newest one, wherever compaction has put it. Runs are Parquet
+    folders below ``root`` and never change once written; the list of live runs is ``paths``, which may be handed to a
+    later object.
     """
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT, paths: list[tuple[int, str]] | None = None) -> None:
@@ -51,9 +54,9 @@ class LineRuns:
         run.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
         self.paths.append((level, path))
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema("h1 long, h2 long, n long, top long").parquet(*paths)
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    def _merge(self, paths: list[str], min_docs: int = 0) -> DataFrame:
+        runs = self.spark.read.schema("h1 long, h2 long, n long, top long").parquet(*paths).filter(F.col("n") >= min_docs)
+        return runs.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch's lines as a run. A document belongs to one batch, so counts of batches add up.
@@ -61,7 +64,13 @@ class LineRuns:
         A null id counts as no document and is below all others."""
         # First by document, then by line: a line that a third of all documents hold is spread over all tasks.
         per_doc = lines.select("h1", "h2", "id").distinct()
-        self._write(per_doc.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("top")), 0)
+        batch = per_doc.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").cast("long").alias("top"))
+        if self.paths:  # dealt by hash on both sides already: the join moves nothing
+            live = self.entries().select("h1", "h2", F.col("n").alias("had"), F.col("top").alias("had_top"))
+            batch = batch.join(live, ["h1", "h2"], "left").select(
+                "h1", "h2", (F.col("n") + F.coalesce("had", F.lit(0))).alias("n"), F.greatest("top", "had_top").alias("top")
+            )
+        self._write(batch, 0)
         level = 0
         while len(full := [p for v, p in self.paths if v == level]) >= self.fanout:
             merged = self._merge(full)
@@ -69,11 +78,11 @@ class LineRuns:
             self.paths = [x for x in self.paths if x[1] not in full]
             level += 1
 
-    def entries(self) -> DataFrame:
-        """All runs merged."""
+    def entries(self, min_docs: int = 0) -> DataFrame:
+        """All runs merged, or only the hashes that ``min_docs`` documents or more hold; others are not shuffled then."""
         if not self.paths:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long, top long")
-        return self._merge([p for _, p in self.paths])
+        return self._merge([p for _, p in self.paths], min_docs)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines that no run holds: each run is anti-joined in turn, the largest first."""
@@ -124,8 +133,8 @@ def dedupe_lines(
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of ``min_chars`` code
     points or more that ``min_docs`` distinct ids hold are repeated; all lines of such a key go, except in the
-    largest id. Batches of documents (by a hash of the id) are added as sorted runs, which are compacted by level; then
-    every document is merged with the compacted runs.
+    largest id. Batches of documents (by a hash of the id) are merged with the runs of earlier ones and added as sorted
+    runs, which are compacted by level; then every document is merged with the runs' repeated lines.
 
     A null or empty text is one empty line; a null text without dropped lines stays null. A null id counts as no
     document and never keeps a repeated line; rows that repeat an id count once and keep the same lines. Columns of any
@@ -143,7 +152,7 @@ def dedupe_lines(
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
     # Stored, so that the join below deals out both sides itself and can split the lines of a hot key.
-    repeated = stored(runs.entries().filter(F.col("n") >= min_docs).select("h1", "h2", "top"), "repeated")
+    repeated = stored(runs.entries(min_docs).select("h1", "h2", "top"), "repeated")
     dropped = lines.join(repeated, ["h1", "h2"]).filter(F.col("id").isNull() | (F.col("id") < F.col("top"))).select("doc", "line")
     return without_lines(docs, dropped, key, text_col)
 

@@ -20,6 +20,8 @@ TILE = 4096
 #: Segments of a vector at each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 SCALE = 1024
+#: Scores are held within 64 bits.
+LOW, HIGH = -(2**63), 2**63 - 1
 
 
 def segments(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,10 +45,16 @@ def block_top(q: np.ndarray, q_rid: np.ndarray, v: np.ndarray, v_rid: np.ndarray
     levels = [c for c in RESOLUTIONS if c < dims]
     # Inner products of integers are exact in floating point as long as they stay below 2^53.
     big = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, dims) >= 2.0**53
-    exact = (lambda a, b: np.array([sum(int(x) * int(y) for x, y in zip(r, b, strict=True)) for r in a], dtype=object)) if big else (lambda a, b: (a @ b).astype(np.int64))
+
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not big:
+            return (a @ b).astype(np.int64)
+        return np.array([min(HIGH, max(LOW, sum(x * y for x, y in zip(r, b.tolist(), strict=True)))) for r in a.tolist()], dtype=object)
+
     qf, vf = (q.astype(np.float64), v.astype(np.float64))
     q_stats, v_stats = [segments(qf, c) for c in levels], [segments(vf, c) for c in levels]
-    slack = 1e-9 * (np.linalg.norm(qf, axis=1) * np.linalg.norm(vf, axis=1).max(initial=0) + 1)
+    # Norms of what is left are differences of squares: rounding may lower them by some 1e-8 of the whole vector's norm.
+    slack = 1e-6 * (np.linalg.norm(qf, axis=1) * np.linalg.norm(vf, axis=1).max(initial=0) + 1)
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, object if big else np.int64))] * len(q)
 
     def keep(i: int, at: np.ndarray) -> None:
@@ -80,7 +88,7 @@ def block_top(q: np.ndarray, q_rid: np.ndarray, v: np.ndarray, v_rid: np.ndarray
                     s, r = v_stats[level][0][left], v_stats[level][1][left]
                     bound = s @ q_stats[level][0][i] + r @ q_stats[level][1][i] + slack[i]
                 if len(best[i][1]) >= k:
-                    left = left[bound >= float(best[i][1][-1])]
+                    left = left[np.maximum(bound, float(LOW)) >= float(best[i][1][-1])]
                 if not len(left):
                     break
             if len(left):
@@ -97,7 +105,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     shuffled again. In a group, upper bounds from segment means and deviations are computed coarse to fine and only
     what may still be among the k best is scored.
 
-    Vectors of another length than the query's are no candidates for it. Repeated rows are candidates each; a null id
+    Scores beyond 64 bits are held at the least or greatest long, and tie there; all others are exact, however large the
+    components. Vectors of another length than the query's are no candidates for it. Repeated rows are candidates each; a null id
     sorts last. With fewer than k candidates all are returned; empty tables give an empty result.
     """
     spark = queries.sparkSession
@@ -126,7 +135,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         rep = np.repeat(np.arange(len(q)), [len(b[0]) for b in best])
         return pd.DataFrame({
             "q_rid": q.rid.to_numpy()[rep], "query_id": q.id.astype("Int64").to_numpy()[rep], "vec_id": ids.iloc[at].to_numpy(),
-            "v_rid": v.rid.to_numpy()[at], "score": np.concatenate([b[1] for b in best]),
+            "v_rid": v.rid.to_numpy()[at], "score": np.concatenate([b[1] for b in best]).astype(np.int64),
         })
 
     keys = ["dims", "qb", "vb"]

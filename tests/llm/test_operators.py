@@ -48,7 +48,7 @@ def plain_top(rows, k):
     out = []
     for n, i, q in good:
         if i is not None and i % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0, m) for m, j, v in good if m != n and len(v) == len(q))
+            s = sorted((-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(q, v, strict=True)))), j is None, j or 0, m) for m, j, v in good if m != n and len(v) == len(q))
             out += [(i, r + 1, None if x[1] else x[2], -x[0]) for r, x in enumerate(s[:k])]
     return sorted(out, key=repr)
 
@@ -68,6 +68,18 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=20) * 10.0 ** (i % 4 * 3)).tolist()) for i in range(300)]  # scores from small to beyond 64 bits
+    rows += [(400, [1e9] * 20), (401, [-1e9] * 20), (402, [1e9] * 20), (500, [1e300] * 20), (501, [-1e300, *[0.0] * 19])]
+    df = spark.createDataFrame([(i, v) for i, v in rows if i < 500], "vec_id long, embedding array<double>").repartition(3)
+    v = topk.integer_vectors(df)
+    got = topk.top_k(v.filter("id % 100 = 0"), v, 10).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_top([r for r in rows if r[0] < 500], 10)
+    far = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.rank for r in topk.top_k(far.filter("id = 500"), far, 10).collect()} == set(range(1, 11))
+
+
 def test_topk_bounds_are_bounds():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-900, 900, (50, 33)).astype(float), rng.integers(-900, 900, (60, 33)).astype(float)
@@ -320,7 +332,7 @@ def test_line_dedup_equals_brute_force(spark):
     pool = [words(rng, 6) for _ in range(15)] + ["short", ""]
     rows = [(rng.randint(0, 60), "\n".join(rng.choice(["", " ", "\t"]) + rng.choice(pool) for _ in range(rng.randint(0, 9)))) for _ in range(120)] + ODD
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("doc", F.lit("x"))
-    for batches, fanout in ((1, 2), (5, 2)):
+    for batches, fanout in ((1, 2), (5, 2), (4, 9)):
         out = lines.dedupe_lines(docs, batches=batches, fanout=fanout).collect()
         got = sorted((r.doc_id or 0, r._n_lines, r._n_dropped, r.text or "") for r in out)
         assert got == sorted((i or 0, *x) for (i, _), x in zip(rows, brute.kept_lines(rows), strict=True))
@@ -338,6 +350,15 @@ def test_runs_hold_what_was_added(spark):
     assert [f"the line of batch {b} and no other" in new for b, new in enumerate(fresh)] == [True] * 4
     assert len(runs.paths) == 1 and runs.entries().count() == 3 + 4
     assert {r.n for r in runs.entries().collect()} == {4, 8, 4 * 2} | {4}
+    assert [(r.n, r.top) for r in runs.entries(5).collect()] == [(8, 33)]
+
+
+def test_batches_carry_on_the_counts_of_runs(spark):
+    runs = lines.LineRuns(spark, lines.shared_dir(spark, "test-runs"), fanout=4)
+    for b in range(3):
+        runs.add(lines.keyed_lines(spark.createDataFrame([(9 - b, f"{LONG}\nthe line of batch {b} and no other")], "doc_id long, text string")))
+    newest = spark.read.parquet(runs.paths[-1][1]).collect()
+    assert len(runs.paths) == 3 and sorted((r.n, r.top) for r in newest) == [(1, 7), (3, 9)]  # merged with both earlier runs
 
 
 # 8. language
