@@ -8,20 +8,25 @@ from dataclasses import dataclass
 from math import ceil, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.common import held_out, table
+from footfall.llm.common import held_out, stored, table
 
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams, and the n-gram lengths in bytes.
 DIMS = 1 << 13
 ORDERS = (1, 2, 3, 4)
-#: Documents of each language that a model is fitted on, about; a bound on what reaches the driver, with DIMS.
+#: Documents of each language that a model is fitted on, about.
 SAMPLE = 500
-#: Languages of a model.
-MAX_LANGUAGES = 500
+#: Sampled documents that one task fits on, about: a matrix of that many rows by DIMS is what it holds.
+GROUP_ROWS = 2048
+#: Buckets whose weights are one row while the groups' models are added up.
+SLICE = 256
+#: Languages up to which all pairs of codewords are compared.
+COMPARED = 2000
 CHUNK = 1 << 16
 #: A prediction whose share is below this is flagged.
 AMBIGUOUS = 0.4
@@ -53,7 +58,9 @@ def counts(text: str) -> np.ndarray:
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
-    """k rows of +1 and -1: all distinct splits of the languages when there are few, else the best of random codes."""
+    """k rows of +1 and -1: all distinct splits of the languages when there are few, else the best of random codes.
+
+    Of more than COMPARED languages the first code without equal rows is taken: random words of 10 log2(k) bits lie far apart."""
     if k <= 5:
         cols = [[1 if i == 0 or (c >> (i - 1)) & 1 else -1 for i in range(k)] for c in range(2 ** max(0, k - 1) - 1)]
         return np.array(cols, dtype=np.int8).T.reshape(k, -1)
@@ -63,8 +70,13 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         m = rng.choice(np.array([-1, 1], dtype=np.int8), (k, bits))
         if (np.abs(m.sum(axis=0)) == k).any():
             continue
-        gram = m.astype(np.int32) @ m.T.astype(np.int32)
-        apart = int((bits - np.max(gram - np.eye(k, dtype=np.int32) * 4 * bits)) // 2)
+        if k > COMPARED:
+            if len(np.unique(m, axis=0)) == k:
+                return m
+            continue
+        gram = m.astype(np.float32) @ m.T.astype(np.float32)  # whole numbers below 2^24: exact
+        np.fill_diagonal(gram, -4 * bits)
+        apart = int(bits - gram.max()) // 2
         if apart > most:
             best, most = m, apart
     return best
@@ -107,54 +119,79 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60
     return w, b
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` documents of each language, chosen by a hash of id and text.
-
-    Rows without a language or without a letter are not used. Each sampled text comes to the driver as counts of its
-    n-gram buckets, at most DIMS numbers, however long the text is.
-    """
-    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # at most MAX_LANGUAGES rows are used
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; at most {MAX_LANGUAGES} can be told apart")
-    if not sizes:
-        return Model([], np.zeros((0, 0)), np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
-    space = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col(lang_col) == lang, F.lit(space if n <= sample else space * sample // n)).otherwise(limit)
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit("fit"), id_col, text_col), F.lit(space)) < limit).limit(2 * sample * len(sizes))
+def _features(chosen: DataFrame) -> DataFrame:
+    """lang, key and the counts of n-gram buckets (at most DIMS of them, however long the text) of texts with a letter."""
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, idx, val = [], [], []
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            langs, keys, idx, val = [], [], [], []
+            for lang, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if _LETTER.search(text):
                     c = counts(text)
                     at = np.flatnonzero(c)
-                    langs.append(lang), idx.append(at.astype("<u2").tobytes()), val.append(c[at].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"])
+                    langs.append(lang), keys.append(key), idx.append(at.astype("<u2").tobytes()), val.append(c[at].astype("<u4").tobytes())
+            cols = [pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "key", "idx", "val"])
 
-    rows = chosen.select(lang_col, text_col).mapInArrow(featurize, "lang string, idx binary, val binary").collect()
-    languages = sorted({r.lang for r in rows})
-    code = codewords(len(languages))
-    if len(languages) < 2:
-        return Model(languages, np.zeros((len(languages), 0)), np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
+    return chosen.select("lang", "key", "text").mapInArrow(featurize, "lang string, key long, idx binary, val binary")
+
+
+def _fit_rows(rows: pd.DataFrame, languages: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of buckets, biases and the share of rows told right, of every bit, from one group of rows."""
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.idx, "<u2")] = np.frombuffer(r.val, "<u4")
+    for i, (idx, val) in enumerate(zip(rows.idx, rows.val, strict=True)):
+        x[i, np.frombuffer(idx, "<u2")] = np.frombuffer(val, "<u4")
     x /= x.sum(axis=1, keepdims=True)
-    mean = x.mean(axis=0)
-    scale = 1.0 / np.sqrt(mean + 1e-6)  # common buckets are held back
+    scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-6)  # common buckets are held back
     x *= scale
-    lang = np.array([languages.index(r.lang) for r in rows])
+    number = {name: i for i, name in enumerate(languages)}
+    lang = np.array([number[name] for name in rows.lang])
     y = code[lang].astype(np.float32)
     size = np.bincount(lang, minlength=len(languages))
-    weight = (1.0 / size[lang] / len(languages)).astype(np.float32)
+    weight = (1.0 / size[lang] / np.count_nonzero(size)).astype(np.float32)
     w, b = _logistic(x, y, weight, 300)
-    right = ((np.sign(x @ w + b) == y) * weight[:, None]).sum(axis=0)
+    return w * scale[:, None], b, ((np.sign(x @ w + b) == y) * weight[:, None]).sum(axis=0)
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """A model from about ``sample`` documents of each language, chosen by a hash of id and text; repeated rows count once.
+
+    Rows without a language or without a letter are not used. Any number of languages can be told apart. The sampled
+    texts, as counts of n-gram buckets, are dealt into groups of about GROUP_ROWS; a task fits all bits on its group, and
+    the mean of the groups' weights is the model. The driver gets that mean, DIMS by 10 log2(languages) numbers, and the
+    names of the languages.
+    """
+    space = 1 << 30
+    usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("fit"), id_col, text_col).alias("key"))
+    usable = usable.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    limits = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"least({space}L, {space * sample}L div n)").alias("limit"))
+    chosen = usable.join(limits, "lang").filter(F.pmod("key", F.lit(space)) < F.col("limit")).dropDuplicates(["lang", "key"])
+    rows = stored(_features(chosen), "features")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    code = codewords(len(languages)) if languages else np.zeros((0, 0))
+    bits = code.shape[1]
+    if len(languages) < 2:
+        return Model(languages, np.zeros((len(languages), 0)), np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
+    total = rows.count()
+
+    def one_group(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lang", "key"])  # rows come in any order
+        w, b, right = _fit_rows(part, languages, code)
+        n = len(part)
+        out = [(at, (w[at : at + SLICE] * n).astype("<f8").tobytes()) for at in range(0, DIMS, SLICE)]
+        return pd.DataFrame([*out, (-1, (np.stack([b, right]) * n).astype("<f8").tobytes())], columns=["at", "part"])
+
+    def add_up(parts: pd.DataFrame) -> pd.DataFrame:
+        added = sum(np.frombuffer(p, "<f8") for p in sorted(parts.part))
+        return pd.DataFrame({"at": parts["at"].iloc[:1], "part": [added.tobytes()]})
+
+    group = F.pmod(F.xxhash64(F.lit("group"), "key"), F.lit(-(-total // GROUP_ROWS)))
+    fitted = rows.withColumn("group", group).groupBy("group").applyInPandas(one_group, "at int, part binary")
+    mean = {r["at"]: np.frombuffer(r.part, "<f8").reshape(-1, bits) / total for r in fitted.groupBy("at").applyInPandas(add_up, "at int, part binary").collect()}
+    weights = np.concatenate([mean[at] for at in range(0, DIMS, SLICE)])
+    bias, right = mean[-1]
     trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
-    return Model(languages, code, (w * scale[:, None]).astype(np.float32), b.astype(float), trust / trust.mean())
+    return Model(languages, code, weights.astype(np.float32), bias.copy(), trust / trust.mean())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -384,10 +384,33 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, one).collect()} == {"und", "zz"}
 
 
-@pytest.mark.parametrize("k", [2, 3, 4, 5, 6, 30])
+def test_language_many_languages_in_groups(spark, monkeypatch):
+    """More languages than the 500 of old, fitted in several tasks; repeated rows change nothing."""
+    monkeypatch.setattr(langid, "GROUP_ROWS", 400)
+    rng = random.Random(10)
+    own = {f"l{k}": [words(rng, 1, "abcdefghijklmnopqrstuvwxyz") for _ in range(12)] for k in range(520)}
+    rows = [(n, " ".join(rng.choice(v) for _ in range(40)), k) for n, (k, v) in enumerate((k, v) for k, v in own.items() for _ in range(2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.repartition(3))
+    assert model.languages == sorted(own) and model.weights.shape == (langid.DIMS, model.code.shape[1])
+    test = spark.createDataFrame([(n, " ".join(rng.choice(v) for _ in range(40)), k) for n, (k, v) in enumerate(own.items())], docs.schema)
+    got = langid.identify(test, model).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.9
+
+
+def test_language_repeated_rows_count_once(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 20, a), lang) for i in range(30) for a, lang in (("abcde", "aa"), ("mnopq", "bb"))]
+    schema = "doc_id long, text string, lang string"
+    once, often = (langid.fit(spark.createDataFrame(r, schema)) for r in (rows, rows + rows[:1] * 200))
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.trust, often.trust)
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 6, 30, 2500])
 def test_codewords_differ(k):
     c = langid.codewords(k).astype(int)
-    apart = min((c[a] != c[b]).sum() for a in range(k) for b in range(a))
+    gram = (c.astype(np.float32) @ c.T.astype(np.float32))[np.tril_indices(k, -1)]
+    apart = int(c.shape[1] - gram.max()) // 2
     assert apart >= max(1, c.shape[1] // 4) and (np.abs(c.sum(axis=0)) < k).all()
 
 
