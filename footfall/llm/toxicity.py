@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,12 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.common import held_out, table
+from footfall.llm.common import held_out, stored, table
 
 #: Labelled documents of each class that a model is fitted on, about.
 SAMPLE = 10_000
-#: Entries of a lexicon and of its exceptions.
-MAX_TERMS = 20_000
 #: Toxic documents of each half in which a term must occur, and clean documents that an exception needs.
 SUPPORT = 3
 #: Standard errors by which a term's log odds are lowered; what remains in the worse half, if over 1, is its weight.
@@ -29,15 +28,24 @@ _LOOKS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
     "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "α": "a", "β": "b", "ε": "e",
     "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "i", "ø": "o",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i", "|": "i",
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i", "|": "i", "_": " ",
 }
 _FOLD = str.maketrans(_LOOKS)
-_FULLWIDTH = {0xFF41 + i: chr(97 + i) for i in range(26)}
-_WORD = re.compile(r"[^\W_]+")
+#: Accents once they are apart from their letters, soft hyphens, zero-width and direction signs, variation selectors.
+_HIDDEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+#: Three or more letters that stand alone, with up to three blanks or signs between them: a word spelled out.
+_SPELLED = re.compile(r"\b\w(?:\W{1,3}\w){2,}\b")
+_WORD = re.compile(r"\w+")
 
 
 def folded_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower().translate(_FULLWIDTH).translate(_FOLD))
+    """The words of a text after folding: compatibility forms and accents to plain letters, hidden signs away, look-alike
+    letters, digits and signs to the Latin letters they stand for, words that are spelled out joined."""
+    text = text or ""
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
+    folded = text.lower().translate(_FOLD)
+    return _WORD.findall(_SPELLED.sub(lambda m: "".join(_WORD.findall(m[0])), folded))
 
 
 @dataclass
@@ -129,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A lexicon from about ``sample`` labelled documents of each class, chosen by a hash of the id.
 
     Terms are whole words and word beginnings of 4 to 8 letters that occur in SUPPORT toxic documents or more of either
-    half of the sample and whose log odds are surely above one in both; exceptions are pairs of words around a term that occur in clean documents and
-    hardly in toxic ones. Labels that are null, repeated (the highest counts) or without a document are allowed; with
+    half of the sample and whose log odds are surely above one in both; exceptions are pairs of words around a term that
+    occur in clean documents and hardly in toxic ones. Both are as many as the sample has. The sampled rows are stored
+    once; rows that repeat id and text count once. Labels that are null, repeated (the highest counts) or without a document are allowed; with
     one class or none the lexicon is empty.
     """
     each = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("y"))
@@ -140,9 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon({}, frozenset(), (4.0 if rate else -4.0, 0.0, 0.0))
     space = 1 << 30
     limit = F.when(F.col("y"), F.lit(min(space, space * sample // sizes[True]))).otherwise(F.lit(min(space, space * sample // sizes[False])))
-    # At most 4 * sample rows of an id and a flag: this is what is broadcast.
-    chosen = each.filter(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(space)) < limit).limit(4 * sample)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col).select("_text", "y")
+    # About 2 * sample rows of an id and a flag, whatever the table: this is what is broadcast.
+    chosen = each.filter(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(space)) < limit)
+    found = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)
+    rows = stored(found.distinct().select("_text", "y"), "labelled")
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({}, frozenset(), (-4.0, 0.0, 0.0))
@@ -169,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         odds = F.log((p + 0.5) / (np_ - p + 0.5)) - F.log((q + 0.5) / (nq - q + 0.5))
         return odds - SURE * F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
 
-    sure = counted.select("term", F.least(low(0), low(1)).alias("low")).filter("low > 1").orderBy(F.desc("low"), "term").limit(MAX_TERMS)
+    sure = counted.select("term", F.least(low(0), low(1)).alias("low")).filter("low > 1")
     weights = {r.term: float(r.low) for r in sure.collect()}
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(ys, pa.bool_())], ["phrase", "y"])
 
     near = rows.mapInArrow(phrases, "phrase string, y boolean").groupBy("phrase").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    harmless = near.filter((neg >= SUPPORT) & (neg / n[False] > 4 * pos / n[True])).orderBy(F.desc("neg"), "phrase").limit(MAX_TERMS)
+    harmless = near.filter((neg >= SUPPORT) & (neg / n[False] > 4 * pos / n[True]))
     exceptions = frozenset(r.phrase for r in harmless.collect())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cols = [pa.array([float(g[i]) for g in got], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, b.column(1)], ["total", "top", "words", "y"])
 
-    at = rows.mapInArrow(sums, "total double, top double, words double, y boolean").limit(40 * sample).toPandas()
+    at = rows.mapInArrow(sums, "total double, top double, words double, y boolean").toPandas()  # a row of numbers for each sampled one
     return Lexicon(weights, exceptions, _calibrate(at[["total", "top", "words"]].to_numpy(float), at.y.to_numpy(float)))
 
 

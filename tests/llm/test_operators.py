@@ -283,6 +283,44 @@ def test_toxicity_learns_and_folds(spark):
     assert toxicity.score(empty_docs(spark), lex).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "zörgon", "ZO\u0301RGON", "zor\u200bgon", "z\u00adorgon", "z.o.r.g.o.n", "z o r g o n", "Z_0_r-g * o, n", "ｚｏｒｇｏｎ", "zоrgοn", "𝐳𝐨𝐫𝐠𝐨𝐧", "(zorgon)",
+])
+def test_toxicity_folding(text):
+    for whole in (text, f"the {text} there", f"ab {text}, cd {text}."):
+        assert toxicity.folded_words(whole).count("zorgon") == whole.count(text)
+    assert toxicity.folded_words("a plan b of x") == ["a", "pian", "b", "of", "x"]
+
+
+def test_toxicity_folding_of_long_texts():
+    assert len(toxicity.folded_words("a b " * 200_000)) == 1 and len(toxicity.folded_words("ab c " * 200_000)) == 400_000
+    assert toxicity.folded_words("a" + "." * 500_000 + "b") == ["a", "b"]
+
+
+def plain_toxicity(text, lex):
+    """Looks every word up, without an automaton."""
+    w = toxicity.folded_words(text)
+    got = []
+    for i, x in enumerate(w):
+        terms = [lex.weights[t] for t in {x, *(x[:k] + "*" for k in range(1, len(x) + 1))} if t in lex.weights]
+        if terms and not {" ".join(w[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(w) - 1} & lex.exceptions:
+            got.append(max(terms))
+    z = lex.coef[0] + lex.coef[1] * max(got, default=0.0) + lex.coef[2] * sum(got) / np.sqrt(len(w) + 1.0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_query_equals_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lex = toxicity.fit(docs, labels.filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 <> 2"))
+    got = toxicity.op5_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    assert len(got) == docs.count() and lex.weights
+    want = np.array([plain_toxicity(t, lex) for t in got.text])
+    assert np.abs(got.score - want).max() < 1e-6 and (got.predicted == (got.score >= 0.3)).all()
+    test = got[got.held_out].merge(labels.toPandas()[["doc_id", "toxic"]], on="doc_id")
+    assert (test.predicted == test.toxic).mean() > 0.9  # some 60 toxic documents to learn from
+
+
 def test_toxicity_exceptions():
     weights = {"zorgon": 3.0, "zorg*": 2.0}
     assert toxicity.measure("the zorgon is", weights, frozenset()) == (3.0, 3.0, 3)
