@@ -165,6 +165,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("fit"), id_col, text_col).alias("key"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     limits = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"least({space}L, {space * sample}L div n)").alias("limit"))
+    limits = stored(limits, "limits")  # a row a language of known size: Spark broadcasts it up to its own limit, so texts stay where they are
     chosen = usable.join(limits, "lang").filter(F.pmod("key", F.lit(space)) < F.col("limit")).dropDuplicates(["lang", "key"])
     rows = stored(_features(chosen), "features")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
