@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Class of the state store that processors need.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -127,26 +127,35 @@ class LiveSessions(StatefulProcessor):
 
 
 class MinuteLimit(StatefulProcessor):
-    """The first ``most`` payloads of a visitor's minute; the count is dropped when the watermark has passed the minute."""
+    """The first ``most`` payloads of each visitor's minute. A key is a minute and a bucket of visitors, whose counts are one value,
+    so that the calls to the store do not grow with the visitors; it is dropped when the watermark has passed the minute."""
 
     def __init__(self, most: int) -> None:
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", StructType([StructField("n", LongType())]))
+        counts = [StructField("visitors", ArrayType(StringType())), StructField("used", ArrayType(LongType()))]
+        self.counts = handle.getValueState("counts", StructType(counts))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used = self.used.get()[0] if self.used.exists() else 0
-        if not used:
+        used: dict[str | None, int] = {}
+        if self.counts.exists():
+            used.update(zip(*self.counts.get(), strict=True))
+        else:
             self.handle.registerTimer((int(key[1]) + 1) * 60_000)
         new = pd.concat(list(rows)).sort_values(["received_at", "payload_id"])
-        self.used.update((int(used + len(new)),))
-        kept = new.head(max(0, self.most - used))
-        yield pd.DataFrame({"payload_id": kept["payload_id"], "visitor_key": kept["visitor_key"]})
+        kept = []
+        for v in new["visitor_key"].tolist():
+            v = v if isinstance(v, str) else None  # pandas may give a null as NaN, which equals nothing
+            had = used.get(v, 0)
+            used[v] = had + 1
+            kept.append(had < self.most)
+        self.counts.update((list(used), list(used.values())))
+        yield new.loc[kept, ["payload_id", "visitor_key"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.used.clear()
+        self.counts.clear()
         return iter(())
 
     def close(self) -> None:

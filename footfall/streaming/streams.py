@@ -23,6 +23,8 @@ from footfall.sources.visitors import FirstSeen
 from footfall.streaming.processors import ROCKSDB, FirstSession, LiveSessions, MinuteLimit, RageClicks
 
 LATE = "10 minutes"
+#: Buckets of visitors that a minute's counts lie in: each is a key of the state, and a minute is at most so many.
+LIMIT_BUCKETS = 16
 
 
 def stream_hits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -219,15 +221,16 @@ def top_of(minutes: DataFrame, key: str, limit: int = 6, span: int = 30) -> Data
 
 
 def stream_rate_limit(payloads: DataFrame, per_minute: int = 120, late: str = LATE) -> DataFrame:
-    """Payloads that pass the limit of their visitor's fixed minute; the count per minute is the state."""
+    """Payloads that pass the limit of their visitor's fixed minute; the counts of a minute and a bucket of visitors are the state."""
     use_rocksdb(payloads.sparkSession)
     slim = payloads.select(
-        "payload_id", "visitor_key", "received_at", F.floor(epoch_seconds("received_at") / 60).alias("minute")
+        "payload_id", "visitor_key", "received_at", F.floor(epoch_seconds("received_at") / 60).alias("minute"),
+        F.pmod(F.xxhash64("visitor_key"), F.lit(LIMIT_BUCKETS)).alias("bucket"),
     )
     kind = payloads.schema["payload_id"].dataType.simpleString()
     return (
         _timed(slim, "received_at", late)
-        .groupBy("visitor_key", "minute")
+        .groupBy("bucket", "minute")
         .transformWithStateInPandas(MinuteLimit(per_minute), f"payload_id {kind}, visitor_key string", "append", "EventTime")
     )
 
