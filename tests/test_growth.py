@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from footfall.operators import rollup
 from footfall.streaming import streams
 
 
@@ -46,3 +47,26 @@ def test_rate_limit_keeps_a_key_a_minute_and_bucket_not_one_a_visitor(spark, tmp
     assert set(got) - set(want) == set() == set(want) - set(got) and len(got) == len(want)
     most = max(op.numRowsTotal for p in q.recentProgress for op in p.stateOperators)
     assert 0 < most <= 4 * 2 * streams.LIMIT_BUCKETS  # a count and its timers for each key; 302 visitor minutes
+
+
+def test_dimensions_shuffle_sessions_not_their_labels(spark):
+    """Sessions are dealt once by day and visitor; what is made of them is grouped where it is, with the right counts."""
+    labels = {c: "x" for c in ("channel", "utm_source", "utm_medium", "utm_campaign", "referrer_domain", "landing_path", "country", "region", "city",
+                               "device_type", "browser", "os", "language", "viewport")}
+    rows = [(i, f"v{i % 7}", i * 3600, i % 2, 1, 5, i % 3 == 0) for i in range(60)]
+    s = spark.createDataFrame(rows, "session_id long, visitor_key string, second long, is_engaged int, pageviews long, engaged_seconds long, back boolean")
+    s = s.select("*", *[F.lit(v).alias(c) for c, v in labels.items()], F.lit(0).cast("bigint").alias("conversions"),
+                 F.timestamp_seconds(F.col("second") + 1_704_067_200).cast("timestamp_ntz").alias("started_at"), F.col("back").cast("int").alias("is_returning"))
+    e = spark.createDataFrame([], "session_id long, occurred_at timestamp_ntz, is_conversion int, event_value_base decimal(18,4)")
+    per = rollup.dimension_visitors(s, e, "UTC")
+    assert per.count() <= 60  # a session has at most a row, not fifteen
+    got = {(str(r.day), r.dimension, r.value): (r.sessions, r.visitors, r.engaged_sessions) for r in rollup.dimensions_of(per).collect()}
+    want = {}
+    for i, v, second, engaged, *_, back in rows:
+        day = f"2024-01-{1 + second // 86400:02d}"
+        for key in ((day, "channel", "x"), (day, "visitor_type", "returning" if back else "new")):
+            n, seen, m = want.get(key, (0, set(), 0))
+            want[key] = (n + 1, seen | {v}, m + engaged)
+    for key, (n, seen, m) in want.items():
+        assert got[key] == (n, len(seen), m)
+    assert {d for _, d, _ in got} == set(rollup.DIMENSIONS)
