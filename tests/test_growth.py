@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from footfall.operators import rollup
+from footfall.operators import admit, rollup
+from footfall.settings import Settings
 from footfall.streaming import streams
 
 
@@ -70,3 +71,30 @@ def test_dimensions_shuffle_sessions_not_their_labels(spark):
     for key, (n, seen, m) in want.items():
         assert got[key] == (n, len(seen), m)
     assert {d for _, d, _ in got} == set(rollup.DIMENSIONS)
+
+
+def _payloads(spark, n: int):
+    i = F.col("id")
+    return spark.range(n).select(
+        i.alias("payload_id"), F.when(i % 11 > 0, F.concat(F.lit("v"), i % 7)).alias("visitor_key"), F.lit(1).cast("bigint").alias("n_events"),
+        F.timestamp_seconds(1_704_067_200 + (i * i * 37) % 400_000).cast("timestamp_ntz").alias("received_at"), (i % 2 == 0).alias("has_pageview"),
+        F.when(i % 13 == 0, "a").otherwise("").alias("utm_source"), F.lit("").alias("utm_medium"), F.lit("").alias("utm_campaign"),
+        F.when(i % 17 == 0, "gclid").otherwise("").alias("click_id_type"), F.lit(0).cast("bigint").alias("heartbeat"), F.lit(0).cast("bigint").alias("n_heat"),
+    )
+
+
+def test_stored_rows_are_ranked_only_in_crowded_minutes(spark):
+    """The rate limit of the write path on stored rows is that of ``admit``, a visitor without key and refused rows included."""
+    rows = _payloads(spark, 900).withColumns({
+        "received_at": F.timestamp_seconds(1_704_067_200 + F.col("payload_id") % 300).cast("timestamp_ntz"),
+        "user_agent": F.when(F.col("payload_id") % 5 == 0, "Googlebot/2.1").otherwise("Mozilla/5.0 (X11; Linux x86_64) Firefox/132.0"),
+        "wd": F.lit(False), "dnt": F.lit(False), "gpc": F.lit(False), "ip": F.lit("10.0.0.1"), "host": F.lit("site.example"), "page_path": F.lit("/"),
+    })
+    s = Settings(hosts=("site.example",))
+    for most in (1000, 9):
+        early = admit.with_early_reason(rows, s)
+        want = {r.payload_id: r.reason for r in admit.admit(rows, s, per_minute=most).collect()}
+        quick = admit.admit_stored(early, s, most)
+        assert {r.payload_id: r.reason for r in quick.collect()} == want and len(want) == quick.count() == 900
+        assert ("rate_limited" in want.values()) == (most == 9)
+        assert ("Window" in quick._jdf.queryExecution().executedPlan().toString()) is False  # none, or stored
