@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import random
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from footfall.operators import admit, rollup
+from footfall.operators import admit, rollup, sessions
 from footfall.settings import Settings
 from footfall.streaming import streams
 
@@ -83,6 +84,22 @@ def _payloads(spark, n: int):
     )
 
 
+def test_calm_visitors_are_dealt_once(spark, monkeypatch):
+    """Only the slices of busy visitors are joined to the rows; a calm table is not dealt by slice first. Sessions are the same."""
+    monkeypatch.setattr(sessions, "_stretches", partial(sessions._stretches, busy_rows=50))
+    rows = _payloads(spark, 800)
+    split = {r.payload_id: r.session_id for r in sessions.sessionize(rows).collect()}
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        calm = sessions.sessionize(rows)
+        plan = calm._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    assert {r.payload_id: r.session_id for r in calm.collect()} == split and len(split) == 800 and len(set(split.values())) > 20
+
+
 def test_stored_rows_are_ranked_only_in_crowded_minutes(spark):
     """The rate limit of the write path on stored rows is that of ``admit``, a visitor without key and refused rows included."""
     rows = _payloads(spark, 900).withColumns({
