@@ -16,6 +16,9 @@ from footfall.runtime import scratch_dir, stored
 from footfall.sources import sample
 from footfall.sources.tables import append_events, append_sessions
 
+#: Columns of the sample that neither sessions nor events are made of; they need not be dealt with the payloads.
+SPENT = ["event_id", "user_id", "k", "value", "pv"]
+
 _built: dict[tuple[str, str], "Warehouse"] = {}
 
 
@@ -39,7 +42,7 @@ class Warehouse:
 
     def _raw(self, name: str) -> DataFrame:
         if name not in self._tables:
-            linked = stored(linked_payloads(self.spark, self.sf_dir), "linked")
+            linked = stored(linked_payloads(self.spark, self.sf_dir).drop(*SPENT), "linked")
             append_sessions(session_rows(linked), f"{self.root}/sessions")
             append_events(
                 sample.event_rows(linked, sample.fx_rates(self.spark, self.sf_dir)), f"{self.root}/events"

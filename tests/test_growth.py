@@ -9,8 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from footfall.operators import admit, rollup, sessions
+from footfall.checks import warehouse
+from footfall.operators import admit, geo, rollup, sessions
 from footfall.settings import Settings
+from footfall.sources import sample
 from footfall.streaming import streams
 
 
@@ -115,3 +117,29 @@ def test_stored_rows_are_ranked_only_in_crowded_minutes(spark):
         assert {r.payload_id: r.reason for r in quick.collect()} == want and len(want) == quick.count() == 900
         assert ("rate_limited" in want.values()) == (most == 9)
         assert ("Window" in quick._jdf.queryExecution().executedPlan().toString()) is False  # none, or stored
+
+
+def test_few_places_are_handed_out_and_rows_are_not_dealt_by_address(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("10.0."), F.col("id") % 40, F.lit(".7")).alias("ip"), F.col("id"))
+    ranges = spark.createDataFrame([(f"10.0.{i}.0", f"10.0.{i}.255", "KE", f"R{i}", "") for i in range(30)], "start_ip string, end_ip string, country string, region string, city string")
+    found = geo.geo_lookup(rows, ranges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r.id: (r.country, r.region) for r in found.collect()}
+    assert got == {i: ("KE", f"R{i % 40}") if i % 40 < 30 else ("", "") for i in range(3000)}
+
+
+def test_payloads_are_dealt_without_what_nobody_reads(spark, monkeypatch, tmp_path):
+    """The warehouse deals no column that its tables are not made of, and hits are dealt as events, before they are wide."""
+    kinds = ("view", "click", "signup", "purchase", "error")
+    rows = [(i, 60 * i, i % 5, kinds[i % 5], float(i % 90), f'{{"k": {i % 97}}}') for i in range(400)]
+    e = spark.createDataFrame(rows, "event_id long, second long, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.timestamp_seconds(F.col("second") + 1_704_067_200).cast("timestamp_ntz")).drop("second").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen, stored = [], warehouse.stored
+    monkeypatch.setattr(warehouse, "stored", lambda df, name: seen.append(set(df.columns)) or stored(df, name))
+    w = warehouse.Warehouse(spark, str(tmp_path))
+    assert w.sessions.count() > 10 and w.events.count() > 300
+    assert not seen[0] & {"event_id", "user_id", "k", "value", "pv"}
+    dealt = sample.raw_hits(spark, str(tmp_path), deal=True)
+    assert "RoundRobinPartitioning" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, sample.raw_hits(spark, str(tmp_path)).collect()))
