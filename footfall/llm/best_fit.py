@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stored, table
-from footfall.llm.tokens import encoder
+from footfall.llm.common import shared_dir, stored, table
+from footfall.llm.tokens import encoder, file_system
 
 LENGTH = 1024
 #: Documents that are encoded or placed at once.
@@ -133,6 +133,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int =
     return stored(slim.mapInArrow(run, "part int, size int, rank long, k long, piece int, start long, ids binary"), "pieces")
 
 
+def write_bases(shares: DataFrame, path: str) -> None:
+    """Where the numbers of a part's pieces begin, by size: after those of the parts before it. A folder for each part."""
+    base = shares.selectExpr("part", "size", "sum(n) OVER (PARTITION BY size ORDER BY part) - n AS base")
+    base.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
+
+
+def bases_of(path: str, part: int, length: int) -> np.ndarray:
+    """The part's bases by size, of at most ``length`` sizes."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, root = file_system(f"{path}/part={part}")
+    out = np.zeros(length + 1, dtype=np.int64)
+    for f in fs.get_file_info(pafs.FileSelector(root)):
+        if f.path.endswith(".parquet"):
+            t = pq.ParquetFile(fs.open_input_file(f.path)).read(["size", "base"])
+            out[t["size"].to_numpy()] = t["base"].to_numpy()
+    return out
+
+
 def pack_best_fit(
     docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -141,8 +161,8 @@ def pack_best_fit(
     A document is its ids and ``end_id``. Documents over ``length`` are cut into pieces of that length, of which the
     first is what is over; no other is cut. Pieces are placed by best-fit decreasing over the whole corpus: texts are encoded
     where they are read and given a number among the pieces of their size; the counts by size, at most ``length``
-    numbers, give the places of all numbers on the driver (``best_fit``). Nothing is sorted; a row per part and size tells
-    where the part's numbers begin, and Spark broadcasts these rows or, beyond its limit, shuffles by part and size.
+    numbers, give the places of all numbers on the driver (``best_fit``). Pieces are neither sorted nor shuffled: a small file
+    for each part tells where its numbers begin, and a task reads those of the parts it places.
     Sequences are numbered from 0 without gaps, and places in them follow each other without gaps. ``ids`` are
     little-endian unsigned 32-bit integers.
 
@@ -153,14 +173,20 @@ def pack_best_fit(
     pieces = token_pieces(docs, tokenizer, end_id, length, key, text_col)
     shares = pieces.filter("start is null").select("part", "size", F.col("rank").alias("n"))
     counts = {r["size"]: r.n for r in shares.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most length rows
-    # Numbers of a part's pieces begin where those of the parts before it end: a running sum over parts, by size.
-    base = stored(shares.selectExpr("part", "size", "sum(n) OVER (PARTITION BY size ORDER BY part) - n AS base"), "bases")
+    bases = shared_dir(docs.sparkSession, "bases")
+    write_bases(shares, bases)
     moves = {size: np.array(m, dtype=np.int64).reshape(-1, len(Move._fields)) for size, m in best_fit(counts, length).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, base = None, None
         for whole in batches:
             for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
-                size, rank = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
+                size, rank, parts = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().copy(), b.column(6).to_numpy()
+                for part in np.unique(parts):
+                    if part != held:
+                        held, base = part, bases_of(bases, part, length)
+                    here = parts == part
+                    rank[here] += base[size[here]]
                 bin_, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
                 for s in np.unique(size):
                     own = size == s
@@ -176,8 +202,8 @@ def pack_best_fit(
                 cols = [*b.columns[:3], pa.array(size), packed, pa.array(bin_), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(cols, ["k", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    placed = pieces.filter("start is not null").join(base, ["part", "size"])
-    return placed.select("k", "piece", "start", "size", (F.col("base") + F.col("rank")).alias("rank"), "ids").mapInArrow(
+    placed = pieces.filter("start is not null")
+    return placed.select("k", "piece", "start", "size", "rank", "ids", "part").mapInArrow(
         run, "k long, piece int, start long, length long, ids binary, sequence_id long, offset long"
     )
 

@@ -112,6 +112,27 @@ def test_best_fit_query(spark):
         assert mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length, strict=True)]
 
 
+def test_best_fit_places_pieces_where_they_are(spark):
+    """Pieces are not dealt again to be placed, whatever the broadcast limit; numbers go on over many parts, empty ones too."""
+    texts = [None if i % 9 == 0 else "word " * (i % 40) + "x" * (i % 3) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(23)
+    docs = docs.unionByName(docs.where("doc_id < 0"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        packed = best_fit.pack_best_fit(docs, BPE, length=64)
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        out = packed.toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(set(out.k)) == list(range(300))
+    ordered = out.sort_values(["sequence_id", "offset"])
+    per = ordered.groupby("sequence_id").length
+    assert (ordered.offset == per.cumsum() - ordered.length).all() and per.sum().max() <= 64
+    assert out.sequence_id.nunique() == len(plain_best_fit(out.length.tolist(), 64)) == out.sequence_id.max() + 1
+
+
 # 12. periodic runs
 
 
