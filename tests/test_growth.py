@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from footfall.checks import warehouse
-from footfall.operators import admit, geo, rollup, sessions
+from footfall.operators import admit, geo, rollup, scans, sessions
 from footfall.settings import Settings
 from footfall.sources import sample
 from footfall.streaming import streams
@@ -143,3 +143,28 @@ def test_payloads_are_dealt_without_what_nobody_reads(spark, monkeypatch, tmp_pa
     dealt = sample.raw_hits(spark, str(tmp_path), deal=True)
     assert "RoundRobinPartitioning" in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, dealt.collect())) == sorted(map(str, sample.raw_hits(spark, str(tmp_path)).collect()))
+
+
+def test_dimensions_of_more_sessions_take_more_tasks(spark, monkeypatch):
+    """The rows of a task are bounded, not the tasks; the counts are those of the usual dealing, signs included."""
+    s = spark.range(400).select(
+        F.col("id").alias("session_id"), F.concat(F.lit("v"), F.col("id") % 50).alias("visitor_key"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 600).cast("timestamp_ntz").alias("started_at"),
+        *[F.concat(F.lit(c), F.col("id") % 3).alias(c) for c in (
+            "channel", "utm_source", "utm_medium", "utm_campaign", "referrer_domain", "landing_path", "country", "region", "city",
+            "device_type", "browser", "os", "language", "viewport")],
+        *[F.lit(1).cast("bigint").alias(c) for c in ("pageviews", "engaged_seconds", "conversions")],
+        (F.col("id") % 2).cast("int").alias("is_engaged"), F.lit(None).cast("int").alias("is_returning"),
+        F.when(F.col("id") % 8 == 7, -1).otherwise(1).alias(rollup.SIGN),
+    ).localCheckpoint()
+    e = s.select("session_id", F.col("started_at").alias("occurred_at"), F.lit(1).alias("is_conversion"), F.lit(2).cast("decimal(18,4)").alias("event_value_base"))
+
+    def run():
+        per = rollup.dimension_visitors(s, e, "UTC")
+        again = rollup.merge_part("dimension_visitors", per)
+        return [d.rdd.getNumPartitions() for d in (per, again)], sorted(map(str, rollup.dimensions_of(again).collect()))
+
+    few, want = run()
+    monkeypatch.setattr(scans, "TASK_ROWS", 1)
+    many, got = run()
+    assert got == want and many[0] >= 400 > max(few) and many[1] > max(few)
