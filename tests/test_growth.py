@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from footfall.checks import warehouse
+from footfall.checks import queries, warehouse
 from footfall.operators import admit, geo, rollup, scans, sessions
 from footfall.settings import Settings
 from footfall.sources import sample
@@ -168,3 +168,14 @@ def test_dimensions_of_more_sessions_take_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(scans, "TASK_ROWS", 1)
     many, got = run()
     assert got == want and many[0] >= 400 > max(few) and many[1] > max(few)
+
+
+def test_files_of_a_run_grow_with_its_rows_and_are_as_many_for_all_runs(spark, monkeypatch):
+    """The three runs of the stream are written by more tasks the more rows they have; the smallest run tells how many."""
+    days = {"2024-01-05": 700, "2024-01-18": 500, "2024-01-25": 900}
+    rows = [(n, day) for day, k in days.items() for n in range(k)]
+    hits = spark.createDataFrame(rows, "payload_id long, day string").withColumn("received_at", F.col("day").cast("timestamp_ntz"))
+    monkeypatch.setattr(queries, "STREAM_ROWS", 50)
+    assert queries.files_a_run(hits) == 10
+    monkeypatch.setattr(queries, "STREAM_ROWS", 10**6)
+    assert queries.files_a_run(hits) == queries.files_a_run(hits.limit(0)) == queries.STREAM_FILES

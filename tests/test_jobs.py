@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from footfall.operators import audit_facts, audit_site, currency, geo, rollup, w
 from footfall.operators.retention import drop_old, retain
 from footfall.operators.sessions import build_sessions, cap_session, engaged_time, merge_sessions, sessionize
 from footfall.plans import ads, ingest, realtime, reports, runs
+from footfall.runtime import stored
 from footfall.settings import Settings
 from footfall.sources import tables
+from footfall.sources.parts import PartTable
+from footfall.sources.visitors import FirstSeen
 from footfall.streaming import streams
 
 T0 = dt.datetime(2024, 1, 10, 9, 0, 0)
@@ -552,3 +556,21 @@ def test_a_micro_batch_reads_nothing_but_what_the_one_before_handed_on(spark, tm
     assert sorted(stored) == sorted(map(tuple, whole.events.select("payload_id", "session_id", "event_index").collect()))
     quiet, late, after = runs.collect_run(hits.limit(0), SITE, salts(spark), None)
     assert quiet.sessions.count() == late.count() == after.pending.count() == 0
+
+
+def test_a_micro_batch_asks_for_its_visitors_once_and_makes_events_beside_the_sessions(spark, tmp_path, monkeypatch):
+    hits, order = busy_hits(spark, 5)
+    asked, names, side = [], [], []
+    lookup, sessions_of = FirstSeen.lookup, ingest._sessions
+    monkeypatch.setattr(FirstSeen, "lookup", lambda self, visitors: asked.append(1) or lookup(self, visitors))
+    for module in (streams, runs, ingest):
+        monkeypatch.setattr(module, "stored", lambda df, name, *path: names.append(name) or stored(df, name, *path))
+    events = threading.Event()
+    append = PartTable.append
+    monkeypatch.setattr(PartTable, "append", lambda self, *a: (events.set() if self.part == "event_date" else None, append(self, *a))[1])
+    monkeypatch.setattr(ingest, "_sessions", lambda *a: side.append(events.wait(60)) or sessions_of(*a))  # events need no sessions
+    streams._collect_batch(hits, 0, SITE, salts(spark), f"{tmp_path}/out", 600, daily_tz="UTC", **LIMITS)
+    assert side == [True] and len(asked) == 1 and names.count("run-sessions") == names.count("run-events") == 1
+    assert (tmp_path / "out/sessions/batch=0/_SUCCESS").exists() and "signed" not in names
+    seen = FirstSeen(spark, f"{tmp_path}/out/visitors").table.read().count()
+    assert seen == spark.read.parquet(f"{tmp_path}/out/sessions").select("visitor_key").distinct().count() > 0
