@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
 import os
 import random
 from functools import partial
@@ -10,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from footfall.checks import queries, warehouse
-from footfall.operators import admit, geo, rollup, scans, sessions
+from footfall.operators import admit, audit_site, geo, rollup, scans, sessions
 from footfall.settings import Settings
 from footfall.sources import sample
 from footfall.streaming import streams
@@ -179,3 +181,32 @@ def test_files_of_a_run_grow_with_its_rows_and_are_as_many_for_all_runs(spark, m
     assert queries.files_a_run(hits) == 10
     monkeypatch.setattr(queries, "STREAM_ROWS", 10**6)
     assert queries.files_a_run(hits) == queries.files_a_run(hits.limit(0)) == queries.STREAM_FILES
+
+
+def test_audit_broadcasts_nothing_whose_size_is_only_guessed(spark, tmp_path):
+    """Links are many times their stored pages; what the plan would send to every task has passed a shuffle, which tells its size."""
+    rows = [(n, f"https://s.example/{n}", f"/{n}", 404 if n % 7 == 0 else 200, "content", 0, f"Title {n % 50}", f"About {n % 60}",
+             [f"https://s.example/{(n + k) % 300}" for k in range(1, 40, n % 5 + 1)]) for n in range(400)]
+    columns = "page_id long, url string, path string, status_code int, source string, noindex int, title string, description string, links array<string>"
+    spark.createDataFrame(rows, columns).withColumn("self_url", F.col("url")).write.parquet(f"{tmp_path}/facts")
+    pages = spark.read.parquet(f"{tmp_path}/facts")
+    edges = pages.select("page_id", F.col("self_url").alias("src_url"), F.explode("links").alias("dst_url"))
+    found = audit_site.cross_page_issues(pages, edges, audit_site.status_by_url(pages))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*|")) for line in plan]
+    guessed = 0
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            inside = [x for x, _ in itertools.takewhile(lambda p: p[1] > depth[i], zip(plan[i + 1 :], depth[i + 1 :], strict=True))]
+            guessed += not any("Exchange hashpartitioning" in x for x in inside)
+    assert guessed == 0, "\n".join(plan)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.code, {})[r.page_id] = r.detail
+    live, bad = {r[0] for r in rows if r[3] == 200}, {r[1] for r in rows if r[3] == 404}
+    assert got["broken_internal_links"] == {r[0]: " ".join(sorted(u for u in r[8] if u in bad)) for r in rows if r[0] in live and set(r[8]) & bad}
+    linked = {u for r in rows for u in r[8]}
+    assert set(got["orphan_page"]) == {r[0] for r in rows if r[0] in live and r[1] not in linked} and len(got["orphan_page"]) > 50
+    for code, at in (("title_duplicate", 6), ("meta_description_duplicate", 7)):
+        of = collections.Counter(r[at].lower() for r in rows if r[0] in live)
+        assert got[code] == {r[0]: str(of[r[at].lower()]) for r in rows if r[0] in live and of[r[at].lower()] > 1}
